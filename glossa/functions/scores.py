@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from glossa.functions.labels import lookup
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def zip_predictions(labels: Column, scores: Column) -> Column:
     """Parallel arrays -> predictions."""
     return F.zip_with(labels, scores, lambda l, s: F.struct(l.alias("label"), s.alias("score")))
@@ -15,9 +20,11 @@ def zip_predictions(labels: Column, scores: Column) -> Column:
 
 def top_prediction(preds: Column) -> Column:
     """Highest score, the first listed wins ties; null for no predictions."""
-    scores = F.transform(preds, lambda p: p["score"])
-    at = F.array_position(scores, F.array_max(scores))
-    return F.get(preds, (at - 1).cast("int"))
+    def best(found):
+        scores = F.transform(found, lambda p: p["score"])
+        return F.get(found, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
+
+    return let(preds, best)
 
 
 def top_label(preds: Column) -> Column:
@@ -52,17 +59,20 @@ def override_neutral(preds: Column, mapping: dict, threshold: float = 0.35,
         return F.when(p.isNotNull(), F.struct(
             p["label"].alias("label"), mapped(p).alias("mapped"), p["score"].alias("score")))
 
-    top = top_prediction(preds)
     if not has_neutral:
-        return out(top)
-    other = F.get(ranked(F.filter(preds, lambda p: mapped(p) != "neutral")), F.lit(0))
-    weak = (mapped(top) == "neutral") & (top["score"] < threshold) & other.isNotNull()
-    return F.when(weak, out(other)).otherwise(out(top))
+        return let(top_prediction(preds), out)
+
+    def choose(found):
+        other = F.get(ranked(F.filter(found, lambda p: mapped(p) != "neutral")), F.lit(0))
+        return let(F.struct(top_prediction(found).alias("top"), other.alias("other")), lambda x: F.when(
+            (mapped(x["top"]) == "neutral") & (x["top"]["score"] < threshold) & x["other"].isNotNull(),
+            out(x["other"])).otherwise(out(x["top"])))
+
+    return let(preds, choose)
 
 
 def softmax(logits: Column) -> Column:
     """numerically stable softmax of an array of doubles."""
-    peak = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - peak))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = let(logits, lambda z: let(F.array_max(z), lambda peak: F.transform(z, lambda x: F.exp(x - peak))))
+    return let(powers, lambda p: let(F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x),
+                                     lambda total: F.transform(p, lambda x: x / total)))

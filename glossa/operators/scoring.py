@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from glossa import domains
 from glossa.functions.labels import join_labels, lookup
-from glossa.functions.scores import labels_above, override_neutral, top_prediction, zip_predictions
+from glossa.functions.scores import labels_above, let, override_neutral, top_prediction, zip_predictions
 
 BATCH = 32
+_NOT_LETTERS = r"[^\p{L}]+"
 _RESULT = "labels array<string>, scores array<double>, error string"
 
 
@@ -112,7 +113,12 @@ def without_failed_units(df: DataFrame, unit: str, error: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Lower-case words of a text."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+", -1), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), _NOT_LETTERS, -1), lambda w: w != "")
+
+
+def in_list(known: Sequence[str]) -> Callable[[Column], Column]:
+    """Predicate for array functions: the word is one of a fixed list."""
+    return lambda w: w.isin(*known)
 
 
 def lexicon_predictions(df: DataFrame, text: str | Column, lexicon: Mapping[str, Mapping[str, float]],
@@ -126,22 +132,23 @@ def lexicon_predictions(df: DataFrame, text: str | Column, lexicon: Mapping[str,
     if len(known) > 5_000:
         raise ValueError("lexicon too large for a literal: use a scorer factory instead")
     text = F.col(text) if isinstance(text, str) else text
-    hits = F.filter(words(text), lambda w: w.isin(*known))
+    labels = F.array(*[F.lit(label) for label in lexicon])
+    hits = F.filter(F.split(F.lower(text), _NOT_LETTERS, -1), in_list(known))
 
-    def weight_of(entries: Mapping[str, float]) -> Column:
+    def weight_of(entries: Mapping[str, float], found: Column) -> Column:
         by_weight: dict[float, list[str]] = {}
         for word, weight in entries.items():
             by_weight.setdefault(float(weight), []).append(word)
-        return sum((F.lit(weight) * F.size(F.filter(F.col("_hits"), lambda w, g=group: w.isin(*g)))
+        return sum((F.lit(weight) * F.size(F.filter(found, in_list(group)))
                     for weight, group in sorted(by_weight.items())), F.lit(0.0))
 
-    weights = F.array(*[weight_of(entries) for entries in lexicon.values()])
-    total = F.aggregate("_weights", F.lit(0.0), lambda acc, x: acc + x)
-    preds = F.when(F.col("_total") > 0, zip_predictions(
-        F.array(*[F.lit(label) for label in lexicon]),
-        F.transform("_weights", lambda x: x / F.col("_total"))))
-    return (df.withColumn("_hits", hits).withColumn("_weights", weights).withColumn("_total", total)
-            .withColumn(out, preds).drop("_hits", "_weights", "_total"))
+    def shares(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
+        return let(total, lambda all_: F.when(all_ > 0, F.zip_with(
+            labels, weights, lambda l, x: F.struct(l.alias("label"), (x / all_).alias("score")))))
+
+    weights = let(hits, lambda found: F.array(*[weight_of(e, found) for e in lexicon.values()]))
+    return df.withColumn(out, let(weights, shares))
 
 
 def compare_models(df: DataFrame, models: Mapping[str, bool], mapping: Mapping[str, str] | None = None,
