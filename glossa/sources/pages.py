@@ -7,24 +7,41 @@ headings are counted per piece, so no token is shuffled or sorted.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.functions.labels import literal_map
 from glossa.functions.text import strip
 
-# Named character references that occur in page text.
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ",
-             "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú",
-             "&ntilde;": "ñ", "&iquest;": "¿", "&iexcl;": "¡", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
+_NAMED = {name: chr(code) for name, code in name2codepoint.items()}
+_REFERENCE = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _character(name: Column) -> Column:
+    """Character of a reference name such as ``amp``, ``#233`` or ``#xE9``; null when unknown."""
+    digits = F.when(name.rlike("^#[xX]"), F.substr(name, F.lit(3))).when(
+        name.startswith("#"), F.conv(F.substr(name, F.lit(2)), 10, 16))
+    code = F.when((F.length(digits) > 0) & (F.conv(digits, 16, 10).cast("bigint") <= 0x10FFFF), digits)
+    return F.coalesce(F.try_element_at(literal_map(_NAMED), name),
+                      F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+
+
+def unescape(c: Column) -> Column:
+    """Character references resolved once; unknown ones stay."""
+    def piece(x):
+        name = F.regexp_extract(x, r"^&([^;\s&]+);", 1)
+        resolved = F.concat(_character(name), F.substr(x, F.length(name) + 3))
+        return F.when(x.startswith("&") & (name != ""), F.coalesce(resolved, x)).otherwise(x)
+
+    pieces = F.split(c, f"(?={_REFERENCE})", -1)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
 
 
 def plain_text(html: Column) -> Column:
-    """Markup removed and character references resolved (``&amp;`` last)."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", "")
-    for name, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Markup removed, then character references resolved."""
+    return unescape(F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", ""))
 
 
 def _tag(name: str, css: str) -> str:
