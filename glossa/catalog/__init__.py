@@ -4,7 +4,7 @@ from importlib import import_module
 
 from glossa.catalog.registry import QUERIES
 
-_MODULES = ["scalars", "filters", "aggregates", "sources", "joins", "ordering"]
+_MODULES = ["scalars", "filters", "aggregates", "sources", "joins", "ordering", "scoring", "streams"]
 for _name in _MODULES:
     import_module(f"glossa.catalog.{_name}")
 

@@ -146,17 +146,17 @@ def u04(spark, sf_dir):
 
 
 @query("u05_combine_rounds", """WITH r AS (
-  SELECT md5(text) AS verse_id, 1 AS round, doc_id AS at FROM documents WHERE lang <> 'en'
+  SELECT md5(text) AS verse_id, 1 AS round, doc_id AS pos FROM documents WHERE lang <> 'en'
   UNION ALL SELECT md5(text), 2, doc_id FROM documents WHERE doc_id % 3 = 0
   UNION ALL SELECT md5(text), 3, item_id FROM benchmark),
-f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY verse_id ORDER BY round, at) = 1)
-SELECT row_number() OVER (ORDER BY round, at) - 1 AS id, verse_id, round, at FROM f""")
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY verse_id ORDER BY round, pos) = 1)
+SELECT row_number() OVER (ORDER BY round, pos) - 1 AS id, verse_id, round, pos FROM f""")
 def u05(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    docs = t.documents.select(F.md5("text").alias("verse_id"), F.col("doc_id").alias("at"), "lang")
-    rounds = [docs.where("lang <> 'en'").drop("lang"), docs.where("at % 3 = 0").drop("lang"),
-              t.benchmark.select(F.md5("text").alias("verse_id"), F.col("item_id").alias("at"))]
-    return sets.combine_rounds(rounds, "verse_id", ["at"]).select("id", "verse_id", "round", "at")
+    docs = t.documents.select(F.md5("text").alias("verse_id"), F.col("doc_id").alias("pos"), "lang")
+    rounds = [docs.where("lang <> 'en'").drop("lang"), docs.where("pos % 3 = 0").drop("lang"),
+              t.benchmark.select(F.md5("text").alias("verse_id"), F.col("item_id").alias("pos"))]
+    return sets.combine_rounds(rounds, "verse_id", ["pos"]).select("id", "verse_id", "round", "pos")
 
 
 @query("l03_select_for_annotation", """WITH u AS (
