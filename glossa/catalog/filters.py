@@ -19,7 +19,7 @@ MODELS = {"plain": LEXICON, "weighted": WEIGHTED, "short": SHORT, "reversed": RE
 
 
 def four_models(t: Tables):
-    df = t.documents.select("doc_id", "text", "lang")
+    df = t.spread("documents").select("doc_id", "text", "lang")
     for name, lexicon in MODELS.items():
         df = lexicon_predictions(df, "text", lexicon, "_p")
         best = top_prediction(F.col("_p"))

@@ -15,7 +15,7 @@ from glossa.operators.scoring import lexicon_predictions
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Tables(spark, sf_dir).documents.select(
+    docs = Tables(spark, sf_dir).spread("documents").select(
         "doc_id", "lang", ascii_punctuation(clean_text(F.col("text"))).alias("text"))
     labelled = lexicon_predictions(docs, "text", LEXICON).select(
         "doc_id", "lang", top_label(F.col("preds")).alias("pred"),

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glossa.plans.spread import spread
+
 
 @dataclass(frozen=True)
 class Query:
@@ -29,10 +31,13 @@ def query(name: str, sql: str | None = None):
 
 
 class Tables:
-    """Parquet tables of one data folder."""
+    """Parquet tables of one data folder; ``spread`` ones suit heavy work per row."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def spread(self, name: str) -> DataFrame:
+        return spread(getattr(self, name))

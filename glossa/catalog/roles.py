@@ -151,7 +151,7 @@ def top_sql(lexicon: dict, prefix: str = "") -> tuple[str, str]:
 def predicted(t: Tables, lexicon: dict = LEXICON, out: str = "preds") -> DataFrame:
     """All documents with lexicon predictions."""
     from glossa.operators.scoring import lexicon_predictions
-    return lexicon_predictions(t.documents, "text", lexicon, out)
+    return lexicon_predictions(t.spread("documents"), "text", lexicon, out)
 
 
 def labeled(t: Tables) -> DataFrame:

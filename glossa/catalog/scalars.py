@@ -41,7 +41,7 @@ def _docs(name, spark_expr, sql_expr, out="result", extra=(), extra_sql=""):
     """A scalar function over every document: (doc_id, result)."""
     @query(name, f"SELECT doc_id, {sql_expr} AS {out}{extra_sql} FROM documents")
     def run(spark, sf_dir):
-        return Tables(spark, sf_dir).documents.select("doc_id", spark_expr().alias(out), *extra)
+        return Tables(spark, sf_dir).spread("documents").select("doc_id", spark_expr().alias(out), *extra)
 
 
 _docs("f01_clean_text", lambda: X.clean_text(dirty(F.col("text"))), clean_sql(dirty_sql("text")))
@@ -191,14 +191,18 @@ _docs("f22_verse_number", lambda: X.verse_number(F.when(F.col("doc_id") % 3 == 0
 SELECT doc_id, round(a / (a+b+c+d), 6) AS p0, round(b / (a+b+c+d), 6) AS p1, round(c / (a+b+c+d), 6) AS p2,
   round(d / (a+b+c+d), 6) AS p3 FROM e""")
 def f23(spark, sf_dir):
-    from glossa.operators.scoring import in_list, words
+    from glossa.operators.scoring import words
     w = words(F.col("text"))
-    counts = F.array(*[F.size(F.filter("_words", in_list(ws))) / F.lit(10.0) for ws in LEXICON.values()])
-    docs = Tables(spark, sf_dir).documents.withColumn("_words", w).withColumn("_logits", counts)
+    counts = F.array(*[F.size(F.filter("_words", among(ws))) / F.lit(10.0) for ws in LEXICON.values()])
+    docs = Tables(spark, sf_dir).spread("documents").withColumn("_words", w).withColumn("_logits", counts)
     docs = docs.where(F.array_max("_logits") > 0).withColumn("_p", S.softmax(F.col("_logits")))
     return docs.select("doc_id", *[F.round(F.get("_p", F.lit(i)), 6).alias(f"p{i}") for i in range(4)])
 
 
+def among(known):
+    return lambda w: w.isin(*known)
+
+
 _EMO_ES = _case("lower(emotion)", EMOTIONS_ES, cap_sql("emotion"))
 _THEME_EN = _case("lower(trim(t))", invert(THEMES_ES), "lower(trim(t))")
 

@@ -58,7 +58,7 @@ _EMOTION = f"CASE WHEN {_E} = {_BEST} THEN 'joy' WHEN {_I} = {_BEST} THEN 'fear'
 
 @query("m01_batched_scorer", f"""SELECT doc_id, {_EMOTION} AS label, round({_BEST} / greatest(length(text), 1), 6) AS score FROM documents""")
 def m01(spark, sf_dir):
-    scored = M.score_texts(Tables(spark, sf_dir).documents, "text", vowel_scorer())
+    scored = M.score_texts(Tables(spark, sf_dir).spread("documents"), "text", vowel_scorer())
     best = top_prediction(F.col("preds"))
     return scored.select("doc_id", best["label"].alias("label"), F.round(best["score"], 6).alias("score"))
 
@@ -98,7 +98,7 @@ SELECT doc_id, CASE WHEN weak THEN other ELSE top END AS label,
   round(CASE WHEN weak THEN greatest(g, p) ELSE best END / s, 6) AS score FROM o""")
 def m04(spark, sf_dir):
     counts = F.array(*[F.regexp_count("text", F.lit(x)) for x in _LETTERS])
-    docs = Tables(spark, sf_dir).documents.select("doc_id", counts.alias("c"))
+    docs = Tables(spark, sf_dir).spread("documents").select("doc_id", counts.alias("c"))
     total = F.aggregate("c", F.lit(0), lambda a, x: a + x)
     preds = zip_predictions(F.array(*[F.lit(x) for x in _FINE]), F.transform("c", lambda x: x / F.col("total")))
     docs = docs.withColumn("total", total).where("total > 0").withColumn("best", preds)
@@ -117,7 +117,7 @@ _TOP_THEME = f"greatest({', '.join(_COUNTS.values())})"
   ELSE CASE WHEN lang = 'es' THEN 'Esperanza' ELSE 'Hope' END END AS theme,
   round(least(1.0, 10 * {_TOP_THEME} / greatest(length(text), 1)), 6) AS score FROM documents""")
 def m05(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents
+    docs = Tables(spark, sf_dir).spread("documents")
     scored = M.score_candidates(docs, "text", lambda: theme_scorer(), list(_THEME_LETTERS), multi_label=False)
     top = M.top_theme(F.col("preds"), F.col("lang"))
     return scored.withColumn("_t", top).select("doc_id", F.col("_t.label").alias("theme"), F.round("_t.score", 6).alias("score"))
@@ -125,13 +125,13 @@ def m05(spark, sf_dir):
 
 @query("m06_failure_isolation", f"""SELECT doc_id, CASE WHEN contains(text, ' que ') THEN 'error' ELSE {_EMOTION} END AS emotion FROM documents""")
 def m06(spark, sf_dir):
-    scored = M.score_texts(Tables(spark, sf_dir).documents, "text", vowel_scorer(fail_on=" que "), batch=1)
+    scored = M.score_texts(Tables(spark, sf_dir).spread("documents"), "text", vowel_scorer(fail_on=" que "), batch=1)
     return scored.select("doc_id", M.emotion_label().alias("emotion"))
 
 
 @query("m07_failed_units", "SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE contains(text, 'Que '))")
 def m07(spark, sf_dir):
-    scored = M.score_texts(Tables(spark, sf_dir).documents, "text", vowel_scorer(fail_on="Que "), batch=1)
+    scored = M.score_texts(Tables(spark, sf_dir).spread("documents"), "text", vowel_scorer(fail_on="Que "), batch=1)
     # the failures are needed twice, once to find units and once to drop them
     scored = scored.select("doc_id", "source", "preds_error")
     return M.without_failed_units(scored, "source", "preds_error").select("doc_id")
@@ -155,7 +155,7 @@ _WIDE = ", ".join(f"{m} AS {m}_label, round({m}_score, 6) AS {m}_score" for m in
 
 @query("m09_compare_models", f"WITH {MODELS_SQL} SELECT doc_id, {_WIDE} FROM models")
 def m09(spark, sf_dir):
-    df = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    df = Tables(spark, sf_dir).spread("documents").select("doc_id", "text")
     for name, lexicon in MODELS.items():
         df = M.lexicon_predictions(df, "text", lexicon, name)
     wide = M.compare_models(df, {m: False for m in MODELS}, {x: x for x in LANGS})
@@ -170,7 +170,7 @@ def m10(spark, sf_dir):
 
 
 def _frame(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang")
+    docs = Tables(spark, sf_dir).spread("documents").select("doc_id", "text", "lang")
     return training.training_frame(docs, "text", "lang", LANGS, keep=["doc_id"])
 
 

@@ -91,7 +91,7 @@ def osis_documents(t: Tables):
         return F.concat(F.lit('<verse osisID="'), osis, F.lit('" sID="s"/>'), line, F.lit('<verse eID="s"/>\n'))
 
     body = F.array_join(F.transform(F.split(marked, "\n", -1), verse), "")
-    return t.documents.select("doc_id", F.concat(F.lit("<osis><div>"), body, F.lit("</div></osis>")).alias("xml"))
+    return t.spread("documents").select("doc_id", F.concat(F.lit("<osis><div>"), body, F.lit("</div></osis>")).alias("xml"))
 
 
 @query("s05_milestones", f"""WITH lines AS (
@@ -122,7 +122,7 @@ def chapter_pages(t: Tables):
                         F.lit("</span>"), line)
 
     body = F.array_join(F.transform(F.split("html", "<p>", -1), paragraph), "")
-    return t.pages.select("page_id", F.concat(F.lit('<div class="col_i_1_1_inf">'), body, F.lit("</div>")).alias("html"))
+    return t.spread("pages").select("page_id", F.concat(F.lit('<div class="col_i_1_1_inf">'), body, F.lit("</div>")).alias("html"))
 
 
 _UNESCAPE = "{0}"

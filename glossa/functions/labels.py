@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +9,16 @@ from glossa import domains
 from glossa.functions.text import canonical_label, capitalize, normalize, strip, title
 
 
+def sql_literal(value) -> str:
+    """Spark SQL literal of a string or number."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
 def literal_map(mapping: dict) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
+    """Dictionary as a map literal, parsed in one go."""
+    return F.expr(f"map({', '.join(sql_literal(x) for pair in mapping.items() for x in pair)})")
 
 
 def lookup(c: Column, mapping: dict, default: Column | str | None = None) -> Column:

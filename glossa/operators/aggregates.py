@@ -137,14 +137,16 @@ def crosstab_wide(df: DataFrame, rows: str, cols: str, domain: Sequence[str]) ->
 
 def score_histogram(df: DataFrame, models: Sequence[str], bins: int = 20) -> DataFrame:
     """Equal-width bins of each model's score between that model's own extremes."""
-    long = unpivot_labels(df, models, ("model", "score")).where(F.col("score").isNotNull())
+    # counted first: extremes and bins both start from this one shuffle
+    long = (unpivot_labels(df, models, ("model", "score")).where(F.col("score").isNotNull())
+            .groupBy("model", "score").agg(F.count(F.lit(1)).alias("n")))
     span = long.groupBy("model").agg(F.min("score").alias("low"), F.max("score").alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     number = F.floor((F.col("score") - F.col("low")) / width) + 1
     binned = F.when(F.col("high") > F.col("low"), F.least(number, F.lit(bins))).otherwise(F.lit(1))
     # one row per model column named in the call, so the broadcast side has a fixed size
     return (long.join(F.broadcast(span), "model").groupBy("model", binned.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
+            .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
 
 
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:

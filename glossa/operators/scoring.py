@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa import domains
-from glossa.functions.labels import join_labels, lookup
-from glossa.functions.scores import labels_above, let, override_neutral, top_prediction, zip_predictions
+from glossa.functions.labels import join_labels, lookup, sql_literal
+from glossa.functions.scores import labels_above, override_neutral, top_prediction, zip_predictions
+from glossa.plans.guard import once
 
 BATCH = 32
 _NOT_LETTERS = r"[^\p{L}]+"
@@ -116,12 +117,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _NOT_LETTERS, -1), lambda w: w != "")
 
 
-def in_list(known: Sequence[str]) -> Callable[[Column], Column]:
-    """Predicate for array functions: the word is one of a fixed list."""
-    return lambda w: w.isin(*known)
-
-
-def lexicon_predictions(df: DataFrame, text: str | Column, lexicon: Mapping[str, Mapping[str, float]],
+def lexicon_predictions(df: DataFrame, text: str, lexicon: Mapping[str, Mapping[str, float]],
                         out: str = "preds") -> DataFrame:
     """Share of lexicon weight per label, as predictions in lexicon order.
 
@@ -131,24 +127,22 @@ def lexicon_predictions(df: DataFrame, text: str | Column, lexicon: Mapping[str,
     known = sorted({w for entries in lexicon.values() for w in entries})
     if len(known) > 5_000:
         raise ValueError("lexicon too large for a literal: use a scorer factory instead")
-    text = F.col(text) if isinstance(text, str) else text
-    labels = F.array(*[F.lit(label) for label in lexicon])
-    hits = F.filter(F.split(F.lower(text), _NOT_LETTERS, -1), in_list(known))
-
-    def weight_of(entries: Mapping[str, float], found: Column) -> Column:
-        by_weight: dict[float, list[str]] = {}
-        for word, weight in entries.items():
-            by_weight.setdefault(float(weight), []).append(word)
-        return sum((F.lit(weight) * F.size(F.filter(found, in_list(group)))
-                    for weight, group in sorted(by_weight.items())), F.lit(0.0))
-
-    def shares(weights: Column) -> Column:
-        total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
-        return let(total, lambda all_: F.when(all_ > 0, F.zip_with(
-            labels, weights, lambda l, x: F.struct(l.alias("label"), (x / all_).alias("score")))))
-
-    weights = let(hits, lambda found: F.array(*[weight_of(e, found) for e in lexicon.values()]))
-    return df.withColumn(out, let(weights, shares))
+
+    def listed(some) -> str:
+        return ", ".join(sql_literal(w) for w in some)
+
+    def weight(entries: Mapping[str, float]) -> str:
+        groups: dict[float, list[str]] = {}
+        for word, value in entries.items():
+            groups.setdefault(float(value), []).append(word)
+        return " + ".join(f"{value!r}D * size(filter(hits, w -> w IN ({listed(ws)})))" for value, ws in groups.items())
+
+    hits = f"filter(split(lower(`{text}`), {sql_literal(_NOT_LETTERS)}, -1), w -> w IN ({listed(known)}))"
+    weights = f"transform(array({hits}), hits -> array({', '.join(map(weight, lexicon.values()))}))[0]"
+    shares = f"""transform(array({weights}), ws -> transform(array(aggregate(ws, 0D, (a, x) -> a + x)), total ->
+        CASE WHEN total > 0 THEN zip_with(array({listed(lexicon)}), ws,
+            (l, x) -> named_struct('label', l, 'score', x / total)) END)[0])[0]"""
+    return df.withColumn(out, once(F.expr(shares)))
 
 
 def compare_models(df: DataFrame, models: Mapping[str, bool], mapping: Mapping[str, str] | None = None,

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from glossa.functions.labels import book_of_code
 from glossa.functions.text import flatten_text, id_parts
 from glossa.operators.aggregates import unknown_values
+from glossa.plans.guard import once
 from glossa.sources.pages import plain_text
 
 _START = r"(?s)<(?:\w+:)?verse\b[^>]*?\bosisID\s*=\s*[\"']"
-_SEGMENT = r"(?s)^([^\"']*)[\"'][^>]*>(.*)$"
+_ID = r"^[^\"']*"
 _END = r"(?s)<(?:\w+:)?verse\b[^>]*?\beID\s*="
 
 
@@ -33,10 +34,12 @@ def milestone_segments(documents: DataFrame, xml: str = "xml") -> DataFrame:
     another start mark first is not closed.
     """
     keep = [c for c in documents.columns if c != xml]
-    pieces = documents.select(*keep, F.posexplode(F.split(xml, _START, -1)).alias("pos", "_piece")).where("pos > 0")
-    rest = F.regexp_extract("_piece", _SEGMENT, 2)
-    cut = pieces.withColumn("osis_id", F.regexp_extract("_piece", _SEGMENT, 1)).withColumn(
-        "_parts", F.split(rest, _END, 2))
+    pieces = documents.withColumn("_pieces", once(F.split(xml, _START, -1))).select(
+        *keep, F.posexplode("_pieces").alias("pos", "_piece")).where("pos > 0")
+    # what is left of a start tag, then its text; the end mark cuts the text
+    text = F.substr("_piece", F.locate(">", F.col("_piece")) + 1)
+    cut = pieces.withColumn("osis_id", F.regexp_extract("_piece", _ID, 0)).withColumn(
+        "_parts", once(F.split(text, _END, 2)))
     return cut.select(*keep, "pos", "osis_id", F.get("_parts", F.lit(0)).alias("raw"),
                       (F.size("_parts") == 2).alias("closed"))
 

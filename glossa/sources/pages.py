@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.labels import literal_map
 from glossa.functions.text import strip
+from glossa.plans.guard import once
 
 _NAMED = {name: chr(code) for name, code in name2codepoint.items()}
 _REFERENCE = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
@@ -85,18 +86,15 @@ def parse_pages(pages: DataFrame, layout: PageLayout = PageLayout(), html: str =
         lambda block, title: F.array_repeat(title, F.regexp_count(block, F.lit(number)).cast("int"))))
 
     keep = [c for c in pages.columns if c != html]
-    cut = (pages.select(*keep, clean.alias("_clean"))
-           .where(F.col("_clean").isNotNull())
+    cut = (pages.select(*keep, once(clean).alias("_clean"))
            .withColumn("_numbers", F.regexp_extract_all("_clean", F.lit(number), F.lit(1)))
-           .where(F.size("_numbers") > 0)
            .withColumn("_blocks", F.split("_clean", _split_at(heading), -1))
            .withColumn("_headings", F.concat(F.array(F.lit("")),
                                              F.regexp_extract_all("_clean", F.lit(heading), F.lit(1))))
            .withColumn("_pieces", F.slice(F.split("_clean", _split_at(number), -1), F.lit(2), F.size("_numbers")))
            .withColumn("_subtitles", subtitles)
-           .withColumn("_last", F.size("_numbers") - 1))
-    verses = cut.select(*keep, "_last", F.posexplode(F.arrays_zip("_numbers", "_subtitles", "_pieces")).alias(
-        "pos", "_v"))
+           .withColumn("_rows", once(F.arrays_zip("_numbers", "_subtitles", "_pieces"))))
+    verses = cut.select(*keep, (F.size("_rows") - 1).alias("_last"), F.posexplode("_rows").alias("pos", "_v"))
 
     marks = F.regexp_extract_all("_piece", F.lit(f"(?is){_ungroup(layout.text)}|{_ungroup(layout.line_break)}"),
                                  F.lit(0))
@@ -106,11 +104,11 @@ def parse_pages(pages: DataFrame, layout: PageLayout = PageLayout(), html: str =
     texts = F.transform(F.filter(kept_marks, lambda m: m.rlike(layout.text)),
                         lambda m: strip(plain_text(m)))
     text = F.array_join(F.filter(texts, lambda t: t != ""), "\n")
-    return (verses.withColumn("_piece", F.col("_v._pieces")).withColumn("_marks", marks)
+    return (verses.withColumn("_piece", F.col("_v._pieces")).withColumn("_marks", once(marks))
             .withColumn("_closing", closing)
             .where((F.col("_closing") > 0) | (F.col("pos") == F.col("_last")))
             .select(*keep, "pos", strip(plain_text(F.col("_v._numbers"))).try_cast("int").alias("verse"),
-                    strip(plain_text(F.col("_v._subtitles"))).alias("subtitle"), text.alias("text"))
+                    strip(plain_text(F.col("_v._subtitles"))).alias("subtitle"), once(text).alias("text"))
             .where("text != ''"))
 
 
