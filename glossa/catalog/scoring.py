@@ -15,6 +15,7 @@ from glossa.operators import evaluate as E
 from glossa.operators import scoring as M
 from glossa.operators.sampling import stratified_folds
 from glossa.plans import labeling, training
+from glossa.session import scratch_path
 
 
 def vowel_scorer(fail_on: str | None = None, short_by: int = 0):
@@ -132,8 +133,10 @@ def m06(spark, sf_dir):
 @query("m07_failed_units", "SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE contains(text, 'Que '))")
 def m07(spark, sf_dir):
     scored = M.score_texts(Tables(spark, sf_dir).spread("documents"), "text", vowel_scorer(fail_on="Que "), batch=1)
-    # the failures are needed twice, once to find units and once to drop them
-    scored = scored.select("doc_id", "source", "preds_error")
+    # the scored rows are needed twice, to find failed units and to drop them: write them once
+    path = scratch_path(spark, "scored")
+    scored.select("doc_id", "source", "preds_error").write.parquet(path)
+    scored = spark.read.parquet(path)
     return M.without_failed_units(scored, "source", "preds_error").select("doc_id")
 
 

@@ -59,9 +59,9 @@ def t03(spark, sf_dir):
     index, sizes = recommend.prepare_corpus(
         corpus(Tables(spark, sf_dir)).select("verse_id", "lang", "book", "emotion", "theme"), ["verse_id"])
     path = scratch_path(spark, "index")
-    index.write.parquet(path)
-    index = spark.read.parquet(path)
-    sizes = recommend.group_sizes(index, ["lang", "emotion_norm", "theme_norm", "section"])
+    index.write.parquet(path + "/rows")
+    sizes.write.parquet(path + "/sizes")
+    index, sizes = spark.read.parquet(path + "/rows"), spark.read.parquet(path + "/sizes")
     return _run(jobs.answer_stream(requests(_Arrivals(spark, sf_dir)), index, sizes, ["verse_id"]), spark, "answers")
 
 

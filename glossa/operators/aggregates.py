@@ -137,10 +137,13 @@ def crosstab_wide(df: DataFrame, rows: str, cols: str, domain: Sequence[str]) ->
 
 def score_histogram(df: DataFrame, models: Sequence[str], bins: int = 20) -> DataFrame:
     """Equal-width bins of each model's score between that model's own extremes."""
-    # counted first: extremes and bins both start from this one shuffle
+    # Counted first: extremes and bins both start from this one shuffle. The
+    # extremes look at the count too, or Spark would plan a shuffle of its own
+    # for them and score all texts again.
     long = (unpivot_labels(df, models, ("model", "score")).where(F.col("score").isNotNull())
             .groupBy("model", "score").agg(F.count(F.lit(1)).alias("n")))
-    span = long.groupBy("model").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    seen = F.when(F.col("n") > 0, F.col("score"))
+    span = long.groupBy("model").agg(F.min(seen).alias("low"), F.max(seen).alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     number = F.floor((F.col("score") - F.col("low")) / width) + 1
     binned = F.when(F.col("high") > F.col("low"), F.least(number, F.lit(bins))).otherwise(F.lit(1))

@@ -65,17 +65,21 @@ def candidate_index(corpus: DataFrame, key: Sequence[str], group: Sequence[str],
     every group offers enough distinct join keys; the extra rows per group are
     below ``2 * _SLOTS``.
     """
-    ranked = hash_rank(corpus, key, seed, by=group, out="_rank", total="size")
-    repeat = F.greatest(F.lit(1), F.ceil(F.lit(_SLOTS) / F.col("size")))
-    turns = F.sequence(F.lit(0).cast("bigint"), repeat - 1)
-    return (ranked.withColumn("slots", F.col("size") * repeat).withColumn("_turn", F.explode(turns))
-            .withColumn("slot", F.col("_turn") * F.col("size") + F.col("_rank") - 1)
-            .drop("_turn", "_rank"))
+    ranked = hash_rank(corpus, key, seed, by=group, out="_rank", total="_size")
+    turns = F.sequence(F.lit(0).cast("bigint"), _repeats(F.col("_size")) - 1)
+    return (ranked.withColumn("_turn", F.explode(turns))
+            .withColumn("slot", F.col("_turn") * F.col("_size") + F.col("_rank") - 1)
+            .drop("_turn", "_rank", "_size"))
 
 
-def group_sizes(index: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Size and slot count per group of a candidate index."""
-    return index.where("slot = 0").select(*group, "size", "slots")
+def _repeats(size: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.lit(_SLOTS) / size))
+
+
+def group_sizes(corpus: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Size and slot count of each group of a corpus."""
+    size = F.col("size")
+    return corpus.groupBy(*group).agg(F.count(F.lit(1)).alias("size")).withColumn("slots", size * _repeats(size))
 
 
 def prepare_corpus(corpus: DataFrame, key: Sequence[str], seed=0) -> tuple[DataFrame, DataFrame]:
@@ -88,8 +92,7 @@ def prepare_corpus(corpus: DataFrame, key: Sequence[str], seed=0) -> tuple[DataF
             .withColumn("theme_norm", F.explode(normalized_set(F.col("theme"))))
             .withColumn("section", section(F.col("book"), F.col("lang")))
             .dropna(subset=["emotion_norm"]))
-    index = candidate_index(rows, key, group, seed)
-    return index, group_sizes(index, group)
+    return candidate_index(rows, key, group, seed), group_sizes(rows, group)
 
 
 def answer_requests(requests: DataFrame, index: DataFrame, sizes: DataFrame, payload: Sequence[str],

@@ -107,7 +107,10 @@ def top_theme(preds: Column, lang: Column) -> Column:
 
 
 def without_failed_units(df: DataFrame, unit: str, error: str) -> DataFrame:
-    """Only units none of whose rows failed to be scored."""
+    """Only units none of whose rows failed to be scored.
+
+    Reads the rows twice, so ``df`` should be a written table.
+    """
     failed = df.where(F.col(error).isNotNull()).select(unit).distinct()
     return df.join(failed, unit, "left_anti")
 

@@ -42,9 +42,7 @@ def transfer_labels(target: DataFrame, source: DataFrame, position: Sequence[str
         *[F.col(c).alias(f"_{c}") for c in key],
         translate_themes(F.col("theme"), theme_map).alias("theme"),
         translate_emotion(F.col("emotion"), emotion_map).alias("emotion"), F.lit(True).alias("matched"))
-    keyed = target.select(*plain)
-    for c in key:
-        keyed = keyed.withColumn(f"_{c}", whole_number(F.col(c)) if c in numbers else F.col(c))
+    keyed = _whole(target.select(*plain, *[F.col(c).alias(f"_{c}") for c in key]), [f"_{c}" for c in numbers])
     joined = lookup_join(keyed, labels, [f"_{c}" for c in key], "left")
     return joined.select(*plain, F.coalesce("theme", F.lit("")).alias("theme"),
                          F.coalesce("emotion", F.lit("")).alias("emotion"),
@@ -52,9 +50,9 @@ def transfer_labels(target: DataFrame, source: DataFrame, position: Sequence[str
 
 
 def _whole(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    for c in columns:
-        df = df.withColumn(c, whole_number(F.col(c)))
-    return df
+    """Key columns as whole numbers; columns that are integers already only change width."""
+    integers = {c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint")}
+    return df.withColumns({c: F.col(c).cast("bigint") if c in integers else whole_number(F.col(c)) for c in columns})
 
 
 def transfer_by_position(target: DataFrame, source: DataFrame, unit: str, order_by: Sequence[str],

@@ -41,6 +41,9 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed, by: Sequence[str] = (), o
     counts are prefix-summed; rows meet their own piece's offset. With ``top``
     the pieces beyond it are dropped before any row is shuffled. ``key`` should
     identify rows; ``total`` names an optional column for the group size.
+
+    Pieces and rows are read separately, so ``df`` must yield the same rows every
+    time: write or checkpoint a frame made by ``limit`` or ``sample`` first.
     """
     group, piece = "_group", "_piece"
     keyed = df.withColumn("_hash", seeded_hash(seed, *key)).withColumn(

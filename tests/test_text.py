@@ -9,9 +9,13 @@ from glossa.functions import labels, scores, text
 
 
 def one(spark, expr, **values):
-    schema = ", ".join(f"{k} {t}" for k, (t, _) in values.items()) or "x int"
-    row = tuple(v for _, v in values.values()) or (1,)
-    return spark.createDataFrame([row], schema).select(expr.alias("r")).first()["r"]
+    """Value of an expression over one row; ``values`` maps columns to (type, value)."""
+    if any(t.startswith("array") for t, _ in values.values()):
+        schema = ", ".join(f"{k} {t}" for k, (t, _) in values.items())
+        row = spark.createDataFrame([tuple(v for _, v in values.values())], schema)
+    else:
+        row = spark.range(1).select(*[F.lit(v).cast(t).alias(k) for k, (t, v) in values.items()])
+    return row.select(expr.alias("r")).first()["r"]
 
 
 def s(value):
