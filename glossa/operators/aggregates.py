@@ -94,35 +94,37 @@ def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> D
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, unique, top, freq, mean, std and exact quartiles, one row per column."""
+    """Count, unique, top, freq, mean, std and exact quartiles, one row per column.
+
+    One pass covers the moments of all numeric columns; quartiles take one
+    distributed sort per numeric column, text columns one count of their values.
+    """
+    columns = list(columns or df.columns)
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, NumericType)]
     out = None
-    for c in columns or df.columns:
-        numeric = isinstance(df.schema[c].dataType, NumericType)
-        if numeric:
-            basic = df.agg(
-                F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
-            quart = exact_quantiles(df, c, (0.25, 0.5, 0.75)).agg(
+    if numeric:
+        stats = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
+                          F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
+                          F.max(c).cast("double").alias("max")) for c in numeric]
+        out = df.agg(F.array(*stats).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
+        quartiles = None
+        for c in numeric:
+            one = exact_quantiles(df, c, (0.25, 0.5, 0.75)).agg(
                 *[F.max(F.when(F.col("fraction") == f, F.col("value"))).alias(name)
-                  for f, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-            stats = _side_by_side(basic, quart)
-        else:
+                  for f, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]).withColumn("column", F.lit(c))
+            quartiles = one if quartiles is None else quartiles.unionByName(one)
+        out = out.join(quartiles, "column", "left")
+    for c in columns:
+        if c not in numeric:
             counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast(StringType()).alias("v")).agg(
                 F.count(F.lit(1)).alias("n"))
-            stats = counts.agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
-                               F.max("n").alias("freq"),
-                               F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"))
-        row = stats.withColumn("column", F.lit(c))
-        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+            row = counts.agg(F.lit(c).alias("column"), F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
+                             F.max("n").alias("freq"), F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"))
+            out = row if out is None else out.unionByName(row, allowMissingColumns=True)
     order = ["column", "count", "unique", "top", "freq", "mean", "std", "min", "q25", "q50", "q75", "max"]
     return out.select(*[x for x in order if x in out.columns])
 
 
-def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two one-row results as one row."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-
-
 def crosstab(df: DataFrame, rows: str, cols: str) -> DataFrame:
     """A10: confusion counts of two label columns in long form."""
     return (df.where(F.col(rows).isNotNull() & F.col(cols).isNotNull()).groupBy(rows, cols)

@@ -13,13 +13,12 @@ from glossa.functions.text import canonical_label
 from glossa.operators.filters import in_domain
 from glossa.operators.transfer import first_wins
 from glossa.plans.ranking import hash_rank
-from glossa.plans.skew import lookup_join
+from glossa.plans.skew import filter_join, lookup_join
 
 
 def exclude_labeled(df: DataFrame, labeled: DataFrame, key: str) -> DataFrame:
     """Rows whose key has not been labelled yet."""
-    known = labeled.select(key).dropna().distinct()
-    return lookup_join(df, known, [key], "left_anti")
+    return filter_join(df, labeled, [key], "left_anti")
 
 
 def select_for_annotation(df: DataFrame, n: int, labeled: DataFrame | None = None, seed=16,

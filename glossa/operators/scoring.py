@@ -17,6 +17,7 @@ from glossa import domains
 from glossa.functions.labels import join_labels, lookup, sql_literal
 from glossa.functions.scores import labels_above, override_neutral, top_prediction, zip_predictions
 from glossa.plans.guard import once
+from glossa.plans.skew import filter_join
 
 BATCH = 32
 _NOT_LETTERS = r"[^\p{L}]+"
@@ -111,8 +112,7 @@ def without_failed_units(df: DataFrame, unit: str, error: str) -> DataFrame:
 
     Reads the rows twice, so ``df`` should be a written table.
     """
-    failed = df.where(F.col(error).isNotNull()).select(unit).distinct()
-    return df.join(failed, unit, "left_anti")
+    return filter_join(df, df.where(F.col(error).isNotNull()), [unit], "left_anti")
 
 
 def words(text: Column) -> Column:

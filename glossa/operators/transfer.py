@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glossa.functions.labels import translate_emotion, translate_themes
 from glossa.functions.text import whole_number
 from glossa.plans.ranking import first_per_group, sequential_id
-from glossa.plans.skew import lookup_join
+from glossa.plans.skew import filter_join, lookup_join
 
 KEY = ("book_no", "chapter", "verse")
 
@@ -65,7 +65,7 @@ def transfer_by_position(target: DataFrame, source: DataFrame, unit: str, order_
              .join(source.groupBy(unit).agg(F.count(F.lit(1)).alias("_s")), unit)
              .where("_t = _s").select(unit))
     plain = [c for c in target.columns if c not in labels]
-    left = sequential_id(lookup_join(target.select(*plain), sizes, [unit], "left_semi"),
+    left = sequential_id(filter_join(target.select(*plain), sizes, [unit]),
                          order_by, [unit], "_pos")
     right = sequential_id(source, order_by, [unit], "_pos").select(
         unit, "_pos", *[expr.alias(name) for name, expr in labels.items()])

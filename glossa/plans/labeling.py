@@ -11,8 +11,9 @@ from glossa import domains
 from glossa.functions.text import ascii_punctuation, clean_text, stringify_missing, whole_number
 from glossa.operators.filters import annotation_frame, valid_row
 from glossa.operators.scoring import BATCH, emotion_label, score_candidates, score_texts, theme_labels
+from glossa.plans.audit import run_stage
 from glossa.plans.ranking import sequential_id
-from glossa.sources.tables import new_units
+from glossa.sources.tables import new_units, stored, write_stage
 
 
 def clean_rows(raw: DataFrame) -> DataFrame:
@@ -53,16 +54,36 @@ def run_labeling(df: DataFrame, emotion: Callable | None = None, theme: Callable
     """Both stages over the units that are still to do.
 
     Leaving out a scorer skips its stage; ``only`` (column -> value) restricts the
-    run to one unit for a trial. Input files may be few and large, so rows are
-    spread evenly before the slow scoring step.
+    run to one unit for a trial. Rows are scored where they are read; ``spread``
+    the table first when it comes in few, large files.
     """
     todo = new_units(df, done, unit)
     for column, value in (only or {}).items():
         todo = todo.where(F.col(column) == value)
-    if emotion or theme:
-        todo = todo.hint("rebalance")
     if emotion:
         todo = label_emotions(todo, emotion, batch)
     if theme:
         todo = label_themes(todo, theme, threshold=threshold, batch=batch)
     return todo
+
+
+def label_tables(cleaned: DataFrame, folder: str, emotion: Callable | None, theme: Callable | None,
+                 unit: Sequence[str] = ("corpus", "book_no"), threshold: float = 0.7,
+                 batch: int = BATCH) -> list[dict]:
+    """Both stages as tables below ``folder``, resuming where a run stopped.
+
+    Each stage scores only units its table does not hold yet, from the stage
+    before it. Returns one audit record per stage that ran.
+    """
+    spark, audit = cleaned.sparkSession, []
+    emotions, themes = f"{folder}/emotion", f"{folder}/emotion_theme"
+    if emotion:
+        todo = new_units(cleaned, stored(spark, emotions), unit)
+        audit.append(run_stage("emotion", label_emotions(todo, emotion, batch),
+                               lambda df: write_stage(df, emotions, unit)))
+    labelled = stored(spark, emotions)
+    if theme and labelled is not None:
+        todo = new_units(labelled, stored(spark, themes), unit)
+        audit.append(run_stage("theme", label_themes(todo, theme, threshold=threshold, batch=batch),
+                               lambda df: write_stage(df, themes, unit)))
+    return audit

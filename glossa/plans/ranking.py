@@ -104,6 +104,10 @@ def first_per_group(df: DataFrame, by: Sequence[str], order_by: Sequence[Column
     Spark limits each group to ``n`` rows inside every map task before the
     shuffle (window group limit), so a hot group shrinks where it is read.
     """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n >= limit:  # beyond it a window would gather whole groups: number rows without one
+        kept = sequential_id(df, order_by, by, out or "_rank").where(F.col(out or "_rank") <= n)
+        return kept if out else kept.drop("_rank")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order_by))
     kept = df.withColumn(out or "_rank", rank).where(F.col(out or "_rank") <= n)
     return kept if out else kept.drop("_rank")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1_000      # size bound of the broadcast list of hot keys
 HOT_ROWS = 100_000    # rows of one key that one task should handle
 MOST_PIECES = 2_000   # pieces one hot key is cut into
+SMALL_ROWS = 200_000  # key lists up to this many rows are broadcast
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
@@ -34,3 +35,16 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
                     F.lit(0).cast("bigint"), F.coalesce(F.col("_pieces"), F.lit(1).cast("bigint")) - 1)))
                 .drop("_key", "_pieces"))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def filter_join(left: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "left_semi",
+                small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Keep (``left_semi``) or drop (``left_anti``) the rows of a large table by a key list.
+
+    The list is counted first. When small it is broadcast, so the large table is
+    not shuffled at all; otherwise hot keys are spread as in ``lookup_join``.
+    """
+    listed = keys.select(*on).dropna().distinct()
+    if listed.limit(small_rows + 1).count() <= small_rows:
+        return left.join(F.broadcast(listed), list(on), how)
+    return lookup_join(left, listed, on, how)

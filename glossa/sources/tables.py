@@ -7,6 +7,7 @@ is the format between the stages.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from glossa import domains, schemas
 from glossa.functions.text import file_prefix, file_slug
+from glossa.plans.skew import filter_join
 
 # RFC-4180 quoting.
 _CSV = {"quote": '"', "escape": '"', "multiLine": "true", "encoding": "UTF-8"}
@@ -51,14 +53,22 @@ def load_corpus(spark: SparkSession, path: str, schema: StructType = schemas.LAB
 
     A folder without such files gives an empty table with the same columns.
     """
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{CORPUS_FILES}")
-    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path)
-    if not found:
+    if not _exists(spark, f"{path}/{CORPUS_FILES}"):
         return spark.createDataFrame([], StructType([*schema.fields, StructField("source_file", StringType())]))
     df = read_csv(spark, path, schema, pattern=CORPUS_FILES, origin=True)
     return df.withColumn("source_file", F.regexp_replace("file", r"\.csv$", "")).drop("file", "book_no", "slug")
 
 
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stage table, or None before its first write."""
+    return spark.read.parquet(path) if _exists(spark, f"{path}/_SUCCESS") else None
+
+
 def corpus_folder(base: str, lang: str) -> str:
     """Folder of the labelled corpus for a language; anything but English is Spanish."""
     return f"{base}/{'bible_kjv' if lang == 'en' else 'bible_rv60'}/emotion_theme"
@@ -73,13 +83,19 @@ class CheckedRead:
 
 
 def file_headers(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """First line of each file as (file, header); only the first block of a file is looked at."""
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
-             .where("_metadata.file_block_start = 0")
+    """Every file with its first line as (file, header); empty files have none.
+
+    Only the first block of a file is read. The names come from the file index,
+    because a scan leaves out empty files.
+    """
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    lines = (texts.where("_metadata.file_block_start = 0")
              .select(F.col("_metadata.file_path").alias("file"), "value",
                      F.monotonically_increasing_id().alias("at")))
-    header = F.regexp_replace(F.min_by("value", "at"), "^﻿|\r$", "")
-    return lines.groupBy("file").agg(header.alias("header"))
+    header = F.regexp_replace(F.min_by("value", "at"), "^\ufeff|\r$", "")
+    names = [re.sub("^file:/+", "file:/", name) for name in texts.inputFiles()]
+    listed = spark.createDataFrame([(name,) for name in names], "file string")
+    return listed.join(lines.groupBy("file").agg(header.alias("header")), "file", "left")
 
 
 def read_checked(spark: SparkSession, path: str, required: Sequence[str] = tuple(schemas.REQUIRED_RAW),
@@ -89,21 +105,22 @@ def read_checked(spark: SparkSession, path: str, required: Sequence[str] = tuple
     Columns are matched by the header of each file, in whatever order; absent
     optional columns become null. Files are read once per distinct header.
     """
-    names = F.transform(F.split("header", ",", -1), lambda c: F.btrim(c, F.lit(' "')))
+    names = F.transform(F.split(F.coalesce("header", F.lit("")), ",", -1), lambda c: F.btrim(c, F.lit(' "')))
     need = F.array(*[F.lit(c) for c in required])
     files = file_headers(spark, path, pattern).withColumn("names", names).withColumn(
         "missing", F.array_sort(F.array_except(need, "names"))).withColumn("ok", F.size("missing") == 0)
     files = files.drop("header")
-    layouts = files.where("ok").groupBy("names").agg(F.collect_list("file").alias("files"))
-    # file names are already known to the driver through Spark's own file index
-    found = layouts.limit(_MANY_LAYOUTS + 1).collect()
-    if len(found) > _MANY_LAYOUTS:
-        raise ValueError(f"more than {_MANY_LAYOUTS} different headers under {path}")
+    # file names only, which the driver holds anyway in Spark's own file index
+    layouts: dict[tuple, list[str]] = {}
+    for found in files.where("ok").select("names", "file").toLocalIterator():
+        layouts.setdefault(tuple(found["names"]), []).append(found["file"])
+        if len(layouts) > _MANY_LAYOUTS:
+            raise ValueError(f"more than {_MANY_LAYOUTS} different headers under {path}")
     rows = spark.createDataFrame([], StructType([StructField(c, StringType()) for c in [*columns, "file"]]))
-    for layout in found:
-        schema = StructType([StructField(n, StringType()) for n in layout["names"]])
-        part = read_csv(spark, sorted(layout["files"]), schema).select(
-            *[F.col(c) if c in layout["names"] else F.lit(None).cast("string").alias(c) for c in columns],
+    for header, paths in sorted(layouts.items()):
+        schema = StructType([StructField(n, StringType()) for n in header])
+        part = read_csv(spark, sorted(paths), schema).select(
+            *[F.col(c) if c in header else F.lit(None).cast("string").alias(c) for c in columns],
             F.col("_metadata.file_path").alias("file"))
         rows = rows.unionByName(part)
     return CheckedRead(rows, files)
@@ -165,12 +182,8 @@ def canonical_books(spark: SparkSession) -> DataFrame:
 
 
 def new_units(df: DataFrame, done: DataFrame | None, unit: Sequence[str]) -> DataFrame:
-    """Rows of units that have no output yet.
-
-    The list of finished units is one row per unit; Spark broadcasts it when it
-    measures it to be small.
-    """
-    return df if done is None else df.join(done.select(*unit).distinct(), list(unit), "left_anti")
+    """Rows of units that have no output yet."""
+    return df if done is None else filter_join(df, done, unit, "left_anti")
 
 
 def write_error_examples(examples: DataFrame, path: str) -> None:

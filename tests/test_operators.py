@@ -8,6 +8,7 @@ from glossa.domains import EMOTIONS, EMOTIONS_ES, THEMES, THEMES_ES, sections
 from glossa.operators import aggregates, annotate, evaluate, filters, recommend, scoring
 from glossa.operators.transfer import transfer_audit, transfer_by_position, transfer_labels
 from glossa.plans import labeling
+from glossa.session import scratch_path
 
 
 def test_domains():
@@ -227,3 +228,17 @@ def test_back_translation_closes(spark):
     assert df.where(back_translate(translate_emotion(F.col("e")), EMOTIONS_ES) != F.col("e")).count() == 0
     themes = spark.createDataFrame([(";".join(THEMES),)], "t string").select(translate_themes(F.col("t"))).first()[0]
     assert themes == ";".join(THEMES_ES.values())
+
+
+def test_label_tables_resume(spark):
+    folder = scratch_path(spark, "labeled")
+    df = spark.createDataFrame([("c", 1, "eee l"), ("c", 2, "iii f"), ("c", 3, "ooo")], "corpus string, book_no int, text string")
+    first = labeling.label_tables(df.where("book_no < 3"), folder, vowel_scorer(), None)
+    assert [(a["stage"], a["rows"]) for a in first] == [("emotion", 2)]
+    second = labeling.label_tables(df, folder, vowel_scorer(), lambda: theme_scorer())
+    assert [(a["stage"], a["rows"]) for a in second] == [("emotion", 1), ("theme", 3)]
+    third = labeling.label_tables(df, folder, vowel_scorer(), lambda: theme_scorer())
+    assert [(a["stage"], a["rows"]) for a in third] == [("emotion", 0), ("theme", 0)]
+    rows = spark.read.parquet(folder + "/emotion_theme").collect()
+    assert {(r["book_no"], r["emotion"], r["theme"]) for r in rows} == {
+        (1, "joy", "love"), (2, "fear", "faith;forgiveness;fear"), (3, "anger", "")}

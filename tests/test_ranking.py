@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glossa.operators import sampling, sets
 from glossa.operators.transfer import first_wins, last_wins
 from glossa.plans.ranking import first_per_group, hash_rank, sequential_id
-from glossa.plans.skew import lookup_join
+from glossa.plans.skew import filter_join, lookup_join
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +78,20 @@ def test_first_and_last_wins(rows):
         min(3, n) for n in Counter(r["g"] for r in data).values())
 
 
+def test_first_per_group_beyond_the_window_limit(rows):
+    sizes = Counter(r["g"] for r in rows.collect())
+    got = Counter(r["g"] for r in first_per_group(rows, ["g"], ["id"], 1000).collect())
+    assert got == {g: min(n, 1000) for g, n in sizes.items()}
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_filter_join(spark, rows, how):
+    keys = spark.createDataFrame([("hot",), ("hot",), ("g1",), (None,)], "g string")
+    plain = Counter(map(tuple, rows.join(keys, ["g"], how).collect()))
+    for small in (0, 10):
+        assert Counter(map(tuple, filter_join(rows, keys, ["g"], how, small).collect())) == plain
+
+
 def test_first_per_group_limits_before_the_shuffle(rows):
     plan = first_per_group(rows, ["g"], ["id"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
