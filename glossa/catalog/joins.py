@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossa.catalog.registry import Tables, query
-from glossa.catalog.roles import BOOK_NO_SQL, CORPUS_SQL, corpus, emotion_es_sql, emotion_of, themes_es_sql, themes_of
+from glossa.catalog.roles import BOOK_NO_SQL, CORPUS_SQL, corpus, emotion_es_sql, emotion_of, literal, themes_es_sql, themes_of
 from glossa.domains import EMOTIONS, EMOTIONS_ES, THEMES, THEMES_ES, sections
 from glossa.functions.labels import lookup
+from glossa.functions.text import WHITESPACE
 from glossa.operators import annotate, recommend
 from glossa.operators import transfer as J
 
+_WS = literal(WHITESPACE)
 _SOURCE_SQL = f"""{CORPUS_SQL}, src AS (
   SELECT book_no, n_chars % 9 AS chapter, doc_id % 11 AS verse, doc_id, theme_en, emotion_en FROM corpus0),
 last AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY book_no, chapter, verse ORDER BY doc_id DESC) = 1),
@@ -167,3 +169,28 @@ def j09(spark, sf_dir):
     left = t.documents.select(F.substr("source", F.lit(4)).cast("int").alias("number"), F.col("source").alias("name"))
     right = t.conversations.select((F.col("conv_id") % 15).cast("int").alias("number"), F.col("role").alias("name"))
     return J.unit_pairs(left, right, "number", "name")
+
+
+@query("j08_request_citations", f"""WITH {PICKS_SQL}, lines AS (
+  SELECT request_id, section, pick, upper(book[1]) || lower(book[2:]) || ' ' || chapter || ':' || verse || ' - ' || trim(c.text, {_WS}) AS line
+  FROM answers JOIN corpus c USING (verse_id))
+SELECT request_id, string_agg(line, chr(10) || chr(10) ORDER BY section, pick) AS verses FROM lines GROUP BY request_id""")
+def j08_citations(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = corpus(t).select("verse_id", "lang", "book", "emotion", "theme", "chapter", "verse", "text")
+    index, sizes = recommend.prepare_corpus(rows, ["verse_id"])
+    answers = recommend.answer_requests(requests(t), index, sizes, ["book", "chapter", "verse", "text"])
+    return recommend.citations(answers).select("request_id", F.array_join("verses", "\n\n").alias("verses"))
+
+
+@query("j09_transfer_corpus", f"""WITH {_SOURCE_SQL}, files AS (
+  SELECT book_no, min('f' || conv_id % 40) AS file FROM target GROUP BY book_no)
+SELECT conv_id, turn, coalesce({emotion_es_sql('emotion_en')}, '') AS emotion, last.doc_id IS NOT NULL AS matched
+FROM target LEFT JOIN last USING (book_no, chapter, verse)
+WHERE EXISTS (SELECT 1 FROM files WHERE files.book_no = target.book_no AND file = 'f' || target.conv_id % 40)
+  AND book_no IN (SELECT book_no FROM src)""")
+def j09_corpus(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = target(t).withColumn("file", F.concat(F.lit("f"), F.col("conv_id") % 40))
+    moved, _ = J.transfer_corpus(rows, source(t).withColumn("file", F.lit("all")), ["doc_id"])
+    return moved.select("conv_id", "turn", "emotion", "matched")

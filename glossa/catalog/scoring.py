@@ -12,6 +12,7 @@ from glossa.domains import FINE_TO_COARSE
 from glossa.functions.labels import join_labels
 from glossa.functions.scores import labels_above, top_prediction, zip_predictions
 from glossa.operators import evaluate as E
+from glossa.operators import recommend
 from glossa.operators import scoring as M
 from glossa.operators.sampling import stratified_folds
 from glossa.plans import labeling, training
@@ -38,14 +39,17 @@ def vowel_scorer(fail_on: str | None = None, short_by: int = 0):
 
 def theme_scorer():
     """Factory of a checkable theme scorer: every label scored by its own letter."""
-    def classify(texts, candidate_labels, multi_label):
-        def one(text):
-            size = max(len(text), 1)
-            return {"labels": list(candidate_labels),
-                    "scores": [min(1.0, 10 * text.count(label[0]) / size) for label in candidate_labels]}
-        return [one(t) for t in texts]
+    def factory():
+        def classify(texts, candidate_labels, multi_label):
+            def one(text):
+                size = max(len(text), 1)
+                return {"labels": list(candidate_labels),
+                        "scores": [min(1.0, 10 * text.count(label[0]) / size) for label in candidate_labels]}
+            return [one(t) for t in texts]
+
+        return classify
 
-    return classify
+    return factory
 
 
 def _count(letter: str) -> str:
@@ -119,11 +123,23 @@ _TOP_THEME = f"greatest({', '.join(_COUNTS.values())})"
   round(least(1.0, 10 * {_TOP_THEME} / greatest(length(text), 1)), 6) AS score FROM documents""")
 def m05(spark, sf_dir):
     docs = Tables(spark, sf_dir).spread("documents")
-    scored = M.score_candidates(docs, "text", lambda: theme_scorer(), list(_THEME_LETTERS), multi_label=False)
+    scored = M.score_candidates(docs, "text", theme_scorer(), list(_THEME_LETTERS), multi_label=False)
     top = M.top_theme(F.col("preds"), F.col("lang"))
     return scored.withColumn("_t", top).select("doc_id", F.col("_t.label").alias("theme"), F.round("_t.score", 6).alias("score"))
 
 
+@query("m05_analyze_requests", f"""WITH r AS (SELECT conv_id, turn, role, text, CASE WHEN conv_id % 2 = 0 THEN 'en' ELSE 'es' END AS lang FROM conversations)
+SELECT conv_id, turn, {_EMOTION} AS emotion, round({_BEST} / greatest(length(text), 1), 6) AS emotion_score,
+  CASE WHEN {_COUNTS['Love']} = {_TOP_THEME} THEN CASE WHEN lang = 'es' THEN 'Amor' ELSE 'Love' END
+  WHEN {_COUNTS['Faith']} = {_TOP_THEME} THEN CASE WHEN lang = 'es' THEN 'Fe' ELSE 'Faith' END
+  ELSE CASE WHEN lang = 'es' THEN 'Esperanza' ELSE 'Hope' END END AS theme FROM r WHERE length(trim(text)) >= 3""")
+def m05_requests(spark, sf_dir):
+    asks = Tables(spark, sf_dir).spread("conversations").withColumn(
+        "lang", F.when(F.col("conv_id") % 2 == 0, "en").otherwise("es"))
+    found = recommend.analyze_requests(asks, vowel_scorer(), theme_scorer(), list(_THEME_LETTERS))
+    return found.select("conv_id", "turn", "emotion", F.round("emotion_score", 6).alias("emotion_score"), "theme")
+
+
 @query("m06_failure_isolation", f"""SELECT doc_id, CASE WHEN contains(text, ' que ') THEN 'error' ELSE {_EMOTION} END AS emotion FROM documents""")
 def m06(spark, sf_dir):
     scored = M.score_texts(Tables(spark, sf_dir).spread("documents"), "text", vowel_scorer(fail_on=" que "), batch=1)
@@ -149,7 +165,7 @@ FROM documents WHERE source <> 'src3'""")
 def m08(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents.select("doc_id", "text", "source", "lang")
     done = docs.where("source = 'src3'")
-    out = labeling.run_labeling(docs, vowel_scorer(), lambda: theme_scorer(), unit=["source"], done=done, threshold=0.5)
+    out = labeling.run_labeling(docs, vowel_scorer(), theme_scorer(), unit=["source"], done=done, threshold=0.5)
     return out.select("doc_id", "emotion", "theme")
 
 

@@ -147,6 +147,13 @@ def s06(spark, sf_dir):
     return pages.parse_pages(chapter_pages(Tables(spark, sf_dir)))
 
 
+@query("s06_page_audit", f"""WITH {_CHAPTERS_SQL}
+SELECT page_id, true AS has_content, count(*)::INT AS numbers, count(*) FILTER (WHERE NOT valid)::INT AS bad_numbers
+FROM tokens GROUP BY page_id""")
+def s06_audit(spark, sf_dir):
+    return pages.page_audit(chapter_pages(Tables(spark, sf_dir)))
+
+
 @query("w05_running_subtitle", f"""WITH {_CHAPTERS_SQL}
 SELECT 'H' || (verse - verse % 3) AS subtitle, count(*) AS verses FROM verses
 WHERE text IS NOT NULL AND (brk = 1 OR g = last_g) GROUP BY 1""")

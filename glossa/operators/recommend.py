@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa import domains
-from glossa.functions.labels import lookup, normalized_set, split_labels
+from glossa.functions.labels import citation, coarse_emotion, lookup, normalized_set
+from glossa.functions.scores import top_prediction
 from glossa.functions.text import normalize
 from glossa.operators.filters import admissible, matches
+from glossa.operators.scoring import BATCH, score_candidates, score_texts, top_theme
 from glossa.plans.ranking import hash_number, hash_rank, seeded_hash
 
 PER_SECTION = 2
@@ -126,6 +128,29 @@ def admitted(requests: DataFrame, text: str = "text") -> DataFrame:
     return requests.where(admissible(F.col(text)))
 
 
-def exploded_themes(corpus: DataFrame, theme: str = "theme") -> DataFrame:
-    """Corpus rows once per theme."""
-    return corpus.withColumn("theme", F.explode(split_labels(F.col(theme))))
+def analyze_requests(requests: DataFrame, emotion: Callable, theme: Callable,
+                     themes: Sequence[str] = tuple(t.capitalize() for t in domains.THEMES),
+                     batch: int = BATCH) -> DataFrame:
+    """Emotion and theme of admitted request texts, with scores.
+
+    Adds ``emotion``, ``emotion_score``, ``theme`` and ``theme_score``; emotions are
+    the coarse ones, the theme is the single best and in the request's language.
+    """
+    scored = score_texts(admitted(requests), "text", emotion, "_e", batch)
+    scored = score_candidates(scored, "text", theme, themes, "_t", batch, multi_label=False)
+    best, shown = top_prediction(F.col("_e")), top_theme(F.col("_t"), F.col("lang"))
+    return (scored.withColumn("_b", best).withColumn("_s", shown)
+            .withColumn("emotion", F.when(F.col("_b").isNotNull(), coarse_emotion(F.col("_b.label"))))
+            .withColumn("emotion_score", F.col("_b.score")).withColumn("theme", F.col("_s.label"))
+            .withColumn("theme_score", F.col("_s.score"))
+            .drop("_e", "_e_error", "_t", "_t_error", "_b", "_s"))
+
+
+def citations(answers: DataFrame) -> DataFrame:
+    """the picks of each request as an array of citations, by section and pick.
+
+    An answered request has at most ``n`` rows per section, so its array is short.
+    """
+    line = citation(F.col("book"), F.col("chapter"), F.col("verse"), F.col("text"))
+    listed = F.array_sort(F.collect_list(F.struct("section", "pick", line.alias("line"))))
+    return answers.groupBy("request_id").agg(F.transform(listed, lambda x: x["line"]).alias("verses"))

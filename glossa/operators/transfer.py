@@ -92,6 +92,18 @@ def unit_pairs(left: DataFrame, right: DataFrame, number: str, name: str) -> Dat
         number, "unit", "partner", F.coalesce("partners", F.lit(0)).alias("partners"))
 
 
+def transfer_corpus(target: DataFrame, source: DataFrame, position: Sequence[str], number: str = "book_no",
+                    name: str = "file") -> tuple[DataFrame, DataFrame]:
+    """J09 + J01: pair the units of two corpora by number and transfer labels inside the pairs.
+
+    A source unit with several target units labels the one with the smallest
+    name. Returns the labelled rows of the chosen units and the pairing report.
+    """
+    pairs = unit_pairs(source, target, number, name)
+    chosen = pairs.select(number, F.col("partner").alias(name))
+    return transfer_labels(filter_join(target, chosen, [number, name]), source, position), pairs
+
+
 def transfer_audit(transferred: DataFrame, *by: str) -> DataFrame:
     """Rows and unmatched rows per unit."""
     return transferred.groupBy(*by).agg(

@@ -112,6 +112,16 @@ def parse_pages(pages: DataFrame, layout: PageLayout = PageLayout(), html: str =
             .where("text != ''"))
 
 
+def page_audit(pages: DataFrame, layout: PageLayout = PageLayout(), html: str = "html") -> DataFrame:
+    """Per page whether it has content, its number marks, and those without an integer."""
+    body = F.coalesce(F.regexp_extract(html, layout.content, 1), F.lit(""))
+    keep = [c for c in pages.columns if c != html]
+    return pages.select(
+        *keep, F.coalesce(F.col(html).rlike(layout.content), F.lit(False)).alias("has_content"),
+        F.regexp_count(body, F.lit(layout.number)).alias("numbers"),
+        F.regexp_count(body, F.lit("(?is)" + _bad_numbers(layout.number))).alias("bad_numbers"))
+
+
 def _split_at(pattern: str) -> str:
     return "(?is)" + _ungroup(pattern)
 

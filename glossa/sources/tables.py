@@ -23,6 +23,7 @@ from glossa.plans.skew import filter_join
 _CSV = {"quote": '"', "escape": '"', "multiLine": "true", "encoding": "UTF-8"}
 CORPUS_FILES = "*_emotion_theme.csv"
 _MANY_LAYOUTS = 200
+_CORRUPT = "_corrupt_record"
 
 
 def file_name() -> Column:
@@ -76,10 +77,15 @@ def corpus_folder(base: str, lang: str) -> str:
 
 @dataclass
 class CheckedRead:
-    """Rows of the usable files, and one row per file with its verdict."""
+    """Rows of the usable files, one row per file with its verdict, and odd records.
+
+    ``malformed`` lists records with more or fewer fields than their header; they
+    are also among ``rows``, cut off or filled up with nulls.
+    """
 
     rows: DataFrame
     files: DataFrame
+    malformed: DataFrame
 
 
 def file_headers(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
@@ -116,14 +122,15 @@ def read_checked(spark: SparkSession, path: str, required: Sequence[str] = tuple
         layouts.setdefault(tuple(found["names"]), []).append(found["file"])
         if len(layouts) > _MANY_LAYOUTS:
             raise ValueError(f"more than {_MANY_LAYOUTS} different headers under {path}")
-    rows = spark.createDataFrame([], StructType([StructField(c, StringType()) for c in [*columns, "file"]]))
+    rows = spark.createDataFrame([], StructType([StructField(c, StringType()) for c in [*columns, "file", _CORRUPT]]))
     for header, paths in sorted(layouts.items()):
-        schema = StructType([StructField(n, StringType()) for n in header])
+        schema = StructType([StructField(n, StringType()) for n in [*header, _CORRUPT]])
         part = read_csv(spark, sorted(paths), schema).select(
             *[F.col(c) if c in header else F.lit(None).cast("string").alias(c) for c in columns],
-            F.col("_metadata.file_path").alias("file"))
+            F.col("_metadata.file_path").alias("file"), _CORRUPT)
         rows = rows.unionByName(part)
-    return CheckedRead(rows, files)
+    malformed = rows.where(F.col(_CORRUPT).isNotNull()).select("file", F.col(_CORRUPT).alias("record"), *required)
+    return CheckedRead(rows.drop(_CORRUPT), files, malformed)
 
 
 def audit_files(checked: CheckedRead, kept: Column) -> DataFrame:

@@ -208,7 +208,7 @@ def test_factory_runs_once_per_task(spark):
 
 def test_theme_scorer_gets_labels(spark):
     df = spark.createDataFrame([("l" * 9 + "f", "x")], "text string, lang string")
-    scored = scoring.score_candidates(df, "text", lambda: theme_scorer(), THEMES)
+    scored = scoring.score_candidates(df, "text", theme_scorer(), THEMES)
     assert scored.select(scoring.theme_labels(threshold=1.0)).first()[0] == "love;faith;forgiveness;fear"
 
 
@@ -216,9 +216,9 @@ def test_two_stage_labeling(spark):
     df = spark.createDataFrame([("c", 1, "eee l", "old"), ("c", 2, "iii f", "old"), ("c", 3, "ooo", "old")],
                                "corpus string, book_no int, text string, emotion string")
     done = spark.createDataFrame([("c", 3)], "corpus string, book_no int")
-    both = labeling.run_labeling(df, vowel_scorer(), lambda: theme_scorer(), done=done).collect()
+    both = labeling.run_labeling(df, vowel_scorer(), theme_scorer(), done=done).collect()
     assert {(r["book_no"], r["emotion"], r["theme"]) for r in both} == {(1, "joy", "love"), (2, "fear", "faith;forgiveness;fear")}
-    trial = labeling.run_labeling(df, None, lambda: theme_scorer(), only={"book_no": 1}).collect()
+    trial = labeling.run_labeling(df, None, theme_scorer(), only={"book_no": 1}).collect()
     assert [(r["book_no"], r["emotion"], r["theme"]) for r in trial] == [(1, "old", "love")]
 
 
@@ -235,9 +235,9 @@ def test_label_tables_resume(spark):
     df = spark.createDataFrame([("c", 1, "eee l"), ("c", 2, "iii f"), ("c", 3, "ooo")], "corpus string, book_no int, text string")
     first = labeling.label_tables(df.where("book_no < 3"), folder, vowel_scorer(), None)
     assert [(a["stage"], a["rows"]) for a in first] == [("emotion", 2)]
-    second = labeling.label_tables(df, folder, vowel_scorer(), lambda: theme_scorer())
+    second = labeling.label_tables(df, folder, vowel_scorer(), theme_scorer())
     assert [(a["stage"], a["rows"]) for a in second] == [("emotion", 1), ("theme", 3)]
-    third = labeling.label_tables(df, folder, vowel_scorer(), lambda: theme_scorer())
+    third = labeling.label_tables(df, folder, vowel_scorer(), theme_scorer())
     assert [(a["stage"], a["rows"]) for a in third] == [("emotion", 0), ("theme", 0)]
     rows = spark.read.parquet(folder + "/emotion_theme").collect()
     assert {(r["book_no"], r["emotion"], r["theme"]) for r in rows} == {

@@ -70,6 +70,10 @@ def test_checked_read_sets_bad_files_aside(spark, folder):
     got = {r["file"].rsplit("/", 1)[1]: (r["missing"], r["rows"], r["kept"], r["removed"], r["processed"]) for r in audit.collect()}
     assert got == {"a.csv": ("", 2, 1, 1, True), "b.csv": ("", 1, 1, 0, True), "c.csv": ("verse", 0, 0, 0, False),
                    "d.csv": ("", 1, 0, 1, False), "e.csv": ("book,chapter,text,verse", 0, 0, 0, False)}
+    folder("f/f.csv", HEAD + "f,1,1,s,t\nf,1,2,s,t,u,extra\nf,1,3,s,t,u\n")
+    odd = tables.read_checked(spark, folder.root + "/f")
+    assert sorted(r["verse"] for r in odd.malformed.collect()) == ["1", "2"]
+    assert {r["verse"]: r["source_url"] for r in odd.rows.collect()} == {"1": None, "2": "u", "3": "u"}
     total = tables.session_summary(audit).first()
     assert (total["processed"], total["failed"], total["rows"], total["kept"]) == (2, 3, 4, 2)
 
