@@ -11,6 +11,7 @@ from glossa.functions.labels import lookup
 from glossa.functions.text import WHITESPACE
 from glossa.operators import annotate, recommend
 from glossa.operators import transfer as J
+from glossa.session import scratch_path
 
 _WS = literal(WHITESPACE)
 _SOURCE_SQL = f"""{CORPUS_SQL}, src AS (
@@ -157,7 +158,8 @@ answers AS (SELECT request_id, lang, section, pick, verse_id FROM picks JOIN ran
 @query("j08_batch_recommendation", f"WITH {PICKS_SQL} SELECT request_id, lang, section, pick, verse_id FROM answers")
 def j08(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    index, sizes = recommend.prepare_corpus(corpus(t).select("verse_id", "lang", "book", "emotion", "theme"), ["verse_id"])
+    rows = corpus(t).select("verse_id", "lang", "book", "emotion", "theme")
+    index, sizes = recommend.store_index(rows, ["verse_id"], scratch_path(spark, "index"))
     return recommend.answer_requests(requests(t), index, sizes, ["verse_id"])
 
 
@@ -178,7 +180,7 @@ SELECT request_id, string_agg(line, chr(10) || chr(10) ORDER BY section, pick) A
 def j08_citations(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = corpus(t).select("verse_id", "lang", "book", "emotion", "theme", "chapter", "verse", "text")
-    index, sizes = recommend.prepare_corpus(rows, ["verse_id"])
+    index, sizes = recommend.store_index(rows, ["verse_id"], scratch_path(spark, "index"))
     answers = recommend.answer_requests(requests(t), index, sizes, ["book", "chapter", "verse", "text"])
     return recommend.citations(answers).select("request_id", F.array_join("verses", "\n\n").alias("verses"))
 

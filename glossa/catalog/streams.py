@@ -56,13 +56,12 @@ def t02(spark, sf_dir):
 
 @query("t03_answer_stream", f"WITH {PICKS_SQL} SELECT request_id, lang, section, pick, verse_id FROM answers")
 def t03(spark, sf_dir):
-    index, sizes = recommend.prepare_corpus(
-        corpus(Tables(spark, sf_dir)).select("verse_id", "lang", "book", "emotion", "theme"), ["verse_id"])
-    path = scratch_path(spark, "index")
-    index.write.parquet(path + "/rows")
-    sizes.write.parquet(path + "/sizes")
-    index, sizes = spark.read.parquet(path + "/rows"), spark.read.parquet(path + "/sizes")
-    return _run(jobs.answer_stream(requests(_Arrivals(spark, sf_dir)), index, sizes, ["verse_id"]), spark, "answers")
+    rows = corpus(Tables(spark, sf_dir)).select("verse_id", "lang", "book", "emotion", "theme")
+    index, sizes = recommend.store_index(rows, ["verse_id"], scratch_path(spark, "index"))
+    path = scratch_path(spark, "answers")
+    arriving = requests(_Arrivals(spark, sf_dir))
+    jobs.run_to_end(jobs.answer_arrivals(arriving, index, sizes, ["verse_id"], path, path + "-checkpoint"))
+    return spark.read.parquet(path).drop("batch")
 
 
 @query("flagship_label_report", f"""WITH {LABELED_SQL}, c AS (SELECT lang AS label, count(*) AS support,

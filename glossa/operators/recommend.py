@@ -14,6 +14,7 @@ from glossa.functions.text import normalize
 from glossa.operators.filters import admissible, matches
 from glossa.operators.scoring import BATCH, score_candidates, score_texts, top_theme
 from glossa.plans.ranking import hash_number, hash_rank, seeded_hash
+from glossa.plans.skew import SMALL_ROWS, counted_join
 
 PER_SECTION = 2
 MAX_RESULTS = 5
@@ -97,6 +98,15 @@ def prepare_corpus(corpus: DataFrame, key: Sequence[str], seed=0) -> tuple[DataF
     return candidate_index(rows, key, group, seed), group_sizes(rows, group)
 
 
+def store_index(corpus: DataFrame, key: Sequence[str], path: str, seed=0) -> tuple[DataFrame, DataFrame]:
+    """``prepare_corpus`` written to tables below ``path``, to be computed once and served often."""
+    parts = []
+    for name, df in zip(("rows", "sizes"), prepare_corpus(corpus, key, seed)):
+        df.write.parquet(f"{path}/{name}")
+        parts.append(corpus.sparkSession.read.parquet(f"{path}/{name}"))
+    return tuple(parts)
+
+
 def answer_requests(requests: DataFrame, index: DataFrame, sizes: DataFrame, payload: Sequence[str],
                     n: int = PER_SECTION, seed=0) -> DataFrame:
     """For every (request_id, lang, emotion, theme) up to ``n`` rows per section.
@@ -112,14 +122,16 @@ def answer_requests(requests: DataFrame, index: DataFrame, sizes: DataFrame, pay
         normalize(localized(F.col("emotion"), F.col("lang"), domains.EMOTIONS_ES)).alias("emotion_norm"),
         normalize(localized(F.col("theme"), F.col("lang"), domains.THEMES_ES)).alias("theme_norm"))
     group = ["lang", "emotion_norm", "theme_norm"]
-    # group sizes: one row per label combination and section; AQE broadcasts it only if it is small
-    sized = wanted.join(sizes, group)
+    sized = counted_join(wanted, sizes, group)
     begin = F.pmod(hash_number(seeded_hash(seed, "request_id", "section"), 12), F.col("slots"))
     picks = (sized.withColumn("pick", F.explode(F.sequence(
                  F.lit(0).cast("bigint"), F.least(F.lit(n), F.col("size")) - 1)))
              .withColumn("slot", F.pmod(begin + F.col("pick"), F.col("slots")))
              .select("request_id", *group, "section", "pick", "slot"))
-    return picks.join(index.select(*group, "section", "slot", *payload), [*group, "section", "slot"]).select(
+    # few picks are sent to the corpus rows instead of shuffling the corpus
+    few = picks.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return index.select(*group, "section", "slot", *payload).join(
+        F.broadcast(picks) if few else picks, [*group, "section", "slot"]).select(
         "request_id", "lang", "section", "pick", *payload)
 
 

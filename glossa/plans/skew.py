@@ -1,4 +1,4 @@
-"""Lookup joins that survive hot keys."""
+"""Joins of a large table with a lookup table or key list that survive hot keys."""
 
 from __future__ import annotations
 
@@ -7,44 +7,66 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1_000      # size bound of the broadcast list of hot keys
+HOT_KEYS = 1_000      # size bound of the list of hot keys
 HOT_ROWS = 100_000    # rows of one key that one task should handle
 MOST_PIECES = 2_000   # pieces one hot key is cut into
 SMALL_ROWS = 200_000  # key lists up to this many rows are broadcast
+_SAMPLED = 1_000      # expected sample of a key that is just hot
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than about ``hot_rows`` rows and the pieces to cut them into, or None.
+
+    Counted on a sample of the key columns alone. At most ``HOT_KEYS`` keys come
+    back, the most frequent ones, so any other key holds under 1/``HOT_KEYS`` of
+    the rows. The list is fixed here, which lets both sides of a join use it.
+    """
+    fraction = min(1.0, _SAMPLED / hot_rows)
+    keys = df.select(*on) if fraction == 1.0 else df.select(*on).sample(fraction, seed=17)
+    pieces = F.least(F.ceil(F.col("_n") / (fraction * hot_rows)), F.lit(MOST_PIECES))
+    found = (keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fraction * hot_rows)
+             .orderBy(F.desc("_n")).limit(HOT_KEYS).select(*on, pieces.alias("_pieces")))
+    listed = found.collect()
+    return df.sparkSession.createDataFrame(listed, found.schema) if listed else None
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join a large table to a table with at most one row per key.
+    """Join a large table to a table with about one row per key.
 
-    The keys are counted first (map-side combined). The at most ``HOT_KEYS``
-    most frequent keys with more than ``hot_rows`` rows are cut into pieces by a
-    row hash, and their single right-hand row is repeated once per piece. Any
-    other key holds under 1/``HOT_KEYS`` of the rows. Null keys never match, but
-    are spread in the same way. ``how``: left, inner, left_semi or left_anti.
+    Without hot keys this is a plain join. Otherwise the rows of each hot key are
+    cut into pieces by a row hash, and its right-hand rows are repeated once per
+    piece; null keys never match, but are cut up as well. ``how``: left, inner,
+    left_semi or left_anti.
     """
-    hot = (left.groupBy(F.struct(*on).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(HOT_KEYS)
-           .select("_key", F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MOST_PIECES)).alias("_pieces")))
-    hot = F.broadcast(hot)
+    on = list(on)
+    hot = hot_keys(left, on, hot_rows)
+    if hot is None:
+        return left.join(right, on, how)
+    hot = F.broadcast(hot.select(F.struct(*on).alias("_key"), "_pieces"))
     spread = F.pmod(F.xxhash64(*left.columns), F.col("_pieces"))
     salted = (left.withColumn("_key", F.struct(*on)).join(hot, "_key", "left")
               .withColumn("_salt", F.coalesce(spread, F.lit(0).cast("bigint"))).drop("_key", "_pieces"))
+    last = F.coalesce(F.col("_pieces"), F.lit(1).cast("bigint")) - 1
     repeated = (right.withColumn("_key", F.struct(*on)).join(hot, "_key", "left")
-                .withColumn("_salt", F.explode(F.sequence(
-                    F.lit(0).cast("bigint"), F.coalesce(F.col("_pieces"), F.lit(1).cast("bigint")) - 1)))
+                .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
                 .drop("_key", "_pieces"))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def filter_join(left: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "left_semi",
-                small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Keep (``left_semi``) or drop (``left_anti``) the rows of a large table by a key list.
+def counted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
+                 small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Join a large table to a lookup table that is usually, but not surely, small.
 
-    The list is counted first. When small it is broadcast, so the large table is
-    not shuffled at all; otherwise hot keys are spread as in ``lookup_join``.
+    The lookup table is counted first. When small it is broadcast, so the large
+    table is not shuffled at all; otherwise hot keys are spread as in ``lookup_join``.
     """
-    listed = keys.select(*on).dropna().distinct()
-    if listed.limit(small_rows + 1).count() <= small_rows:
-        return left.join(F.broadcast(listed), list(on), how)
-    return lookup_join(left, listed, on, how)
+    if right.limit(small_rows + 1).count() <= small_rows:
+        return left.join(F.broadcast(right), list(on), how)
+    return lookup_join(left, right, on, how)
+
+
+def filter_join(left: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "left_semi",
+                small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Keep (``left_semi``) or drop (``left_anti``) the rows of a large table by a key list."""
+    return counted_join(left, keys.select(*on).dropna().distinct(), on, how, small_rows)

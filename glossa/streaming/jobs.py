@@ -60,11 +60,16 @@ def unique_feedback(events: DataFrame, session: str = "session_id", time: str =
     return thinned.withWatermark(time, delay).dropDuplicatesWithinWatermark([session])
 
 
-def answer_stream(requests: DataFrame, index: DataFrame, sizes: DataFrame, payload: Sequence[str],
-                  n: int = PER_SECTION, seed=0) -> DataFrame:
-    """Recommendations for arriving requests, as stream-static equi-joins.
+def answer_arrivals(requests: DataFrame, index: DataFrame, sizes: DataFrame, payload: Sequence[str], path: str,
+                    checkpoint: str, n: int = PER_SECTION, seed=0) -> StreamingQuery:
+    """Recommendations for arriving requests, one folder ``batch=<id>`` per micro-batch.
 
-    ``index`` and ``sizes`` are written tables made by ``prepare_corpus``; picks are
-    computed from slots, so no ranking is needed on the stream.
+    ``index`` and ``sizes`` are the tables made by ``store_index``. A repeated
+    batch overwrites its own folder, so every request is answered exactly once.
     """
-    return answer_requests(admitted(requests), index, sizes, payload, n, seed)
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        answers = answer_requests(admitted(batch), index, sizes, payload, n, seed)
+        answers.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
