@@ -7,13 +7,14 @@ travel row by row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from glossa.functions.labels import split_labels
-from glossa.plans.ranking import sequential_id
+from glossa.plans.ranking import running_total
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
@@ -77,17 +78,19 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
-    """Linear-interpolated quantiles from a distributed sort, as (fraction, value) rows."""
-    values = df.select(F.col(column).cast("double").alias("v")).dropna()
-    numbered = sequential_id(values, ["v"], out="at", start=0)
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    rows = F.array(*[F.struct(F.lit(f).alias("fraction"), (F.lit(f) * (F.col("n") - 1)).alias("pos"))
-                     for f in fractions])
-    wanted = (n.where("n > 0").select(F.explode(rows).alias("_r")).select("_r.*")
-              .select("fraction", "pos", F.explode(F.array_distinct(F.array(
-                  F.floor("pos"), F.ceil("pos")))).alias("at")))
-    # one or two positions per fraction, so the wanted side has a fixed size
-    hits = numbered.join(F.broadcast(wanted), "at")
+    """Linear-interpolated quantiles, exact at any size, as (fraction, value) rows.
+
+    Equal values are counted first, so a very frequent value is one row; the
+    distinct values get running totals from a distributed sort.
+    """
+    counts = (df.select(F.col(column).cast("double").alias("v")).dropna().groupBy("v")
+              .agg(F.count(F.lit(1)).alias("n")))
+    totals = running_total(counts, ["v"], "n", "upto")
+    rows = totals.agg(F.sum("n")).first()[0] or 0
+    wanted = [F.struct(F.lit(f).alias("fraction"), F.lit(f * (rows - 1)).alias("pos"), F.lit(p).alias("at"))
+              for f in fractions for p in sorted({floor(f * (rows - 1)), ceil(f * (rows - 1))})]
+    held = F.filter(F.array(*wanted), lambda x: (x["at"] < F.col("upto")) & (x["at"] >= F.col("upto") - F.col("n")))
+    hits = totals.select("v", F.explode(held).alias("_w")).select("v", "_w.*")
     low, high = F.min_by("v", "at"), F.max_by("v", "at")
     part = F.max(F.col("pos") - F.floor("pos"))
     return hits.groupBy("fraction").agg((low + (high - low) * part).alias("value"))

@@ -30,7 +30,7 @@ def select_for_annotation(df: DataFrame, n: int, labeled: DataFrame | None = Non
     unique = first_wins(kept, ["verse_id"], order).select("verse_id", "verse")
     if labeled is not None:
         unique = exclude_labeled(unique, labeled, "verse_id")
-    ranked = hash_rank(unique, ["verse_id"], seed, out="_rank", top=n)
+    ranked = hash_rank(unique, ["verse_id"], seed, out="_rank", top=n, unique=True)
     return ranked.select((F.col("_rank") - 1).alias("id"), "verse_id", "verse")
 
 

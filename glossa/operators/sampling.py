@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.plans.ranking import hash_number, hash_rank, seeded_hash
+from glossa.plans.skew import tell_apart
 
 _BLOCK = 10_000  # draws made by one task row when oversampling
 
@@ -23,7 +24,7 @@ def sample_exact(df: DataFrame, n: int, key: Sequence[str], seed=0) -> DataFrame
 
 def shuffle_rows(df: DataFrame, key: Sequence[str], seed=0) -> DataFrame:
     """All rows in a seeded random order."""
-    return df.orderBy(seeded_hash(seed, *key), *key)
+    return tell_apart(df, key, "_tie").orderBy(seeded_hash(seed, *key), *key, "_tie").drop("_tie")
 
 
 def head(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.plans.skew import HOT_ROWS, hot_keys, tell_apart
 from glossa.session import ensure_checkpoint_dir
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
@@ -34,18 +35,23 @@ def _group(by: Sequence[str]) -> Column:
 
 
 def hash_rank(df: DataFrame, key: Sequence[str], seed, by: Sequence[str] = (), out: str = "rank",
-              top: int | None = None, digits: int = 4, total: str | None = None) -> DataFrame:
+              top: int | None = None, digits: int = 4, total: str | None = None, unique: bool = False,
+              hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact 1-based rank of each row in the seeded hash order of its group.
 
     The hash prefix cuts each group into ``16**digits`` even pieces. Only piece
     counts are prefix-summed; rows meet their own piece's offset. With ``top``
-    the pieces beyond it are dropped before any row is shuffled. ``key`` should
-    identify rows; ``total`` names an optional column for the group size.
+    the pieces beyond it are dropped before any row is shuffled. ``total`` names
+    an optional column for the group size. ``key`` should identify rows; should
+    one key turn out to have very many rows, they are told apart first. That check
+    is left out for a key known to be ``unique``.
 
     Pieces and rows are read separately, so ``df`` must yield the same rows every
     time: write or checkpoint a frame made by ``limit`` or ``sample`` first.
     """
-    group, piece = "_group", "_piece"
+    group, piece, key = "_group", "_piece", list(key)
+    if not unique and hot_keys(df, key, hot_rows) is not None:
+        df, key = tell_apart(df, key, "_tie", hot_rows), [*key, "_tie"]
     keyed = df.withColumn("_hash", seeded_hash(seed, *key)).withColumn(
         group, F.struct(_group(by).alias("by"), hash_number(F.col("_hash"), digits).alias(piece)))
     pieces = keyed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
@@ -63,31 +69,19 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed, by: Sequence[str] = (), o
         ranked = ranked.where(F.col(out) <= top)
     if total:
         ranked = ranked.withColumn(total, F.col("_total"))
-    return ranked.drop(group, "_hash", "_before", "_total")
+    return ranked.drop(group, "_hash", "_before", "_total", "_tie")
 
 
 def sequential_id(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[str] = (),
-                  out: str = "id", start: int = 1, stable: bool = False) -> DataFrame:
+                  out: str = "id", start: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Consecutive numbers in a given order, per group or over everything.
 
     One range shuffle sorts the rows by (group, order); the sorted partitions
     are checkpointed, which fixes their layout for good; every row is then
-    numbered by its position plus the counts of the partitions before it.
-    ``order_by`` should be unique per group. With ``stable`` ties keep the input
-    order (costs a second checkpoint, which pins that order).
+    numbered by its position plus the counts of the partitions before it. Rows
+    that are equal in the order are spread as well, in no particular order.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    if stable:
-        tied = df.checkpoint().withColumn("_tie", F.monotonically_increasing_id())
-    else:
-        tied = df.withColumn("_tie", F.xxhash64(*df.columns))
-    order = [*[F.col(c).asc_nulls_first() for c in by],
-             *[c if isinstance(c, Column) else F.col(c) for c in order_by], F.col("_tie")]
-    laid_out = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie").checkpoint()
-
-    at = F.monotonically_increasing_id()
-    placed = laid_out.withColumn("_at", at).withColumn("_slot", F.struct(
-        _group(by).alias("by"), F.shiftright("_at", _POSITION_BITS).alias("part")))
+    placed = _lay_out(df, order_by, by, hot_rows)
     slots = placed.groupBy("_slot").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     earlier = (Window.partitionBy(F.col("_slot")["by"]).orderBy(F.col("_slot")["part"])
@@ -97,6 +91,34 @@ def sequential_id(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[
     return placed.join(slots, "_slot").withColumn(out, number).drop("_at", "_slot", "_first", "_before")
 
 
+def _lay_out(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[str], hot_rows: int) -> DataFrame:
+    """Range-sorted, checkpointed rows with their position ``_at`` and partition ``_slot``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    named = [*by, *[c for c in order_by if isinstance(c, str)]]
+    tied = tell_apart(df, named or df.columns, "_tie", hot_rows)
+    order = [*[F.col(c).asc_nulls_first() for c in by],
+             *[c if isinstance(c, Column) else F.col(c) for c in order_by], F.col("_tie")]
+    laid_out = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie").checkpoint()
+    return laid_out.withColumn("_at", F.monotonically_increasing_id()).withColumn("_slot", F.struct(
+        _group(by).alias("by"), F.shiftright("_at", _POSITION_BITS).alias("part")))
+
+
+def running_total(df: DataFrame, order_by: Sequence[str], weight: str, out: str = "total") -> DataFrame:
+    """Sum of ``weight`` over this row and all rows before it in a given order.
+
+    Laid out like ``sequential_id``; a window then only runs inside one range
+    partition at a time, on top of the sums of the partitions before it.
+    """
+    placed = _lay_out(df, order_by, [], HOT_ROWS)
+    slots = placed.groupBy("_slot").agg(F.sum(weight).alias("_sum"))
+    earlier = (Window.partitionBy(F.col("_slot")["by"]).orderBy(F.col("_slot")["part"])
+               .rowsBetween(Window.unboundedPreceding, -1))
+    slots = slots.select("_slot", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    local = Window.partitionBy("_slot").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return (placed.join(slots, "_slot").withColumn(out, F.col("_before") + F.sum(weight).over(local))
+            .drop("_at", "_slot", "_before"))
+
+
 def first_per_group(df: DataFrame, by: Sequence[str], order_by: Sequence[Column | str], n: int = 1,
                     out: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group in a given order.

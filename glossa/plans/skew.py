@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.session import ensure_checkpoint_dir
+
 HOT_KEYS = 1_000      # size bound of the list of hot keys
 HOT_ROWS = 100_000    # rows of one key that one task should handle
 MOST_PIECES = 2_000   # pieces one hot key is cut into
@@ -30,23 +32,38 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Data
     return df.sparkSession.createDataFrame(listed, found.schema) if listed else None
 
 
+def tell_apart(df: DataFrame, keys: Sequence[str], out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add a number that differs between rows with equal keys, so that they can be spread.
+
+    A hash of the whole row does, unless some row has very many exact copies.
+    Then the input is checkpointed, and rows are told apart by their position in
+    the checkpoint, which stays the same when tasks are repeated.
+    """
+    row = F.xxhash64(*df.columns).alias(out)
+    copies = hot_keys(df, keys, hot_rows) is not None and hot_keys(df.select(row), [out], hot_rows) is not None
+    if not copies:
+        return df.select("*", row)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint().withColumn(out, F.monotonically_increasing_id())
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join a large table to a table with about one row per key.
 
     Without hot keys this is a plain join. Otherwise the rows of each hot key are
-    cut into pieces by a row hash, and its right-hand rows are repeated once per
-    piece; null keys never match, but are cut up as well. ``how``: left, inner,
-    left_semi or left_anti.
+    cut into pieces, and its right-hand rows are repeated once per piece; null
+    keys never match, but are cut up as well. ``how``: left, inner, left_semi or
+    left_anti.
     """
     on = list(on)
     hot = hot_keys(left, on, hot_rows)
     if hot is None:
         return left.join(right, on, how)
     hot = F.broadcast(hot.select(F.struct(*on).alias("_key"), "_pieces"))
-    spread = F.pmod(F.xxhash64(*left.columns), F.col("_pieces"))
-    salted = (left.withColumn("_key", F.struct(*on)).join(hot, "_key", "left")
-              .withColumn("_salt", F.coalesce(spread, F.lit(0).cast("bigint"))).drop("_key", "_pieces"))
+    spread = F.coalesce(F.pmod(F.col("_row"), F.col("_pieces")), F.lit(0).cast("bigint"))
+    salted = (tell_apart(left, on, "_row", hot_rows).withColumn("_key", F.struct(*on)).join(hot, "_key", "left")
+              .withColumn("_salt", spread).drop("_key", "_pieces", "_row"))
     last = F.coalesce(F.col("_pieces"), F.lit(1).cast("bigint")) - 1
     repeated = (right.withColumn("_key", F.struct(*on)).join(hot, "_key", "left")
                 .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))

@@ -20,7 +20,7 @@ from glossa.functions.text import file_prefix, file_slug
 from glossa.plans.skew import filter_join
 
 # RFC-4180 quoting.
-_CSV = {"quote": '"', "escape": '"', "multiLine": "true", "encoding": "UTF-8"}
+_CSV = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
 CORPUS_FILES = "*_emotion_theme.csv"
 _MANY_LAYOUTS = 200
 _CORRUPT = "_corrupt_record"
@@ -31,13 +31,15 @@ def file_name() -> Column:
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType, header: bool = True,
-             recursive: bool = False, pattern: str | None = None, origin: bool = False) -> DataFrame:
+             recursive: bool = False, pattern: str | None = None, origin: bool = False,
+             multi_line: bool = True) -> DataFrame:
     """CSV with or without header; missing and empty fields are null.
 
     ``recursive`` descends into folders, ``pattern`` filters file names, and
     ``origin`` adds ``file``, ``book_no`` and ``slug`` taken from the file name.
+    Without line breaks in texts, ``multi_line=False`` lets Spark split large files.
     """
-    reader = spark.read.schema(schema).options(**_CSV).option("header", header)
+    reader = spark.read.schema(schema).options(**_CSV).option("header", header).option("multiLine", multi_line)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     if pattern or recursive:
@@ -67,7 +69,7 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """A stage table, or None before its first write."""
-    return spark.read.parquet(path) if _exists(spark, f"{path}/_SUCCESS") else None
+    return spark.read.parquet(path) if _exists(spark, f"{path}/[^_.]*") else None
 
 
 def corpus_folder(base: str, lang: str) -> str:

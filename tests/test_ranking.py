@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from glossa.operators import sampling, sets
 from glossa.operators.transfer import first_wins, last_wins
-from glossa.plans.ranking import first_per_group, hash_rank, sequential_id
-from glossa.plans.skew import filter_join, lookup_join
+from glossa.plans.ranking import first_per_group, hash_rank, running_total, sequential_id
+from glossa.plans.skew import filter_join, lookup_join, tell_apart
 
 
 @pytest.fixture(scope="module")
@@ -59,12 +59,41 @@ def test_sequential_id_global_and_per_group(rows):
         assert [v for _, v in pairs] == sorted((v for _, v in pairs), reverse=True)
 
 
-def test_sequential_id_with_copies(spark):
-    copies = spark.range(900).select(F.lit("same").alias("a"), (F.col("id") % 2).alias("b")).repartition(5)
-    for stable in (False, True):
-        got = sorted((r["id"], r["b"]) for r in sequential_id(copies, ["b"], stable=stable).collect())
-        assert [i for i, _ in got] == list(range(1, 901))
-        assert [b for _, b in got] == [0] * 450 + [1] * 450
+@pytest.fixture(scope="module")
+def copies(spark):
+    """Two rows with 450 exact copies each."""
+    return spark.range(900).select(F.lit("same").alias("a"), (F.col("id") % 2).alias("b")).repartition(5)
+
+
+@pytest.mark.parametrize("hot_rows", [10, 100_000])
+def test_copies_are_numbered_whole(copies, hot_rows):
+    got = sorted((r["id"], r["b"]) for r in sequential_id(copies, ["b"], hot_rows=hot_rows).collect())
+    assert [i for i, _ in got] == list(range(1, 901))
+    assert [b for _, b in got] == [0] * 450 + [1] * 450
+    ranked = hash_rank(copies, ["a"], 1, ["b"], hot_rows=hot_rows).collect()
+    assert sorted((r["b"], r["rank"]) for r in ranked) == [(b, n) for b in (0, 1) for n in range(1, 451)]
+    assert hash_rank(copies, ["a"], 1, top=70, hot_rows=hot_rows).count() == 70
+
+
+@pytest.mark.parametrize("how,rows", [("left", 900), ("inner", 450), ("left_semi", 450), ("left_anti", 450)])
+def test_copies_join_whole(spark, copies, how, rows):
+    right = spark.createDataFrame([(1, "w")], "b bigint, w string")
+    right = right if how in ("left", "inner") else right.select("b")
+    assert lookup_join(copies, right, ["b"], how, hot_rows=10).count() == rows
+
+
+def test_copies_are_told_apart(copies):
+    spread = tell_apart(copies, ["a"], "t", 10).agg(F.countDistinct("t")).first()[0]
+    hashed = tell_apart(copies, ["a"], "t", 100_000).agg(F.countDistinct("t")).first()[0]
+    assert (spread, hashed) == (900, 2)
+
+
+def test_running_total(rows):
+    got = sorted((r["v"], r["s"]) for r in running_total(rows, ["v"], "id", "s").collect())
+    total = 0
+    for v, i in sorted((i * 7919 % 3001, i) for i in range(3000)):
+        total += i
+        assert got.pop(0) == (v, total)
 
 
 def test_first_and_last_wins(rows):
