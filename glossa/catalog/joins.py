@@ -85,12 +85,14 @@ def j04(spark, sf_dir):
     return annotate.exclude_labeled(t.documents, known, "doc_id").select("doc_id", "source")
 
 
-@query("j05_dictionary_lookup", """SELECT n_nationkey, coalesce(CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' WHEN 2 THEN 'east' END, 'other') AS side,
-  CASE n_name WHEN 'NATION_3' THEN 'three' ELSE n_name END AS name FROM nation""")
+@query("j05_dictionary_lookup", """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'other' END AS status,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'now' ELSE o_orderpriority END AS priority,
+  CASE o_custkey % 5 WHEN 0 THEN 'south' WHEN 1 THEN 'west' END AS side FROM orders""")
 def j05(spark, sf_dir):
-    return Tables(spark, sf_dir).nation.select(
-        "n_nationkey", lookup(F.col("n_regionkey"), {0: "south", 1: "west", 2: "east"}, "other").alias("side"),
-        lookup(F.col("n_name"), {"NATION_3": "three"}, F.col("n_name")).alias("name"))
+    return Tables(spark, sf_dir).orders.select(
+        "o_orderkey", lookup(F.col("o_orderstatus"), {"O": "open", "F": "filled"}, "other").alias("status"),
+        lookup(F.col("o_orderpriority"), {"1-URGENT": "now"}, F.col("o_orderpriority")).alias("priority"),
+        lookup(F.col("o_custkey") % 5, {0: "south", 1: "west"}).alias("side"))
 
 
 @query("j06_align", """SELECT d.doc_id, d.n_chars % 2 AS quality_a, l.quality AS quality_b FROM documents d JOIN labels l USING (doc_id)""")

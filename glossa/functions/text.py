@@ -61,7 +61,9 @@ def capitalize(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """numeric coercion, anything unreadable -> null."""
-    return strip(c.cast("string")).try_cast("double")
+    text = strip(c.cast("string"))
+    # the JVM would read type suffixes such as 1d or 2f as numbers
+    return F.when(~text.rlike("(?i)[0-9.][df]$"), text).try_cast("double")
 
 
 def whole_number(c: Column) -> Column:

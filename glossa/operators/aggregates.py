@@ -85,7 +85,7 @@ def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> D
     """
     counts = (df.select(F.col(column).cast("double").alias("v")).dropna().groupBy("v")
               .agg(F.count(F.lit(1)).alias("n")))
-    totals = running_total(counts, ["v"], "n", "upto")
+    totals = running_total(counts, ["v"], "n", "upto", unique=True)
     rows = totals.agg(F.sum("n")).first()[0] or 0
     wanted = [F.struct(F.lit(f).alias("fraction"), F.lit(f * (rows - 1)).alias("pos"), F.lit(p).alias("at"))
               for f in fractions for p in sorted({floor(f * (rows - 1)), ceil(f * (rows - 1))})]

@@ -73,15 +73,16 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed, by: Sequence[str] = (), o
 
 
 def sequential_id(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[str] = (),
-                  out: str = "id", start: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  out: str = "id", start: int = 1, unique: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Consecutive numbers in a given order, per group or over everything.
 
     One range shuffle sorts the rows by (group, order); the sorted partitions
     are checkpointed, which fixes their layout for good; every row is then
     numbered by its position plus the counts of the partitions before it. Rows
-    that are equal in the order are spread as well, in no particular order.
+    that are equal in the order are spread as well, in no particular order; the
+    check for very many of them is left out when the order is ``unique``.
     """
-    placed = _lay_out(df, order_by, by, hot_rows)
+    placed = _lay_out(df, order_by, by, unique, hot_rows)
     slots = placed.groupBy("_slot").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     earlier = (Window.partitionBy(F.col("_slot")["by"]).orderBy(F.col("_slot")["part"])
@@ -91,25 +92,28 @@ def sequential_id(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[
     return placed.join(slots, "_slot").withColumn(out, number).drop("_at", "_slot", "_first", "_before")
 
 
-def _lay_out(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[str], hot_rows: int) -> DataFrame:
+def _lay_out(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[str], unique: bool,
+             hot_rows: int = HOT_ROWS) -> DataFrame:
     """Range-sorted, checkpointed rows with their position ``_at`` and partition ``_slot``."""
     ensure_checkpoint_dir(df.sparkSession)
     named = [*by, *[c for c in order_by if isinstance(c, str)]]
-    tied = tell_apart(df, named or df.columns, "_tie", hot_rows)
+    tied = df if unique else tell_apart(df, named or df.columns, "_tie", hot_rows)
     order = [*[F.col(c).asc_nulls_first() for c in by],
-             *[c if isinstance(c, Column) else F.col(c) for c in order_by], F.col("_tie")]
+             *[c if isinstance(c, Column) else F.col(c) for c in order_by]]
+    order = order if unique else [*order, F.col("_tie")]
     laid_out = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie").checkpoint()
     return laid_out.withColumn("_at", F.monotonically_increasing_id()).withColumn("_slot", F.struct(
         _group(by).alias("by"), F.shiftright("_at", _POSITION_BITS).alias("part")))
 
 
-def running_total(df: DataFrame, order_by: Sequence[str], weight: str, out: str = "total") -> DataFrame:
+def running_total(df: DataFrame, order_by: Sequence[str], weight: str, out: str = "total",
+                  unique: bool = False) -> DataFrame:
     """Sum of ``weight`` over this row and all rows before it in a given order.
 
     Laid out like ``sequential_id``; a window then only runs inside one range
     partition at a time, on top of the sums of the partitions before it.
     """
-    placed = _lay_out(df, order_by, [], HOT_ROWS)
+    placed = _lay_out(df, order_by, [], unique)
     slots = placed.groupBy("_slot").agg(F.sum(weight).alias("_sum"))
     earlier = (Window.partitionBy(F.col("_slot")["by"]).orderBy(F.col("_slot")["part"])
                .rowsBetween(Window.unboundedPreceding, -1))

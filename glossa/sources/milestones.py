@@ -13,7 +13,7 @@ from glossa.functions.labels import book_of_code
 from glossa.functions.text import flatten_text, id_parts
 from glossa.operators.aggregates import unknown_values
 from glossa.plans.guard import once
-from glossa.sources.pages import plain_text
+from glossa.sources.pages import unescape
 
 _START = r"(?s)<(?:\w+:)?verse\b[^>]*?\bosisID\s*=\s*[\"']"
 _ID = r"^[^\"']*"
@@ -47,7 +47,7 @@ def milestone_segments(documents: DataFrame, xml: str = "xml") -> DataFrame:
 def milestone_text(raw: Column) -> Column:
     """Text of a segment in document order, tags read as blanks, whitespace collapsed."""
     spaced = F.regexp_replace(raw, r"(?s)<!--.*?-->|<[^>]*>", " ")
-    return flatten_text(plain_text(spaced))
+    return flatten_text(unescape(spaced))
 
 
 def parse_milestones(documents: DataFrame, xml: str = "xml", source_url: str = "") -> DataFrame:

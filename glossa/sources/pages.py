@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.labels import literal_map
+from glossa.functions.scores import let
 from glossa.functions.text import strip
 from glossa.plans.guard import once
 
@@ -31,13 +32,16 @@ def _character(name: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Character references resolved once; unknown ones stay."""
+    def resolve(x):
+        return let(F.regexp_extract(x, r"^&([^;\s&]+);", 1), lambda name: F.when(
+            name != "", F.concat(_character(name), F.substr(x, F.length(name) + 3))))
+
     def piece(x):
-        name = F.regexp_extract(x, r"^&([^;\s&]+);", 1)
-        resolved = F.concat(_character(name), F.substr(x, F.length(name) + 3))
-        return F.when(x.startswith("&") & (name != ""), F.coalesce(resolved, x)).otherwise(x)
+        return F.when(x.startswith("&"), F.coalesce(resolve(x), x)).otherwise(x)
 
-    pieces = F.split(c, f"(?={_REFERENCE})", -1)
-    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
+    return let(c, lambda text: F.when(
+        F.contains(text, F.lit("&")),
+        F.array_join(F.transform(F.split(text, f"(?={_REFERENCE})", -1), piece), "")).otherwise(text))
 
 
 def plain_text(html: Column) -> Column:

@@ -154,3 +154,35 @@ def test_neutral_override(spark):
 def test_softmax(spark):
     got = one(spark, scores.softmax(F.col("x")), x=("array<double>", [1000.0, 1000.0]))
     assert got == [0.5, 0.5]
+
+
+def test_random_texts_follow_the_same_rules(spark):
+    """Many random texts at once against string methods."""
+    import random
+    import unicodedata
+    rng = random.Random(7)
+    spaces = list(text.WHITESPACE) * 2
+    letters = list("abcXYZéÑüçÅøœ'’-_0129.;[]«») ") + ["e\u0301", "\u200b", "\ufeff", "漢"]
+    values = ["".join(rng.choice(spaces if rng.random() < .35 else letters) for _ in range(rng.randint(0, 30)))
+              for _ in range(3000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    c = F.col("t")
+    rows = df.select("i", text.clean_text(c).alias("clean"), text.flatten_text(c).alias("flat"), text.strip(c).alias("strip"),
+                     text.title(c).alias("title"), text.clean_verse(c).alias("verse"), text.normalize(c).alias("norm")).collect()
+
+    def plain(v):
+        parts = (unicodedata.normalize("NFD", x) if x.isalpha() else x for x in v.strip().lower())
+        marks = "".join(x for x in "".join(parts) if not unicodedata.combining(x))
+        return marks.replace("ø", "o").replace("œ", "oe").replace("’", "'")
+
+    for r in rows:
+        v = values[r["i"]]
+        assert (r["clean"], r["flat"], r["strip"], r["title"]) == (cleaned(v), " ".join(v.split()), v.strip(), v.title())
+        assert r["verse"] == re.sub(r"\[\d+\]", "", re.sub(r"\s+", " ", v)).strip()
+        assert r["norm"] == plain(v)
+
+
+@pytest.mark.parametrize("value,number", [("1e2", 100.0), ("1d", None), ("2F", None), ("7.", 7.0), ("", None), ("1_0", None),
+                                          ("-3.5 ", -3.5), ("0x1", None), ("abc", None)])
+def test_to_number(spark, value, number):
+    assert one(spark, text.to_number(F.col("t")), t=s(value)) == number
