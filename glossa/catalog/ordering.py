@@ -11,7 +11,8 @@ from glossa.domains import BOOK_ORDER, EMOTIONS
 from glossa.operators import annotate, filters, recommend, sampling, sets
 from glossa.operators import transfer as J
 from glossa.plans.ranking import first_per_group, sequential_id
-from glossa.sources.tables import canonical_books
+from glossa.session import scratch_path
+from glossa.sources.tables import canonical_books, write_stage
 
 
 def rank_sql(seed, key: str, by: str = "") -> str:
@@ -66,6 +67,16 @@ def w08(spark, sf_dir):
     return recommend.recommend(c, "joy", "love", "es").select("verse_id", "text")
 
 
+@query("w08_recommend_stored", f"""WITH {CORPUS_SQL} SELECT verse_id, section FROM (SELECT *, {SECTION_SQL} AS section FROM corpus)
+WHERE lang = 'es' AND emotion = 'Ira' AND list_contains(string_split(theme, ';'), 'fe') ORDER BY md5('0|' || verse_id), verse_id LIMIT 5""")
+def w08_stored(spark, sf_dir):
+    path = scratch_path(spark, "search")
+    found = recommend.search_columns(corpus(Tables(spark, sf_dir)))
+    write_stage(found.select("verse_id", "lang", "emotion_norm", "themes_norm", "section"), path, ["lang", "emotion_norm"])
+    stored = spark.read.parquet(path).where("lang = 'es'")
+    return recommend.recommend(stored, "anger", "Faith", "es").select("verse_id", "section")
+
+
 @query("l01_sorted", f"WITH {VERSES_SQL} SELECT chapter, verse, book FROM verses ORDER BY chapter, verse")
 def l01(spark, sf_dir):
     return verses(Tables(spark, sf_dir)).select("chapter", "verse", "book").orderBy("chapter", "verse")

@@ -38,23 +38,40 @@ def section(book: Column, lang: Column, compat_sections: bool = False) -> Column
         lookup(slug, domains.sections("es"), "ot"))
 
 
-def recommend(corpus: DataFrame, emotion: str, theme: str, lang: str = "en", n: int = MAX_RESULTS,
-              key: Sequence[str] = ("verse_id",), seed=0, compat_contains: bool = False) -> DataFrame:
-    """Up to ``n`` random matches for one emotion and theme over the whole corpus."""
+def search_columns(corpus: DataFrame) -> DataFrame:
+    """Add ``emotion_norm``, ``themes_norm`` and ``section``, computed once before the corpus is stored.
+
+    Written with ``write_stage(..., partition_by=["lang", "emotion_norm"])``, a search
+    for one emotion reads only its partitions.
+    """
+    return (corpus.withColumn("emotion_norm", normalize(F.col("emotion")))
+            .withColumn("themes_norm", normalized_set(F.col("theme")))
+            .withColumn("section", section(F.col("book"), F.col("lang"))))
+
+
+def _hit(corpus: DataFrame, emotion: str, theme: str, lang: str, compat_contains: bool) -> Column:
     if lang == "es":
         emotion = domains.EMOTIONS_ES.get(emotion.lower(), emotion)
         theme = domains.THEMES_ES.get(theme.lower(), theme)
-    hit = matches(F.col("emotion"), F.col("theme"), emotion, theme, compat_contains)
-    return corpus.where(hit).orderBy(seeded_hash(seed, *key), *key).limit(n)
+    if compat_contains or not {"emotion_norm", "themes_norm"} <= set(corpus.columns):
+        return matches(F.col("emotion"), F.col("theme"), emotion, theme, compat_contains)
+    return (F.col("emotion_norm") == normalize(F.lit(emotion))) & F.array_contains(
+        "themes_norm", normalize(F.lit(theme)))
+
+
+def recommend(corpus: DataFrame, emotion: str, theme: str, lang: str = "en", n: int = MAX_RESULTS,
+              key: Sequence[str] = ("verse_id",), seed=0, compat_contains: bool = False) -> DataFrame:
+    """Up to ``n`` random matches for one emotion and theme over the whole corpus.
+
+    Uses stored search columns where the corpus has them.
+    """
+    return corpus.where(_hit(corpus, emotion, theme, lang, compat_contains)).orderBy(seeded_hash(seed, *key), *key).limit(n)
 
 
 def recommend_by_section(corpus: DataFrame, emotion: str, theme: str, lang: str = "en",
                          n: int = PER_SECTION, key: Sequence[str] = ("verse_id",), seed=0) -> DataFrame:
     """W07 for one request: up to ``n`` random matches from each section."""
-    if lang == "es":
-        emotion = domains.EMOTIONS_ES.get(emotion.lower(), emotion)
-        theme = domains.THEMES_ES.get(theme.lower(), theme)
-    found = corpus.where(matches(F.col("emotion"), F.col("theme"), emotion, theme)).withColumn(
+    found = corpus.where(_hit(corpus, emotion, theme, lang, False)).withColumn(
         "section", section(F.col("book"), F.lit(lang)))
     picked = hash_rank(found, key, seed, by=["section"], out="_rank", top=n).drop("_rank")
     return picked.orderBy(seeded_hash(f"{seed}-order", *key), *key)

@@ -9,6 +9,7 @@ from glossa.operators import aggregates, annotate, evaluate, filters, recommend,
 from glossa.operators.transfer import transfer_audit, transfer_by_position, transfer_labels
 from glossa.plans import labeling
 from glossa.session import scratch_path
+from glossa.sources.tables import write_stage
 
 
 def test_domains():
@@ -62,6 +63,15 @@ def test_recommend(corpus):
     assert set(ids(recommend.recommend(corpus, "joy", "a", compat_contains=True))) == {"John_3_16", "Ruth_1_1"}
 
 
+def test_stored_search_reads_one_partition(spark, corpus):
+    path = scratch_path(spark, "search")
+    write_stage(recommend.search_columns(corpus.withColumn("lang", F.lit("en"))), path, ["lang", "emotion_norm"])
+    found = recommend.recommend(spark.read.parquet(path), "JOY", "Faith")
+    assert [r["verse_id"] for r in found.collect()] == ["John_3_16"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "emotion_norm" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 @pytest.fixture(scope="module")
 def crowd(spark):
     """A corpus whose hot label pair holds most rows, and requests that mostly ask for it."""
