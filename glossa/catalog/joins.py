@@ -147,7 +147,7 @@ PICKS_SQL = f"""{CORPUS_SQL}, rows AS (
     {SECTION_SQL} AS section FROM corpus),
 ranked AS (SELECT *, row_number() OVER w - 1 AS rank, count(*) OVER (PARTITION BY lang, emotion_norm, theme_norm, section) AS size
   FROM rows WINDOW w AS (PARTITION BY lang, emotion_norm, theme_norm, section ORDER BY md5('0|' || verse_id), verse_id)),
-sizes AS (SELECT DISTINCT lang, emotion_norm, theme_norm, section, size, size * greatest(1, ceil(1024 / size))::BIGINT AS slots FROM ranked),
+sizes AS (SELECT DISTINCT lang, emotion_norm, theme_norm, section, size, size * greatest(1, ceil(256 / size))::BIGINT AS slots FROM ranked),
 req0 AS (SELECT conv_id || '-' || turn AS request_id, CASE WHEN conv_id % 2 = 0 THEN 'en' ELSE 'es' END AS lang,
   {EMOTIONS}[(length(text) % 7)::INT + 1] AS emotion, {THEMES}[(turn % 5)::INT + 1] AS theme, text FROM conversations),
 req AS (SELECT request_id, lang, {_es('emotion', EMOTIONS_ES)} AS emotion_norm, {_es('theme', THEMES_ES)} AS theme_norm, text FROM req0),

@@ -18,7 +18,7 @@ from glossa.plans.skew import SMALL_ROWS, counted_join
 
 PER_SECTION = 2
 MAX_RESULTS = 5
-_SLOTS = 1_024  # positions a small candidate group is spread over, so that requests spread too
+_SLOTS = 256  # positions a small candidate group is spread over, so that requests spread too
 
 
 def localized(label: Column, lang: Column, mapping: dict) -> Column:

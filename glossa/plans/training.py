@@ -17,18 +17,26 @@ from glossa.functions.labels import label_id, label_name
 from glossa.functions.scores import top_prediction, zip_predictions
 from glossa.operators.evaluate import class_weights, macro_f1
 from glossa.operators.sampling import stratified_folds
+from glossa.session import scratch_path
+
+
+def _counting(features: int) -> list:
+    """Stages that need no training: words and their hashed counts."""
+    return [RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}]+"),
+            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features)]
+
+
+def _learning(iterations: int, regularization: float, elastic: float, min_docs: int) -> list:
+    """Stages that learn: inverse document frequencies and the weighted classifier."""
+    return [IDF(inputCol="_tf", outputCol="_features", minDocFreq=min_docs),
+            LogisticRegression(featuresCol="_features", labelCol="label_id", weightCol="weight",
+                               maxIter=iterations, regParam=regularization, elasticNetParam=elastic)]
 
 
 def text_classifier(features: int = 1 << 16, iterations: int = 20, regularization: float = 0.01,
                     elastic: float = 0.0, min_docs: int = 1) -> Pipeline:
     """Word counts -> TF-IDF -> weighted multinomial logistic regression."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}]+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_features", minDocFreq=min_docs),
-        LogisticRegression(featuresCol="_features", labelCol="label_id", weightCol="weight",
-                           maxIter=iterations, regParam=regularization, elasticNetParam=elastic),
-    ])
+    return Pipeline(stages=_counting(features) + _learning(iterations, regularization, elastic, min_docs))
 
 
 def training_frame(df: DataFrame, text: str, label: str, domain: Sequence[str], weighted: bool = True,
@@ -68,12 +76,24 @@ def predict(model: PipelineModel, df: DataFrame, domain: Sequence[str], out: str
     return scored.select(*keep, best["label"].alias(out), best["score"].alias(f"{out}_score"), f"{out}_probs")
 
 
-def cross_validate(df: DataFrame, domain: Sequence[str], fold: str = "fold", k: int = 5, **params) -> DataFrame:
-    """Macro-F1 per fold over a training frame with a fold column, as (fold, macro_f1)."""
+def cross_validate(df: DataFrame, domain: Sequence[str], fold: str = "fold", k: int = 5,
+                   features: int = 1 << 16, iterations: int = 20, regularization: float = 0.01,
+                   elastic: float = 0.0, min_docs: int = 1) -> DataFrame:
+    """Macro-F1 per fold over a training frame with a fold column, as (fold, macro_f1).
+
+    Folds and word counts do not depend on the model, so they are computed once
+    and written as a table partitioned by fold; every model then reads counts
+    instead of texts, and only the partitions of its folds.
+    """
+    path = scratch_path(df.sparkSession, "folds")
+    counted = PipelineModel(_counting(features)).transform(df)
+    counted.select("label", "label_id", "weight", "_tf", fold).write.partitionBy(fold).parquet(path)
+    stored = df.sparkSession.read.parquet(path).withColumn("label_id", F.col("label_id").cast("double"))
     tested = None
     for i in range(k):
-        model = fit(df.where(F.col(fold) != i), **params)
-        part = predict(model, df.where(F.col(fold) == i), domain).select(fold, "label", "pred")
+        learner = Pipeline(stages=_learning(iterations, regularization, elastic, min_docs))
+        model = learner.fit(stored.where(F.col(fold) != i))
+        part = predict(model, stored.where(F.col(fold) == i), domain).select(fold, "label", "pred")
         tested = part if tested is None else tested.unionByName(part)
     return macro_f1(tested, "label", "pred", domain, by=[fold])
 

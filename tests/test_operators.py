@@ -111,7 +111,7 @@ def test_batch_requests_are_whole_and_correct(crowd):
 def test_batch_requests_never_pair_with_a_whole_group(crowd):
     corpus, asks = crowd
     index, sizes = recommend.prepare_corpus(corpus, ["verse_id"])
-    assert index.count() < 1500 * 2 + 20 * 2 * 1024
+    assert index.count() < 1500 * 2 + 20 * 2 * 256
     most = index.groupBy("lang", "emotion_norm", "theme_norm", "section", "slot").count().agg(F.max("count")).first()[0]
     assert most == 1
 
