@@ -62,7 +62,7 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed, by: Sequence[str] = (), o
         F.sum("_n").over(whole).alias("_total"))
     if top is not None:
         offsets = offsets.where(F.col("_before") < top)
-    local = Window.partitionBy(group).orderBy("_hash", *key)
+    local = Window.partitionBy(*by, F.col(group)[piece]).orderBy("_hash", *key)
     ranked = keyed.join(offsets, group).withColumn(
         out, F.col("_before") + F.row_number().over(local))
     if top is not None:

@@ -72,9 +72,9 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if _exists(spark, f"{path}/[^_.]*") else None
 
 
-def corpus_folder(base: str, lang: str) -> str:
-    """Folder of the labelled corpus for a language; anything but English is Spanish."""
-    return f"{base}/{'bible_kjv' if lang == 'en' else 'bible_rv60'}/emotion_theme"
+def corpus_folder(base: str, lang: str, english: str = "english", other: str = "spanish") -> str:
+    """Folder of the labelled corpus for a language; anything but English uses the other corpus."""
+    return f"{base}/{english if lang == 'en' else other}/emotion_theme"
 
 
 @dataclass
