@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from glossa.catalog.registry import Query
-from glossa.llm import chat, urls
+from glossa.llm import bpe, chat, counts, dedup, urls
 from glossa.llm.common import table
 
 QUERIES: dict[str, Query] = {}
@@ -19,6 +20,32 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op1_token_counts")
+def op1(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return counts.count_tokens(docs, PIECES).select("doc_id", "n_tokens", "n_words")
+
+
+@query("op2_sentencepiece")
+def op2(spark, folder):
+    return bpe.piece_digests(table(spark, folder, "documents"), PIECES)
+
+
+@query("op8_exact_dedup", f"""
+    WITH rows AS (SELECT doc_id, {_FOLD} AS norm FROM documents)
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+    FROM rows WINDOW same AS (PARTITION BY norm)""")
+def op8(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return dedup.exact_duplicates(docs, dedup.halfway(docs)).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
