@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from glossa.catalog.registry import Query
-from glossa.llm import bpe, chat, counts, dedup, urls
+from glossa.llm import bpe, chat, counts, dedup, sharding, urls
 from glossa.llm.common import table
 
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,16 @@ def op2(spark, folder):
     return bpe.piece_digests(table(spark, folder, "documents"), PIECES)
 
 
+@query("op7_kd_shards")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    dims = {"lang": sharding.text_number(F.col("lang")), "source": sharding.text_number(F.col("source")),
+            "length": F.log1p(sharding.number(F.length("text")) + 1)}
+    return sharding.shard_rows(docs, {f"dim_{n}": c for n, c in dims.items()}, 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op8_exact_dedup", f"""
     WITH rows AS (SELECT doc_id, {_FOLD} AS norm FROM documents)
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
