@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from glossa.catalog.registry import Query
-from glossa.llm import bpe, chat, counts, dedup, sharding, urls
+from glossa.llm import bpe, chat, counts, dedup, packing, sharding, urls
 from glossa.llm.common import table
+from glossa.session import scratch_path
 
 QUERIES: dict[str, Query] = {}
 
@@ -20,6 +21,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -35,6 +37,13 @@ def op2(spark, folder):
     return bpe.piece_digests(table(spark, folder, "documents"), PIECES)
 
 
+@query("op5_packed_ids")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    files = packing.write_packed(docs, BYTE_BPE, scratch_path(spark, "packed"), end_id=0)
+    return packing.read_packed(files)
+
+
 @query("op7_kd_shards")
 def op7(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
