@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from glossa.catalog.registry import Query
-from glossa.llm import bpe, chat, counts, dedup, packing, sharding, urls
+from glossa.llm import bpe, chat, counts, decontam, dedup, langid, packing, sharding, urls
 from glossa.llm.common import table
 from glossa.session import scratch_path
 
@@ -37,6 +37,14 @@ def op2(spark, folder):
     return bpe.piece_digests(table(spark, folder, "documents"), PIECES)
 
 
+@query("op3_language_id")
+def op3(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = langid.train_model(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))))
+    asked = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return langid.predict_language(asked, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op5_packed_ids")
 def op5(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -104,3 +112,21 @@ def op9(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = table(spark, folder, "pages").select("page_id", "url")
     return urls.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _shingle_sql(source: str, key: str) -> str:
+    """DuckDB: distinct five-word shingles of each row of a table."""
+    return f"""SELECT DISTINCT r, {key}, unnest(CASE WHEN len(w) < 5 THEN [] ELSE list_transform(
+                   range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+               FROM (SELECT row_number() OVER () AS r, {key}, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') AS w
+                     FROM {source})"""
+
+
+@query("op10_decontamination", f"""
+    WITH d AS ({_shingle_sql("documents", "doc_id")}), i AS ({_shingle_sql("benchmark", "item_id")}),
+    sizes AS (SELECT r, count(*) AS size FROM i GROUP BY r)
+    SELECT doc_id, item_id, count(*) AS shared, any_value(size) AS size, count(*) / any_value(size) AS containment
+    FROM d JOIN i ON d.s = i.s JOIN sizes ON sizes.r = i.r
+    GROUP BY d.r, i.r, doc_id, item_id HAVING 5 * count(*) >= 4 * any_value(size)""")
+def op10(spark, folder):
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
