@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from glossa.catalog.registry import Query
-from glossa.llm import bpe, chat, counts, decontam, dedup, langid, packing, sharding, urls
+from glossa.llm import bpe, chat, counts, decontam, dedup, jaccard, langid, packing, sharding, urls
 from glossa.llm.common import table
 from glossa.session import scratch_path
 
@@ -45,6 +45,11 @@ def op3(spark, folder):
     return langid.predict_language(asked, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op4_ngram_join")
+def op4(spark, folder):
+    return jaccard.near_duplicates(table(spark, folder, "documents"), jaccard.Rule(size=4, percent=85))
+
+
 @query("op5_packed_ids")
 def op5(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
