@@ -240,24 +240,25 @@ def _document_probabilities(model: ByteNetwork, memo: Memo, column: pa.Array) ->
     return np.concatenate(out)
 
 
-def predict_language(docs: DataFrame, model: ByteNetwork | None, text: str = "text") -> DataFrame:
-    """Add lang_pred and score to documents.
+def predict_language(docs: DataFrame, model: ByteNetwork | None, text: str = "text",
+                     out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the predicted language and its score to documents.
 
     Every byte of every word gets a probability for each language, from the whole
     word (32 bytes at a time) read in both directions. A document's probability is
     the mean over all its positions; the largest is the score, ties go to the
     first language by name. Null texts and texts without a letter are ``und`` with
     score 0, as are all without a model. Rows, order and other columns stay; input
-    columns named lang_pred or score are replaced. A worker reads each distinct
+    columns named like the new ones are replaced. A worker reads each distinct
     word once; nothing is shuffled.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*out)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({out[0]: F.lit(UNKNOWN), out[1]: F.lit(0.0)})
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     names = docs.columns
     asked = docs.withColumn("__lower", F.when(has_letter(F.col(text)), F.lower(F.col(text))))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
 
     def run(batches):
         network, memo = _worker(packed.value)
@@ -271,6 +272,6 @@ def predict_language(docs: DataFrame, model: ByteNetwork | None, text: str = "te
             known = score > 0
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in names], pa.array(np.where(known, langs[best], UNKNOWN), pa.string()),
-                 pa.array(np.minimum(score, 1.0), pa.float64())], names=[*names, "lang_pred", "score"])
+                 pa.array(np.minimum(score, 1.0), pa.float64())], names=[*names, *out])
 
     return asked.mapInArrow(run, schema)

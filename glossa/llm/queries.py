@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from glossa.catalog.registry import Query
 from glossa.llm import bpe, chat, counts, decontam, dedup, jaccard, langid, packing, sharding, urls
 from glossa.llm.common import table
 from glossa.session import scratch_path
 
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = {"pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}
 
 
 def query(name: str, sql: str | None = None):
