@@ -80,17 +80,22 @@ _CODES = [*CODE_TO_BOOK, "Fake"]
 
 
 def osis_documents(t: Tables):
-    """Each document as one XML text: every line a verse, some with bad ids."""
-    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-                        F.lit(">"), F.lit("&gt;"))
-    marked = F.replace(escaped, F.lit(", "), F.lit(' <note n="1">,</note> '))
+    """Each document as one XML text: every line a verse, some with bad ids, in CDATA or in a comment."""
+    def marked(line):
+        escaped = F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                            F.lit(">"), F.lit("&gt;"))
+        return F.replace(escaped, F.lit(", "), F.lit(' <note n="1">,</note> '))
+
     code = F.get(F.array(*[F.lit(c) for c in _CODES]), (F.col("doc_id") % len(_CODES)).cast("int"))
 
     def verse(line, i):
         osis = F.when(i % 7 == 6, code).otherwise(F.concat_ws(".", code, F.col("doc_id"), i + 1))
-        return F.concat(F.lit('<verse osisID="'), osis, F.lit('" sID="s"/>'), line, F.lit('<verse eID="s"/>\n'))
+        opened, closed = F.concat(F.lit('<verse osisID="'), osis, F.lit('" sID="s"/>')), F.lit('<verse eID="s"/>\n')
+        section = F.concat(F.lit("<![CDATA["), F.replace(line, F.lit("]]>"), F.lit("")), F.lit("]]>"))
+        return F.when(i % 5 == 3, F.concat(F.lit("<!-- "), opened, F.lit("hidden"), closed, F.lit("-->"))).otherwise(
+            F.concat(opened, F.when(i % 4 == 1, section).otherwise(marked(line)), closed))
 
-    body = F.array_join(F.transform(F.split(marked, "\n", -1), verse), "")
+    body = F.array_join(F.transform(F.split("text", "\n", -1), verse), "")
     return t.spread("documents").select("doc_id", F.concat(F.lit("<osis><div>"), body, F.lit("</div></osis>")).alias("xml"))
 
 
@@ -98,8 +103,9 @@ def osis_documents(t: Tables):
   SELECT doc_id, {_CODES}[(doc_id % {len(_CODES)})::INT + 1] AS code, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 SELECT doc_id, {list(CODE_TO_BOOK.values())}[list_position({list(CODE_TO_BOOK)}, code)] AS book, doc_id::VARCHAR AS chapter,
-  i::VARCHAR AS verse, trim(regexp_replace(replace(line, ', ', ' , '), '\\s+', ' ', 'g')) AS text
-FROM lines WHERE code <> 'Fake' AND (i - 1) % 7 <> 6""")
+  i::VARCHAR AS verse, trim(regexp_replace(CASE WHEN (i - 1) % 4 = 1 THEN replace(line, ']]>', '')
+    ELSE replace(line, ', ', ' , ') END, '\\s+', ' ', 'g')) AS text
+FROM lines WHERE code <> 'Fake' AND (i - 1) % 7 <> 6 AND (i - 1) % 5 <> 3""")
 def s05(spark, sf_dir):
     return milestones.parse_milestones(osis_documents(Tables(spark, sf_dir))).select(
         "doc_id", "book", "chapter", "verse", "text")
@@ -112,17 +118,24 @@ def s05_unknown(spark, sf_dir):
 
 
 def chapter_pages(t: Tables):
-    """Stored pages as chapter pages: every paragraph a numbered text, some numbers bad, some breaks missing."""
+    """Stored pages as chapter pages: every paragraph a numbered text, some numbers bad, some breaks missing.
+
+    Some texts hold a nested span, some attributes have no quotes, some marks are
+    commented out, and a footer behind the content element looks like a verse.
+    """
     def paragraph(part, i):
         heading = F.when(i % 3 == 0, F.concat(F.lit('<h2 class="estudio">H'), i, F.lit("</h2>"))).otherwise("")
         number = F.when(i % 5 == 4, F.lit("A")).otherwise(i.cast("string"))
         text = F.translate(F.regexp_replace(part, "<[^>]*>", ""), "<>", "")
         line = F.when(i % 4 != 2, F.lit("<br/>")).otherwise("")
-        return F.concat(heading, F.lit('<span class="versiculo">'), number, F.lit('</span><span class="texto">'), text,
-                        F.lit("</span>"), line)
+        nested = F.when(i % 3 == 1, F.concat(F.lit("<span>"), text, F.lit("</span> end"))).otherwise(text)
+        hidden = F.when(i % 6 == 5, F.lit('<!-- <span class="versiculo">9</span><span class="texto">x</span><br> -->')).otherwise("")
+        opened = F.when(i % 2 == 0, F.lit('</span><span class="texto">')).otherwise(F.lit("</span><SPAN id=a class=texto>"))
+        return F.concat(heading, F.lit('<div><span class="versiculo">'), number, opened, nested, F.lit("</span></div>"), hidden, line)
 
     body = F.array_join(F.transform(F.split("html", "<p>", -1), paragraph), "")
-    return t.spread("pages").select("page_id", F.concat(F.lit('<div class="col_i_1_1_inf">'), body, F.lit("</div>")).alias("html"))
+    return t.spread("pages").select("page_id", F.concat(F.lit('<p><div class="col_i_1_1_inf">'), body, F.lit(
+        '</div><div><span class="versiculo">99</span><span class="texto">footer</span><br></div>')).alias("html"))
 
 
 _UNESCAPE = "{0}"
@@ -131,7 +144,8 @@ for _name, _char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&a
 
 _CHAPTERS_SQL = f"""parts AS (
   SELECT page_id, unnest(string_split(html, '<p>')) AS part, generate_subscripts(string_split(html, '<p>'), 1) - 1 AS i FROM pages),
-tokens AS (SELECT page_id, i, trim({_UNESCAPE.format("translate(regexp_replace(part, '<[^>]*>', '', 'g'), '<>', '')")}, {_WS}) AS text,
+tokens AS (SELECT page_id, i, trim({_UNESCAPE.format("translate(regexp_replace(part, '<[^>]*>', '', 'g'), '<>', '')")}
+    || CASE WHEN i % 3 = 1 THEN ' end' ELSE '' END, {_WS}) AS text,
   i % 5 <> 4 AS valid, i % 4 <> 2 AS brk FROM parts),
 grouped AS (SELECT *, sum(valid::INT) OVER (PARTITION BY page_id ORDER BY i) AS g FROM tokens),
 opened AS (SELECT *, coalesce(max(brk::INT) OVER (PARTITION BY page_id, g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed,

@@ -15,6 +15,7 @@ from glossa.operators.aggregates import unknown_values
 from glossa.plans.guard import once
 from glossa.sources.pages import unescape
 
+_SECTIONS = r"(?s)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)|[^<]++|<"
 _START = r"(?s)<(?:\w+:)?verse\b[^>]*?\bosisID\s*=\s*[\"']"
 _ID = r"^[^\"']*"
 _END = r"(?s)<(?:\w+:)?verse\b[^>]*?\beID\s*="
@@ -27,6 +28,19 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.xml") -> Da
             .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("xml")))
 
 
+def without_sections(xml: Column) -> Column:
+    """Comments dropped and CDATA sections as escaped text, whichever of the two starts first."""
+    tokens = F.regexp_extract_all(xml, F.lit(_SECTIONS), F.lit(0))
+
+    def plain(t):
+        inner = F.regexp_replace(F.substr(t, F.lit(10)), r"\]\]>$", "")
+        escaped = F.replace(F.replace(F.replace(inner, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                            F.lit(">"), F.lit("&gt;"))
+        return F.when(t.startswith("<!--"), "").when(t.startswith("<![CDATA["), escaped).otherwise(t)
+
+    return F.when(F.contains(xml, F.lit("<!")), F.array_join(F.transform(tokens, plain), "")).otherwise(xml)
+
+
 def milestone_segments(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """Every start mark as (document columns, pos, osis_id, raw, closed).
 
@@ -34,7 +48,7 @@ def milestone_segments(documents: DataFrame, xml: str = "xml") -> DataFrame:
     another start mark first is not closed.
     """
     keep = [c for c in documents.columns if c != xml]
-    pieces = documents.withColumn("_pieces", once(F.split(xml, _START, -1))).select(
+    pieces = documents.withColumn("_pieces", once(F.split(without_sections(F.col(xml)), _START, -1))).select(
         *keep, F.posexplode("_pieces").alias("pos", "_piece")).where("pos > 0")
     # what is left of a start tag, then its text; the end mark cuts the text
     text = F.substr("_piece", F.locate(">", F.col("_piece")) + 1)
@@ -46,7 +60,7 @@ def milestone_segments(documents: DataFrame, xml: str = "xml") -> DataFrame:
 
 def milestone_text(raw: Column) -> Column:
     """Text of a segment in document order, tags read as blanks, whitespace collapsed."""
-    spaced = F.regexp_replace(raw, r"(?s)<!--.*?-->|<[^>]*>", " ")
+    spaced = F.regexp_replace(raw, r"<[^>]*>", " ")
     return flatten_text(unescape(spaced))
 
 

@@ -50,19 +50,74 @@ def plain_text(html: Column) -> Column:
 
 
 def _tag(name: str, css: str) -> str:
-    return rf"<{name}\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{css}(?:\s[^\"']*)?[\"'][^>]*>"
+    """Opening tag of an element with a class, whether its value is quoted or not."""
+    value = rf"(?:\"(?:[^\"]*\s)?{css}(?:\s[^\"]*)?\"|'(?:[^']*\s)?{css}(?:\s[^']*)?'|{css}(?=[\s/>]))"
+    return rf"<{name}\b[^>]*\bclass\s*=\s*{value}[^>]*>"
 
 
 @dataclass(frozen=True)
 class PageLayout:
-    """Patterns of a page's marks; each whole element is one match, content in group 1."""
+    """Patterns of a page's marks; each whole element is one match, content in group 1.
 
-    content: str = r"(?is)<div\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?col_i_1_1_inf(?:\s[^\"']*)?[\"'][^>]*>(.*)"
+    ``content`` is the opening tag of the element ``content_name`` that holds the marks.
+    """
+
+    content: str = rf"(?is){_tag('div', 'col_i_1_1_inf')}"
+    content_name: str = "div"
     heading: str = rf"(?is){_tag('h2', 'estudio')}(.*?)</h2>"
     number: str = rf"(?is){_tag('span', 'versiculo')}(.*?)</span>"
     text: str = rf"(?is){_tag('span', 'texto')}(.*?)</span>"
     line_break: str = r"(?is)<br\b[^>]*>"
 
+    def mark(self) -> str:
+        """Opening tags of number and text marks."""
+        return "(?is)" + "|".join(p.removeprefix("(?is)").split("(.*?)")[0] for p in (self.number, self.text))
+
+
+def _is(piece: Column, tag: str) -> Column:
+    """Whether a piece of a page begins with a tag such as ``<div`` or ``</div``."""
+    return F.lower(F.substr(piece, F.lit(1), F.lit(len(tag)))) == tag
+
+
+def _element(rest: Column, name: str) -> Column:
+    """What follows an opening tag, up to its own closing tag (or to the end, when none closes it)."""
+    step = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("count"))
+
+    def walk(acc, piece):
+        depth = acc["depth"] + F.when(_is(piece, f"<{name}"), 1).when(_is(piece, f"</{name}"), -1).otherwise(0)
+        return F.when(acc["depth"] == 0, acc).otherwise(
+            F.struct(depth.alias("depth"), (acc["count"] + F.when(depth > 0, 1).otherwise(0)).alias("count")))
+
+    return let(F.split(rest, rf"(?i)(?=</?{name}[\s/>])", -1), lambda pieces: F.array_join(F.slice(
+        pieces, F.lit(1), F.aggregate(pieces, step, walk, lambda acc: acc["count"])), ""))
+
+
+def _flat_marks(body: Column, layout: PageLayout) -> Column:
+    """Elements nested in number and text marks lose their span tags, so that a mark ends at its own tag."""
+    mark = layout.mark()
+    state = F.struct(F.lit(0).alias("depth"), F.lit([]).cast("array<boolean>").alias("drop"))
+
+    def walk(acc, piece):
+        opens, closes, depth = _is(piece, "<span"), _is(piece, "</span"), acc["depth"]
+        now = (F.when(opens & (depth > 0), depth + 1).when(opens & piece.rlike("^" + mark.replace("(?is)", "(?is)(?:", 1) + ")"), 1)
+               .when(closes & (depth > 0), depth - 1).otherwise(depth))
+        inner = (opens & (depth > 0)) | (closes & (depth > 1))
+        return F.struct(now.cast("int").alias("depth"), F.concat(acc["drop"], F.array(inner)).alias("drop"))
+
+    def flat(pieces):
+        drop = F.aggregate(pieces, state, walk, lambda acc: acc["drop"])
+        return F.array_join(F.zip_with(pieces, drop, lambda piece, inner: F.when(
+            inner, F.regexp_replace(piece, "^<[^>]*>", "")).otherwise(piece)), "")
+
+    return let(F.split(body, r"(?i)(?=</?span[\s/>])", -1), flat)
+
+
+def content(html: Column, layout: PageLayout) -> Column:
+    """Inside of a page's content element, without comments and with flat marks; null without one."""
+    clean = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
+    return let(F.split(clean, layout.content, 2), lambda parts: F.when(
+        F.size(parts) == 2, _flat_marks(_element(F.get(parts, F.lit(1)), layout.content_name), layout)))
+
 
 def _ungroup(pattern: str) -> str:
     """Pattern body without flags, its content group made non-capturing."""
@@ -76,10 +131,11 @@ def parse_pages(pages: DataFrame, layout: PageLayout = PageLayout(), html: str =
     break closes it; a second number before a break discards the first verse; a
     mark whose number is not an integer is as if absent; the last verse may
     stay open; verses without text are dropped; the subtitle is the last heading
-    before the number mark.
+    before the number mark. Only the content element up to its own end tag
+    counts, comments do not, and spans nested in a mark belong to it.
     """
     number, heading = layout.number, layout.heading
-    body = F.when(F.col(html).rlike(layout.content), F.regexp_extract(html, layout.content, 1))
+    body = content(F.col(html), layout)
     # number marks without an integer vanish, so their text joins the verse that is open
     bad_number = "(?is)" + _bad_numbers(number)
     clean = F.regexp_replace(body, bad_number, "")
@@ -118,10 +174,10 @@ def parse_pages(pages: DataFrame, layout: PageLayout = PageLayout(), html: str =
 
 def page_audit(pages: DataFrame, layout: PageLayout = PageLayout(), html: str = "html") -> DataFrame:
     """Per page whether it has content, its number marks, and those without an integer."""
-    body = F.coalesce(F.regexp_extract(html, layout.content, 1), F.lit(""))
     keep = [c for c in pages.columns if c != html]
-    return pages.select(
-        *keep, F.coalesce(F.col(html).rlike(layout.content), F.lit(False)).alias("has_content"),
+    body = F.coalesce("_body", F.lit(""))
+    return pages.select(*keep, once(content(F.col(html), layout)).alias("_body")).select(
+        *keep, F.col("_body").isNotNull().alias("has_content"),
         F.regexp_count(body, F.lit(layout.number)).alias("numbers"),
         F.regexp_count(body, F.lit("(?is)" + _bad_numbers(layout.number))).alias("bad_numbers"))
 
@@ -133,7 +189,7 @@ def _split_at(pattern: str) -> str:
 def _bad_numbers(number: str) -> str:
     """Number marks whose content is not an optionally signed integer."""
     head, tail = number.removeprefix("(?is)").split("(.*?)")
-    blank = r"(?:[\s\x{85}\p{Z}]|&nbsp;|<(?!/span)[^>]*>)*"
+    blank = r"(?:[\s\x{85}\p{Z}]++|&nbsp;|<(?!/span)[^>]*+>)*+"  # possessive: a long run needs no stack
     return rf"{head}(?!{blank}[+-]?\d+{blank}{tail})(?:.*?){tail}"
 
 

@@ -46,11 +46,26 @@ def t(x):
     (n(1) + t("a<br>b") + t("c"), [(1, "", "ab")]),
     (n(" 7 ") + t(" <i>x</i> &amp; &eacute;&#233;&#xE9; y ") + "<BR />", [(7, "", "x & ééé y")]),
     ("nothing", []),
+    # spans nested in a mark belong to it
+    (n(1) + t("a <span>b <span class='x'>c</span></span> d") + "<br>" + n("<span>2</span>") + t("e"), [(1, "", "a b c d"), (2, "", "e")]),
+    # comments do not count, attributes may lack quotes
+    ("<!-- " + n(5) + t("no") + "<br> -->" + "<span class=versiculo>1</span><SPAN id=q class=texto>a</SPAN><br>", [(1, "", "a")]),
+    # inner elements of the same name do not end the content
+    ("<div>" + n(1) + t("a") + "<div></div><br></div>" + n(2) + t("b"), [(1, "", "a"), (2, "", "b")]),
+    # a very long number mark, good and bad
+    (n(" " * 1_000_000 + "3") + t("a") + "<br>" + n(" " * 1_000_000 + "x") + t("b"), [(3, "", "a")]),
 ])
 def test_page_rules(spark, body, expected):
     assert verses(spark, body) == expected
 
 
+def test_content_ends_at_its_own_tag(spark):
+    page = ("<div class=top><span class=versiculo>8</span></div><DIV class='a col_i_1_1_inf b'>" + n(1) + t("a") + "<br></DIV>"
+            + "<div>" + n(2) + t("footer") + "<br></div>")
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    assert [(r["verse"], r["text"]) for r in parse_pages(df).collect()] == [(1, "a")]
+
+
 def test_page_without_content(spark):
     df = spark.createDataFrame([(1, "<div class='other'>" + n(1) + t("x") + "<br></div>")], "page_id int, html string")
     assert parse_pages(df).count() == 0
@@ -78,9 +93,11 @@ def test_milestones(spark):
     xml = ('<osis><p><verse osisID="Gen.1.1" sID="a"/>In the <w>begin\nning</w>  God<note>n</note><verse eID="a"/> between '
            '<verse osisID="FakeBook.1.1"/>no<verse eID="b"/><verse osisID="Gen.1"/>short<verse eID="c"/>'
            '<verse sID="q" osisID="1John.2.3"/>Light &amp; life<verse eID="q"/>'
-           '<verse osisID="Gen.1.9"/>open <verse osisID="Gen.1.10"/>ten<verse eID="z"/></p></osis>')
+           '<!-- <verse osisID="Gen.1.7"/>hidden<verse eID="h"/> <![CDATA[ --><verse osisID="Gen.1.8"/>In <![CDATA[the & <x> <!-- y]]> b'
+           '<verse eID="h"/><verse osisID="Gen.1.9"/>open <verse osisID="Gen.1.10"/>ten<verse eID="z"/></p></osis>')
     docs = spark.createDataFrame([("f.xml", xml)], "file string, xml string")
     got = [(r["book"], r["chapter"], r["verse"], r["text"]) for r in parse_milestones(docs).orderBy("pos").collect()]
     assert got == [("genesis", "1", "1", "In the begin ning God n"), ("1_john", "2", "3", "Light & life"),
+                   ("genesis", "1", "8", "In the & <x> <!-- y b"),
                    ("genesis", "1", "10", "ten")]
     assert [r["code"] for r in unknown_books(docs).collect()] == ["FakeBook"]
