@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossa.catalog.filters import MODELS, MODELS_SQL, four_models
 from glossa.catalog.registry import Tables, query
 from glossa.catalog.roles import CORPUS_SQL, LABELED_SQL, LANGS, corpus, labeled
-from glossa.domains import EMOTIONS, THEMES_ES
+from glossa.domains import EMOTIONS, EMOTIONS_ES, THEMES_ES
 from glossa.functions.labels import split_labels, theme_set
 from glossa.operators import aggregates as A
 from glossa.operators import evaluate as E
@@ -172,12 +172,14 @@ def a14(spark, sf_dir):
     return wrong.select("doc_id", "lang", "pred", "label", "error_type")
 
 
-@query("a15_class_weights", f"""WITH {CORPUS_SQL}, counts AS (SELECT emotion, count(*) AS n FROM corpus WHERE lang = 'en' GROUP BY 1)
+_BOTH = [*EMOTIONS, *EMOTIONS_ES.values(), "awe"]
+
+
+@query("a15_class_weights", f"""WITH {CORPUS_SQL}, counts AS (SELECT emotion, count(*) AS n FROM corpus GROUP BY 1)
 SELECT (i - 1)::INT AS label_id, d AS label, coalesce(n, 0) AS n, round(1 / greatest(coalesce(n, 0), 1), 6) AS weight
-FROM (SELECT unnest({[*EMOTIONS, 'awe']}) AS d, unnest(range(1, {len(EMOTIONS) + 2})) AS i) LEFT JOIN counts ON d = emotion""")
+FROM (SELECT unnest({_BOTH}) AS d, unnest(range(1, {len(_BOTH) + 1})) AS i) LEFT JOIN counts ON d = emotion""")
 def a15(spark, sf_dir):
-    english = corpus(Tables(spark, sf_dir)).where("lang = 'en'")
-    return rounded(E.class_weights(english, "emotion", [*EMOTIONS, "awe"]), "weight")
+    return rounded(E.class_weights(corpus(Tables(spark, sf_dir)), "emotion", _BOTH), "weight")
 
 
 _BY_SOURCE = """f AS (SELECT source, label, sum(tp) AS tp, sum(predicted) AS predicted, sum(support) AS support FROM (

@@ -55,11 +55,10 @@ _INITCAP = "upper(book[1]) || book[2:]"
 
 @query("p02_annotation_frame", f"""WITH {VERSES_SQL} SELECT row_id AS id, book, chapter, verse, text,
   {_INITCAP} || '_' || chapter || '_' || verse AS verse_id, '' AS theme, '' AS emotion
-FROM (SELECT *, chapter * 100 + verse AS row_id FROM verses)
-WHERE chapter > 0""")
+FROM (SELECT * REPLACE (chapter + 1 AS chapter), chapter * 100 + verse AS row_id FROM verses)""")
 def p02(spark, sf_dir):
-    raw = verses(Tables(spark, sf_dir)).drop("verse_id").where("chapter > 0")
-    return P.annotation_frame(raw.withColumn("id", F.expr("chapter * 100 + verse")))
+    raw = verses(Tables(spark, sf_dir)).drop("verse_id").withColumn("id", F.expr("chapter * 100 + verse"))
+    return P.annotation_frame(raw.withColumn("chapter", F.col("chapter") + 1))
 
 
 @query("p03_project", "SELECT doc_id, lang FROM documents")
@@ -135,8 +134,12 @@ def p11(spark, sf_dir):
 
 
 @query("p12_confident_disagreement", f"""WITH {MODELS_SQL}
-SELECT doc_id, plain, reversed FROM models WHERE plain <> reversed AND plain_score > 0.3 AND reversed_score > 0.3""")
+SELECT doc_id, {", ".join(MODELS)} FROM models WHERE {_ALL_DIFFER} AND {" AND ".join(f"coalesce({m}_score > 0.8, false)" for m in MODELS)}
+UNION ALL SELECT doc_id, plain, NULL, NULL, reversed FROM models WHERE plain <> reversed AND plain_score > 0.3 AND reversed_score > 0.3""")
 def p12(spark, sf_dir):
     df = four_models(Tables(spark, sf_dir))
-    hit = P.confident_disagreement(["plain", "reversed"], ["plain_score", "reversed_score"], 0.3)
-    return df.where(hit & F.col("plain").isNotNull()).select("doc_id", "plain", "reversed")
+    all_four = P.confident_disagreement(list(MODELS), [f"{m}_score" for m in MODELS])
+    two = P.confident_disagreement(["plain", "reversed"], ["plain_score", "reversed_score"], 0.3)
+    kept = df.where(two & F.col("plain").isNotNull() & F.col("reversed").isNotNull())
+    return df.where(all_four).select("doc_id", *MODELS).unionByName(
+        kept.select("doc_id", "plain", "reversed"), allowMissingColumns=True)

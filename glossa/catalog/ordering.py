@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossa.catalog.joins import SECTION_SQL
 from glossa.catalog.registry import Tables, query
-from glossa.catalog.roles import CORPUS_SQL, VERSES_SQL, corpus, verses
+from glossa.catalog.roles import BOOKS_EN, CORPUS_SQL, VERSES_SQL, corpus, english_books, verses
 from glossa.domains import BOOK_ORDER, EMOTIONS
 from glossa.operators import annotate, filters, recommend, sampling, sets
 from glossa.operators import transfer as J
@@ -115,9 +115,9 @@ def l06(spark, sf_dir):
 
 
 @query("l07_canonical_order", f"""WITH {CORPUS_SQL} SELECT list_position({BOOK_ORDER}, book)::INT AS book_no, book, count(*) AS n
-FROM corpus WHERE lang = 'en' GROUP BY ALL ORDER BY 1""")
+FROM (SELECT {BOOKS_EN}[book_no + 1] AS book FROM corpus) GROUP BY ALL ORDER BY 1""")
 def l07(spark, sf_dir):
-    counts = corpus(Tables(spark, sf_dir)).where("lang = 'en'").groupBy("book").agg(F.count(F.lit(1)).alias("n"))
+    counts = english_books(corpus(Tables(spark, sf_dir))).groupBy("book").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(F.broadcast(canonical_books(spark)), "book").select("book_no", "book", "n").orderBy("book_no")
 
 
@@ -151,9 +151,9 @@ def u03(spark, sf_dir):
 
 
 @query("u04_missing_units", f"""WITH {CORPUS_SQL} SELECT list_position({BOOK_ORDER}, b)::INT AS book_no, b AS book
-FROM (SELECT unnest({BOOK_ORDER}) AS b) WHERE b NOT IN (SELECT book FROM corpus WHERE lang = 'en')""")
+FROM (SELECT unnest({BOOK_ORDER}) AS b) WHERE b NOT IN (SELECT {BOOKS_EN}[book_no + 1] FROM corpus)""")
 def u04(spark, sf_dir):
-    return sets.missing_units(canonical_books(spark), corpus(Tables(spark, sf_dir)).where("lang = 'en'"), "book")
+    return sets.missing_units(canonical_books(spark), english_books(corpus(Tables(spark, sf_dir))), "book")
 
 
 @query("u05_combine_rounds", """WITH r AS (

@@ -39,6 +39,12 @@ BOOKS_EN = ["genesis", "exodus", "ruth", "1_samuel", "psalms", "song_of_solomon"
 BOOKS_ES = ["genesis", "exodo", "rut", "1-samuel", "salmos", "cantares", "jonas", "malaquias", "mateo",
             "marcos", "lucas", "juan", "hechos", "romanos", "1-corintios", "tito", "santiago", "2-pedro", "3-juan", "judas"]
 
+
+def english_books(rows: DataFrame) -> DataFrame:
+    """Rows of both corpora with the English slug of their book."""
+    return rows.withColumn("book", F.get(F.array(*[F.lit(b) for b in BOOKS_EN]), F.col("book_no")))
+
+
 EMOTION_SQL = f"{[*EMOTIONS]}[(n_chars % 7)::INT + 1]".replace('"', "'")
 _THEME_CASES = ", ".join(f"CASE WHEN n_chars % {i} = 0 THEN '{t}' END" for i, t in enumerate(THEMES, start=2))
 THEME_SQL = f"nullif(concat_ws(';', {_THEME_CASES}), '')"

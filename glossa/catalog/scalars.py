@@ -186,7 +186,8 @@ _docs("f22_verse_number", lambda: X.verse_number(F.when(F.col("doc_id") % 3 == 0
 
 
 @query("f23_softmax", f"""WITH {lexicon_cte('hits', LEXICON)}, z AS (
-  SELECT doc_id, [w0, w1, w2, w3] AS w, greatest(w0, w1, w2, w3) AS m FROM hits), e AS (
+  SELECT doc_id, [coalesce(w0, 0), coalesce(w1, 0), coalesce(w2, 0), coalesce(w3, 0)] AS w, coalesce(greatest(w0, w1, w2, w3), 0) AS m
+  FROM documents LEFT JOIN hits USING (doc_id)), e AS (
   SELECT doc_id, exp((w[1] - m) / 10) AS a, exp((w[2] - m) / 10) AS b, exp((w[3] - m) / 10) AS c, exp((w[4] - m) / 10) AS d FROM z)
 SELECT doc_id, round(a / (a+b+c+d), 6) AS p0, round(b / (a+b+c+d), 6) AS p1, round(c / (a+b+c+d), 6) AS p2,
   round(d / (a+b+c+d), 6) AS p3 FROM e""")
@@ -195,7 +196,7 @@ def f23(spark, sf_dir):
     w = words(F.col("text"))
     counts = F.array(*[F.size(F.filter("_words", among(ws))) / F.lit(10.0) for ws in LEXICON.values()])
     docs = Tables(spark, sf_dir).spread("documents").withColumn("_words", w).withColumn("_logits", counts)
-    docs = docs.where(F.array_max("_logits") > 0).withColumn("_p", S.softmax(F.col("_logits")))
+    docs = docs.withColumn("_p", S.softmax(F.col("_logits")))
     return docs.select("doc_id", *[F.round(F.get("_p", F.lit(i)), 6).alias(f"p{i}") for i in range(4)])
 
 

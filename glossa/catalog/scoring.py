@@ -71,19 +71,19 @@ def m01(spark, sf_dir):
 _LABEL, _SCORE = top_sql(LEXICON)
 
 
-@query("m02_top_label", f"WITH {lexicon_cte('hits', LEXICON)} SELECT doc_id, {_LABEL} AS label FROM hits")
+@query("m02_top_label", f"""WITH {lexicon_cte('hits', LEXICON)}
+SELECT doc_id, CASE WHEN w0 IS NOT NULL THEN {_LABEL} END AS label FROM documents LEFT JOIN hits USING (doc_id)""")
 def m02(spark, sf_dir):
-    found = predicted(Tables(spark, sf_dir)).select("doc_id", top_prediction(F.col("preds"))["label"].alias("label"))
-    return found.dropna(subset=["label"])
+    return predicted(Tables(spark, sf_dir)).select("doc_id", top_prediction(F.col("preds"))["label"].alias("label"))
 
 
 _ABOVE = ", ".join(f"CASE WHEN w{i} / (w0 + w1 + w2 + w3) >= 0.25 THEN '{x}' END" for i, x in enumerate(LANGS))
 
 
-@query("m03_multi_label", f"WITH {lexicon_cte('hits', LEXICON)} SELECT doc_id, concat_ws(';', {_ABOVE}) AS labels FROM hits")
+@query("m03_multi_label", f"WITH {lexicon_cte('hits', LEXICON)} SELECT doc_id, CASE WHEN w0 IS NOT NULL THEN concat_ws(';', {_ABOVE}) END AS labels FROM documents LEFT JOIN hits USING (doc_id)")
 def m03(spark, sf_dir):
-    found = predicted(Tables(spark, sf_dir)).where(F.col("preds").isNotNull())
-    return found.select("doc_id", join_labels(labels_above(F.col("preds"), 0.25)).alias("labels"))
+    labels = F.when(F.col("preds").isNotNull(), join_labels(labels_above(F.col("preds"), 0.25)))
+    return predicted(Tables(spark, sf_dir)).select("doc_id", labels.alias("labels"))
 
 
 # Four fine-grained labels scored from the text; the first maps to neutral.
@@ -96,17 +96,17 @@ _TOTAL = " + ".join(_count(x) for x in _LETTERS)
   {_TOTAL} AS s FROM documents),
 t AS (SELECT *, greatest(n, g, p, z) AS best FROM c),
 l AS (SELECT *, CASE WHEN n = best THEN 'neutral' WHEN g = best THEN 'grief' WHEN p = best THEN 'pride' ELSE 'zeal' END AS top FROM t),
-o AS (SELECT *, top IN ('neutral', 'zeal') AND best / s < 0.45 AS weak, CASE WHEN g >= p THEN 'grief' ELSE 'pride' END AS other FROM l WHERE s > 0)
-SELECT doc_id, CASE WHEN weak THEN other ELSE top END AS label,
-  CASE WHEN weak THEN CASE other WHEN 'grief' THEN 'sadness' ELSE 'joy' END
+o AS (SELECT *, top IN ('neutral', 'zeal') AND s > 0 AND best / nullif(s, 0) < 0.45 AS weak, CASE WHEN g >= p THEN 'grief' ELSE 'pride' END AS other FROM l)
+SELECT doc_id, CASE WHEN s = 0 THEN NULL WHEN weak THEN other ELSE top END AS label,
+  CASE WHEN s = 0 THEN NULL WHEN weak THEN CASE other WHEN 'grief' THEN 'sadness' ELSE 'joy' END
     ELSE CASE top WHEN 'grief' THEN 'sadness' WHEN 'pride' THEN 'joy' ELSE 'neutral' END END AS mapped,
-  round(CASE WHEN weak THEN greatest(g, p) ELSE best END / s, 6) AS score FROM o""")
+  CASE WHEN s > 0 THEN round(CASE WHEN weak THEN greatest(g, p) ELSE best END / s, 6) END AS score FROM o""")
 def m04(spark, sf_dir):
     counts = F.array(*[F.regexp_count("text", F.lit(x)) for x in _LETTERS])
     docs = Tables(spark, sf_dir).spread("documents").select("doc_id", counts.alias("c"))
     total = F.aggregate("c", F.lit(0), lambda a, x: a + x)
     preds = zip_predictions(F.array(*[F.lit(x) for x in _FINE]), F.transform("c", lambda x: x / F.col("total")))
-    docs = docs.withColumn("total", total).where("total > 0").withColumn("best", preds)
+    docs = docs.withColumn("total", F.nullif(total, F.lit(0))).withColumn("best", F.when(F.col("total").isNotNull(), preds))
     found = M.compare_models(docs, {"best": True}, FINE_TO_COARSE, 0.45)
     return found.select("doc_id", F.col("best_label").alias("label"), F.col("best_mapped").alias("mapped"),
                         F.round("best_score", 6).alias("score"))
@@ -219,7 +219,6 @@ def m16(spark, sf_dir):
 _SHARES = ", ".join(f"round(w{i} / (w0 + w1 + w2 + w3), 6) AS {x}" for i, x in enumerate(LANGS))
 
 
-@query("m17_lexicon_scores", f"WITH {lexicon_cte('hits', LEXICON)} SELECT doc_id, {_SHARES} FROM hits")
+@query("m17_lexicon_scores", f"WITH {lexicon_cte('hits', LEXICON)} SELECT doc_id, {_SHARES} FROM documents LEFT JOIN hits USING (doc_id)")
 def m17(spark, sf_dir):
-    found = predicted(Tables(spark, sf_dir)).where(F.col("preds").isNotNull())
-    return found.select("doc_id", *[F.round(F.get("preds", F.lit(i))["score"], 6).alias(x) for i, x in enumerate(LANGS)])
+    return predicted(Tables(spark, sf_dir)).select("doc_id", *[F.round(F.get("preds", F.lit(i))["score"], 6).alias(x) for i, x in enumerate(LANGS)])

@@ -7,7 +7,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from glossa import schemas
 from glossa.catalog.registry import Tables, query
-from glossa.catalog.roles import BOOKS_EN, BOOKS_ES, CORPUS_SQL, LABELED_SQL, corpus, labeled, literal
+from glossa.catalog.roles import BOOKS_EN, BOOKS_ES, CORPUS_SQL, LABELED_SQL, corpus, english_books, labeled, literal
 from glossa.domains import BOOK_ORDER, CODE_TO_BOOK
 from glossa.functions.text import WHITESPACE
 from glossa.operators.evaluate import error_examples
@@ -45,27 +45,19 @@ def s02(spark, sf_dir):
 
 
 @query("s03_load_corpus", f"""WITH {CORPUS_SQL} SELECT doc_id::INT AS id, book, chapter::INT AS chapter, verse::INT AS verse,
-  verse_id, text, theme, emotion FROM corpus WHERE lang = 'es'""")
+  verse_id, text, theme, emotion, lang AS corpus FROM corpus""")
 def s03(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    base = scratch_path(spark, "labeled")
-    frame = corpus(t).where("lang = 'es'").select(
-        F.col("doc_id").alias("id"), "book", "chapter", "verse", F.lit(None).cast("string").alias("subtitle"), "text",
-        "verse_id", F.lit(None).cast("string").alias("source_url"), "theme", "emotion")
-    folder = tables.corpus_folder(base, "es")
-    tables.write_csv(frame, folder + "/raw")
-    rename_parts(spark, folder + "/raw", folder, "{}_book_emotion_theme.csv")
-    return tables.load_corpus(spark, folder).where("source_file like '%_emotion_theme'").select(
-        "id", "book", "chapter", "verse", "verse_id", "text", "theme", "emotion")
-
-
-def rename_parts(spark, folder: str, target: str, name: str) -> None:
-    """Give written part files the names of the file-name convention."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = sorted(f.getPath().toString() for f in fs.globStatus(path(folder + "/part-*")))
-    for i, part in enumerate(parts, start=1):
-        fs.rename(path(part), path(f"{target}/{name.format(i)}"))
+    base, read = scratch_path(spark, "labeled"), []
+    for lang in ("en", "es"):
+        frame = corpus(t).where(F.col("lang") == lang).select(
+            F.col("doc_id").alias("id"), "book", "chapter", "verse", F.lit(None).cast("string").alias("subtitle"), "text",
+            "verse_id", F.lit(None).cast("string").alias("source_url"), "theme", "emotion")
+        folder = tables.corpus_folder(base, lang)
+        tables.write_csv(frame, folder)
+        read.append(tables.load_corpus(spark, folder, files="part-*.csv").select(
+            "id", "book", "chapter", "verse", "verse_id", "text", "theme", "emotion", F.lit(lang).alias("corpus")))
+    return read[0].unionByName(read[1])
 
 
 @query("s04_read_headerless", "SELECT doc_id::VARCHAR AS id, 'd' || doc_id AS verse_id, quality::VARCHAR AS label FROM labels")
@@ -255,14 +247,19 @@ def s14(spark, sf_dir):
     return tables.session_summary(tables.audit_files(checked, kept)).select("rows", "kept", "removed")
 
 
-@query("s12_feedback", """SELECT user_id, event_type AS feedback, CASE WHEN event_id % 2 = 0 THEN 'v' || event_id ELSE '' END AS versiculo_1,
-  CASE WHEN event_id % 2 = 0 AND event_id % 4 = 0 THEN 'w' || event_id ELSE '' END AS versiculo_2, event_id FROM events""")
+_WIDTH = 9
+_VERSES_SQL = ", ".join(f"CASE WHEN event_id % 2 = 0 AND event_id % {_WIDTH} >= {i - 1} THEN 'v{i}-' || event_id ELSE '' END AS versiculo_{i}"
+                        for i in range(1, _WIDTH + 1))
+
+
+@query("s12_feedback", f"SELECT user_id, event_type AS feedback, {_VERSES_SQL}, event_id FROM events")
 def s12(spark, sf_dir):
     events, path = Tables(spark, sf_dir).events, scratch_path(spark, "feedback")
-    base = events.select("event_id", "user_id", F.col("event_type").alias("feedback"), F.array_compact(F.array(
-        F.concat(F.lit("v"), "event_id"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("w"), "event_id")))).alias("verses"))
+    base = events.select("event_id", "user_id", F.col("event_type").alias("feedback"), F.transform(
+        F.sequence(F.lit(1), (F.col("event_id") % _WIDTH).cast("int") + 1),
+        lambda i: F.concat(F.lit("v"), i, F.lit("-"), F.col("event_id"))).alias("verses"))
     tables.append_feedback(base.where("event_id % 2 = 1").drop("verses"), path)
-    tables.append_feedback(tables.feedback_rows(base.where("event_id % 2 = 0"), most=2), path)
+    tables.append_feedback(tables.feedback_rows(base.where("event_id % 2 = 0")), path)
     return tables.read_feedback(spark, path)
 
 
@@ -270,13 +267,12 @@ _FOUND = ", ".join(literal(b) for b in BOOKS_EN)
 
 
 @query("s13_write_books", f"""WITH {CORPUS_SQL} SELECT list_position({BOOK_ORDER}, book)::INT AS book_no, book, count(*) AS n
-FROM corpus WHERE lang = 'en' GROUP BY ALL UNION ALL
+FROM (SELECT {BOOKS_EN}[book_no + 1] AS book FROM corpus) GROUP BY ALL UNION ALL
 SELECT list_position({BOOK_ORDER}, b)::INT, b, 0 FROM (SELECT unnest({BOOK_ORDER}) AS b) WHERE b NOT IN (
-  SELECT book FROM corpus WHERE lang = 'en')""")
+  SELECT {BOOKS_EN}[book_no + 1] FROM corpus)""")
 def s13(spark, sf_dir):
     path = scratch_path(spark, "books")
-    english = corpus(Tables(spark, sf_dir)).where("lang = 'en'").drop("book_no")
-    missing = tables.write_books(english, path)
+    missing = tables.write_books(english_books(corpus(Tables(spark, sf_dir))).drop("book_no"), path)
     counts = spark.read.parquet(path).groupBy("book_no", "book").agg(F.count(F.lit(1)).alias("n"))
     return counts.unionByName(missing.withColumn("n", F.lit(0).cast("bigint")))
 

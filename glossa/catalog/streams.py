@@ -66,9 +66,14 @@ def t03(spark, sf_dir):
 @query("flagship_label_report", f"""WITH {LABELED_SQL}, c AS (SELECT lang AS label, count(*) AS support,
     count(*) FILTER (WHERE lang = pred) AS tp FROM labeled GROUP BY 1),
 p AS (SELECT pred AS label, count(*) AS predicted FROM labeled WHERE pred IS NOT NULL GROUP BY 1),
-r AS (SELECT label, tp / predicted AS precision, tp / support AS recall, 2 * tp / (predicted + support) AS f1, support, tp FROM c JOIN p USING (label))
-SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM r""")
+r AS (SELECT label, tp / predicted AS precision, tp / support AS recall, 2 * tp / (predicted + support) AS f1, support, tp FROM c JOIN p USING (label)),
+long AS (SELECT label, precision, recall, f1, support FROM r
+UNION ALL SELECT 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support), sum(support) FROM r
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM r
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1 * support) / sum(support), sum(support) FROM r)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM long""")
 def flagship_report(spark, sf_dir):
     from glossa.catalog.flagship import flagship
-    report = flagship(spark, sf_dir).where(F.col("label").isin(*LEXICON))
+    report = flagship(spark, sf_dir)
     return report.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")

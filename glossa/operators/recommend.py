@@ -14,7 +14,7 @@ from glossa.functions.text import normalize
 from glossa.operators.filters import admissible, matches
 from glossa.operators.scoring import BATCH, score_candidates, score_texts, top_theme
 from glossa.plans.ranking import hash_number, hash_rank, seeded_hash
-from glossa.plans.skew import SMALL_ROWS, counted_join
+from glossa.plans.skew import lookup_join
 
 PER_SECTION = 2
 MAX_RESULTS = 5
@@ -139,16 +139,14 @@ def answer_requests(requests: DataFrame, index: DataFrame, sizes: DataFrame, pay
         normalize(localized(F.col("emotion"), F.col("lang"), domains.EMOTIONS_ES)).alias("emotion_norm"),
         normalize(localized(F.col("theme"), F.col("lang"), domains.THEMES_ES)).alias("theme_norm"))
     group = ["lang", "emotion_norm", "theme_norm"]
-    sized = counted_join(wanted, sizes, group)
+    sized = lookup_join(wanted, sizes, group, "inner")
     begin = F.pmod(hash_number(seeded_hash(seed, "request_id", "section"), 12), F.col("slots"))
     picks = (sized.withColumn("pick", F.explode(F.sequence(
                  F.lit(0).cast("bigint"), F.least(F.lit(n), F.col("size")) - 1)))
              .withColumn("slot", F.pmod(begin + F.col("pick"), F.col("slots")))
              .select("request_id", *group, "section", "pick", "slot"))
-    # few picks are sent to the corpus rows instead of shuffling the corpus
-    few = picks.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return index.select(*group, "section", "slot", *payload).join(
-        F.broadcast(picks) if few else picks, [*group, "section", "slot"]).select(
+    # few picks are broadcast to the corpus rows by Spark itself, which knows their bytes
+    return index.select(*group, "section", "slot", *payload).join(picks, [*group, "section", "slot"]).select(
         "request_id", "lang", "section", "pick", *payload)
 
 

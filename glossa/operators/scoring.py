@@ -1,12 +1,13 @@
 """Applying text classifiers on executors, and combining their output.
 
 A scorer is a factory without arguments that returns a callable. The factory
-runs once per Python worker task, so heavy models load there and not per row.
+runs once per Python worker, which serves many tasks, so a heavy model loads once.
 Only the text column crosses to Python, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -24,9 +25,23 @@ _NOT_LETTERS = r"[^\p{L}]+"
 _RESULT = "labels array<string>, scores array<double>, error string"
 
 
+# The scorer of a Python worker. It holds one at a time, so a worker's memory does not grow with jobs.
+_LOADED: dict[str, Callable] = {}
+
+
+def loaded(name: str, factory: Callable[[], Callable]) -> Callable:
+    """The worker's scorer of that name, made on first use."""
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = factory()
+    return _LOADED[name]
+
+
 def _scorer_udf(factory: Callable[[], Callable], batch: int, unpack: Callable, call: Callable):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = factory()
+        scorer = loaded(name, factory)
         for texts in batches:
             rows = []
             for start in range(0, len(texts), batch):

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.plans.skew import HOT_ROWS, hot_keys, tell_apart
+from glossa.plans.skew import HOT_ROWS, has_hot_key, tell_apart
 from glossa.session import ensure_checkpoint_dir
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
@@ -49,27 +49,29 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed, by: Sequence[str] = (), o
     Pieces and rows are read separately, so ``df`` must yield the same rows every
     time: write or checkpoint a frame made by ``limit`` or ``sample`` first.
     """
-    group, piece, key = "_group", "_piece", list(key)
-    if not unique and hot_keys(df, key, hot_rows) is not None:
+    piece, key, by = "_piece", list(key), list(by)
+    if not unique and has_hot_key(df, key, hot_rows):
         df, key = tell_apart(df, key, "_tie", hot_rows), [*key, "_tie"]
     keyed = df.withColumn("_hash", seeded_hash(seed, *key)).withColumn(
-        group, F.struct(_group(by).alias("by"), hash_number(F.col("_hash"), digits).alias(piece)))
-    pieces = keyed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(F.col(group)["by"])
-    earlier = whole.orderBy(F.col(group)[piece]).rowsBetween(Window.unboundedPreceding, -1)
+        "_by", _group(by)).withColumn(piece, hash_number(F.col("_hash"), digits))
+    pieces = keyed.groupBy("_by", piece).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_by")
+    earlier = whole.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(
-        group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        "_by", piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias("_total"))
     if top is not None:
         offsets = offsets.where(F.col("_before") < top)
-    local = Window.partitionBy(*by, F.col(group)[piece]).orderBy("_hash", *key)
-    ranked = keyed.join(offsets, group).withColumn(
+    if not by:  # at most 16**digits rows
+        offsets = F.broadcast(offsets)
+    local = Window.partitionBy("_by", piece).orderBy("_hash", *key)  # the join's own partitioning
+    ranked = keyed.join(offsets, ["_by", piece]).withColumn(
         out, F.col("_before") + F.row_number().over(local))
     if top is not None:
         ranked = ranked.where(F.col(out) <= top)
     if total:
         ranked = ranked.withColumn(total, F.col("_total"))
-    return ranked.drop(group, "_hash", "_before", "_total", "_tie")
+    return ranked.drop("_by", piece, "_hash", "_before", "_total", "_tie")
 
 
 def sequential_id(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[str] = (),
@@ -88,6 +90,8 @@ def sequential_id(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[
     earlier = (Window.partitionBy(F.col("_slot")["by"]).orderBy(F.col("_slot")["part"])
                .rowsBetween(Window.unboundedPreceding, -1))
     slots = slots.select("_slot", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    if not by:  # one row for each range partition
+        slots = F.broadcast(slots)
     number = F.lit(start) + F.col("_before") + F.col("_at") - F.col("_first")
     return placed.join(slots, "_slot").withColumn(out, number).drop("_at", "_slot", "_first", "_before")
 

@@ -1,4 +1,4 @@
-"""Joins of a large table with a lookup table or key list that survive hot keys."""
+"""Joins of a large table with a lookup table or key list, and rows that repeat very often."""
 
 from __future__ import annotations
 
@@ -9,27 +9,18 @@ from pyspark.sql import functions as F
 
 from glossa.session import ensure_checkpoint_dir
 
-HOT_KEYS = 1_000      # size bound of the list of hot keys
 HOT_ROWS = 100_000    # rows of one key that one task should handle
-MOST_PIECES = 2_000   # pieces one hot key is cut into
-SMALL_ROWS = 200_000  # key lists up to this many rows are broadcast
 _SAMPLED = 1_000      # expected sample of a key that is just hot
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than about ``hot_rows`` rows and the pieces to cut them into, or None.
+def has_hot_key(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether some key has more than about ``hot_rows`` rows, counted on a sample of the key columns.
 
-    Counted on a sample of the key columns alone. At most ``HOT_KEYS`` keys come
-    back, the most frequent ones, so any other key holds under 1/``HOT_KEYS`` of
-    the rows. The list is fixed here, which lets both sides of a join use it.
+    Only decides whether rows are told apart more carefully; results are the same either way.
     """
     fraction = min(1.0, _SAMPLED / hot_rows)
     keys = df.select(*on) if fraction == 1.0 else df.select(*on).sample(fraction, seed=17)
-    pieces = F.least(F.ceil(F.col("_n") / (fraction * hot_rows)), F.lit(MOST_PIECES))
-    found = (keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fraction * hot_rows)
-             .orderBy(F.desc("_n")).limit(HOT_KEYS).select(*on, pieces.alias("_pieces")))
-    listed = found.collect()
-    return df.sparkSession.createDataFrame(listed, found.schema) if listed else None
+    return not keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fraction * hot_rows).isEmpty()
 
 
 def tell_apart(df: DataFrame, keys: Sequence[str], out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -40,50 +31,24 @@ def tell_apart(df: DataFrame, keys: Sequence[str], out: str, hot_rows: int = HOT
     the checkpoint, which stays the same when tasks are repeated.
     """
     row = F.xxhash64(*df.columns).alias(out)
-    copies = hot_keys(df, keys, hot_rows) is not None and hot_keys(df.select(row), [out], hot_rows) is not None
+    copies = has_hot_key(df, keys, hot_rows) and has_hot_key(df.select(row), [out], hot_rows)
     if not copies:
         return df.select("*", row)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint().withColumn(out, F.monotonically_increasing_id())
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join a large table to a table with about one row per key.
 
-    Without hot keys this is a plain join. Otherwise the rows of each hot key are
-    cut into pieces, and its right-hand rows are repeated once per piece; null
-    keys never match, but are cut up as well. ``how``: left, inner, left_semi or
-    left_anti.
+    Spark broadcasts the lookup table when its bytes allow. Otherwise adaptive
+    execution measures the shuffled partitions and splits those of hot keys,
+    however many there are; the aggregation or sort that needs rows of a key together
+    should therefore come in a later stage. ``how``: left, inner, left_semi or left_anti.
     """
-    on = list(on)
-    hot = hot_keys(left, on, hot_rows)
-    if hot is None:
-        return left.join(right, on, how)
-    hot = F.broadcast(hot.select(F.struct(*on).alias("_key"), "_pieces"))
-    spread = F.coalesce(F.pmod(F.col("_row"), F.col("_pieces")), F.lit(0).cast("bigint"))
-    salted = (tell_apart(left, on, "_row", hot_rows).withColumn("_key", F.struct(*on)).join(hot, "_key", "left")
-              .withColumn("_salt", spread).drop("_key", "_pieces", "_row"))
-    last = F.coalesce(F.col("_pieces"), F.lit(1).cast("bigint")) - 1
-    repeated = (right.withColumn("_key", F.struct(*on)).join(hot, "_key", "left")
-                .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-                .drop("_key", "_pieces"))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
-def counted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-                 small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Join a large table to a lookup table that is usually, but not surely, small.
-
-    The lookup table is counted first. When small it is broadcast, so the large
-    table is not shuffled at all; otherwise hot keys are spread as in ``lookup_join``.
-    """
-    if right.limit(small_rows + 1).count() <= small_rows:
-        return left.join(F.broadcast(right), list(on), how)
-    return lookup_join(left, right, on, how)
+    return left.join(right, list(on), how)
 
 
-def filter_join(left: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "left_semi",
-                small_rows: int = SMALL_ROWS) -> DataFrame:
+def filter_join(left: DataFrame, keys: DataFrame, on: Sequence[str], how: str = "left_semi") -> DataFrame:
     """Keep (``left_semi``) or drop (``left_anti``) the rows of a large table by a key list."""
-    return counted_join(left, keys.select(*on).dropna().distinct(), on, how, small_rows)
+    return lookup_join(left, keys.select(*on).dropna().distinct(), on, how)

@@ -51,14 +51,15 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType,
         "book_no", file_prefix(F.col("file"))).withColumn("slug", file_slug(F.col("file")))
 
 
-def load_corpus(spark: SparkSession, path: str, schema: StructType = schemas.LABELED) -> DataFrame:
+def load_corpus(spark: SparkSession, path: str, schema: StructType = schemas.LABELED,
+                files: str = CORPUS_FILES) -> DataFrame:
     """Every labelled file of a corpus folder, with ``source_file`` (the file stem).
 
     A folder without such files gives an empty table with the same columns.
     """
-    if not _exists(spark, f"{path}/{CORPUS_FILES}"):
+    if not _exists(spark, f"{path}/{files}"):
         return spark.createDataFrame([], StructType([*schema.fields, StructField("source_file", StringType())]))
-    df = read_csv(spark, path, schema, pattern=CORPUS_FILES, origin=True)
+    df = read_csv(spark, path, schema, pattern=files, origin=True)
     return df.withColumn("source_file", F.regexp_replace("file", r"\.csv$", "")).drop("file", "book_no", "slug")
 
 
@@ -211,7 +212,8 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     return df.fillna("", [c for c, t in df.dtypes if t == "string"])
 
 
-def feedback_rows(df: DataFrame, verses: str = "verses", most: int = 6) -> DataFrame:
-    """Spread an array of recommended verses over ``versiculo_1..n`` columns."""
+def feedback_rows(df: DataFrame, verses: str = "verses") -> DataFrame:
+    """Spread an array of recommended verses over ``versiculo_1..n`` columns, n being the longest array."""
+    most = df.agg(F.max(F.size(verses))).first()[0] or 0
     spread = [F.get(F.col(verses), F.lit(i)).alias(f"versiculo_{i + 1}") for i in range(most)]
     return df.select(*[c for c in df.columns if c != verses], *spread)

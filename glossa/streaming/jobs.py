@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -45,19 +43,8 @@ def label_arrivals(source: DataFrame, label: Callable[[DataFrame], DataFrame], p
 
 def unique_feedback(events: DataFrame, session: str = "session_id", time: str = "ts",
                     delay: str = "1 hour") -> DataFrame:
-    """At most one feedback per session; the watermark bounds the remembered sessions.
-
-    Repetitions inside one Arrow batch and one ``delay`` span, which the stateful
-    step would drop anyway, go first, so a very busy session is thinned out
-    before the shuffle.
-    """
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop_duplicates([session, "_span"]).drop(columns="_span")
-
-    spanned = events.withColumn("_span", F.window(time, delay)["start"])
-    thinned = spanned.mapInPandas(thin, events.schema)
-    return thinned.withWatermark(time, delay).dropDuplicatesWithinWatermark([session])
+    """At most one feedback per session within ``delay``; the watermark bounds the remembered sessions."""
+    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([session])
 
 
 def answer_arrivals(requests: DataFrame, index: DataFrame, sizes: DataFrame, payload: Sequence[str], path: str,

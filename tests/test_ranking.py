@@ -79,7 +79,7 @@ def test_copies_are_numbered_whole(copies, hot_rows):
 def test_copies_join_whole(spark, copies, how, rows):
     right = spark.createDataFrame([(1, "w")], "b bigint, w string")
     right = right if how in ("left", "inner") else right.select("b")
-    assert lookup_join(copies, right, ["b"], how, hot_rows=10).count() == rows
+    assert lookup_join(copies, right, ["b"], how).count() == rows
 
 
 def test_copies_are_told_apart(copies):
@@ -117,8 +117,7 @@ def test_first_per_group_beyond_the_window_limit(rows):
 def test_filter_join(spark, rows, how):
     keys = spark.createDataFrame([("hot",), ("hot",), ("g1",), (None,)], "g string")
     plain = Counter(map(tuple, rows.join(keys, ["g"], how).collect()))
-    for small in (0, 10):
-        assert Counter(map(tuple, filter_join(rows, keys, ["g"], how, small).collect())) == plain
+    assert Counter(map(tuple, filter_join(rows, keys, ["g"], how).collect())) == plain
 
 
 def test_first_per_group_limits_before_the_shuffle(rows):
@@ -126,30 +125,44 @@ def test_first_per_group_limits_before_the_shuffle(rows):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_lookup_join_equals_plain_join(spark, rows, how):
-    right = spark.createDataFrame([("hot", 1), ("g1", 2), ("g2", 3), ("other", 4), (None, 5)], "g string, w int")
-    right = right if how in ("left", "inner") else right.select("g")
-    plain = rows.join(right, ["g"], how)
-    for hot_rows in (10, 10**6):
-        salted = lookup_join(rows, right, ["g"], how, hot_rows)
-        assert salted.columns == plain.columns
-        assert Counter(map(tuple, salted.collect())) == Counter(map(tuple, plain.collect()))
-
-
-def test_lookup_join_spreads_hot_keys(spark):
-    left = spark.range(20_000).withColumn("k", F.lit(1))
-    right = spark.createDataFrame([(1, "a")], "k int, w string")
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = lookup_join(left, right, ["k"], "inner", hot_rows=100)
-        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(sizes) == 20_000 and max(sizes) < 8_000
+@pytest.fixture
+def conf(spark):
+    """Settings of one test, put back after it."""
+    before = {}
+
+    def put(**settings):
+        for key, value in settings.items():
+            name = "spark.sql." + key.replace("__", ".")
+            before.setdefault(name, spark.conf.get(name))
+            spark.conf.set(name, value)
+
+    yield put
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_lookup_join_splits_a_hot_key(spark, conf):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
+         adaptive__advisoryPartitionSizeInBytes="10k", adaptive__skewJoin__skewedPartitionFactor="1.0")
+    left = spark.range(0, 60_000, 1, 6).withColumn("k", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")))
+    joined = lookup_join(left, spark.range(0, 60_000, 1, 2).withColumnRenamed("id", "k"), ["k"], "left")
+    sizes = joined.groupBy(F.spark_partition_id()).count().select("count").collect()
+    assert sum(r[0] for r in sizes) == 60_000 and max(r[0] for r in sizes) < 15_000  # 20,001 rows have one key
+
+
+def test_ranked_rows_are_exchanged_once(rows, conf):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
+    plan = hash_rank(rows, ["id"], 1, ["g"], unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("Window"):plan.index("SortMergeJoin")]
+    for alone in (hash_rank(rows, ["id"], 1, unique=True, top=50), hash_rank(rows, ["id"], 1, unique=True)):
+        plan = alone._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_numbered_rows_are_not_exchanged_after_their_layout(rows, conf):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
+    plan = sequential_id(rows, ["v"], unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_sample_sizes_and_repeatability(rows):
