@@ -43,7 +43,7 @@ class ItemBlock:
 
     def __init__(self, rows: list[tuple[int, np.ndarray]]) -> None:
         over, under = THRESHOLD
-        self.ids = np.array([i for i, _ in rows], dtype=np.int64)
+        self.ids = [i for i, _ in rows]
         self.sizes = np.array([len(s) for _, s in rows], dtype=np.int64)
         self.shingles = [s for _, s in rows]
         largest = 1 << np.ceil(np.log2(self.sizes)).astype(np.int64)
@@ -76,7 +76,7 @@ class ItemBlock:
                 where = np.minimum(np.searchsorted(own, self.shingles[item]), len(own) - 1)
                 shared = int((own[where] == self.shingles[item]).sum())
                 if shared >= self.needed[item]:
-                    found[doc].append({"item_id": int(self.ids[item]), "shared": shared, "size": int(self.sizes[item])})
+                    found[doc].append({"item_id": self.ids[item], "shared": shared, "size": int(self.sizes[item])})
         return found
 
 

@@ -106,19 +106,19 @@ class ByteNetwork:
             grad |= {f"x{d}": gx, f"u{d}": gu, f"c{d}": gc}
         return loss, grad
 
-    def train(self, words: list[bytes], labels: np.ndarray, epochs: int = 2, batch: int = 512, rate: float = 0.01,
+    def train(self, words: list[bytes], labels: np.ndarray, steps: int = 400, batch: int = 512, rate: float = 0.01,
               seed: int = 7) -> "ByteNetwork":
         """Adam over shuffled batches of words of like length."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         lengths = np.array([len(w) for w in words])
-        step, steps = 0, max(1, epochs * -(-len(words) // batch))
-        for _ in range(epochs):
+        step = 0
+        while step < steps:
             order = rng.permutation(len(words))
             order = order[np.argsort(lengths[order] // 3, kind="stable")]
             groups = [order[i : i + batch] for i in range(0, len(order), batch)]
-            for g in rng.permutation(len(groups)):
+            for g in rng.permutation(len(groups))[: steps - step]:
                 rows = groups[g]
                 _, grad = self.gradients(pad([words[i] for i in rows]), labels[rows])
                 step += 1
@@ -246,8 +246,8 @@ def predict_language(docs: DataFrame, model: ByteNetwork | None, text: str = "te
 
     Every byte of every word gets a probability for each language, from the whole
     word (32 bytes at a time) read in both directions. A document's probability is
-    the mean over all its positions; the largest is the score, ties go to the
-    first language by name. Null texts and texts without a letter are ``und`` with
+    the mean over all its positions; the largest, to six digits, is the score,
+    ties go to the first language by name. Null texts and texts without a letter are ``und`` with
     score 0, as are all without a model. Rows, order and other columns stay; input
     columns named like the new ones are replaced. A worker reads each distinct
     word once; nothing is shuffled.
@@ -268,7 +268,7 @@ def predict_language(docs: DataFrame, model: ByteNetwork | None, text: str = "te
             if not len(got):
                 continue
             best = got.argmax(axis=1)
-            score = got[np.arange(len(got)), best]
+            score = got[np.arange(len(got)), best].round(6)
             known = score > 0
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in names], pa.array(np.where(known, langs[best], UNKNOWN), pa.string()),
