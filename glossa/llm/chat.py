@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.plans.guard import once
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CHUNK_TURNS = 256  # turn numbers that are windowed together
 
@@ -73,11 +75,11 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 2) -> Dat
         escape(F.col("_system.text")).alias("body"), F.lit(False).alias("target"),
         turn_tokens(F.col("_system.text")).cast("long").alias("tokens")))
     opening = (F.col("chunk") == F.col("_first")) & F.col("_system").isNotNull()  # its first turn is the system turn
-    sized = led.select("conv_id", "chunk", formed.alias("f"), system.alias("s"), opening.alias("opening"))
+    sized = led.select("conv_id", "chunk", once(formed).alias("f"), once(system).alias("s"), opening.alias("opening"))
     # Prefix sums: sums[i] is the size of the first i turns.
     sums = F.aggregate("f", F.array(F.lit(0).cast("long")), lambda acc, t: F.concat(
         acc, F.array(F.element_at(acc, -1) + t["tokens"])))
-    summed = sized.withColumn("sums", sums)
+    summed = sized.withColumn("sums", once(sums))
     room = F.lit(budget).cast("long") - F.coalesce("s.tokens", F.lit(0).cast("long"))
 
     def before(i: Column) -> Column:
@@ -94,14 +96,14 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 2) -> Dat
         return F.when((i > begin) & (size > own), F.concat(acc, F.array(i))).otherwise(acc)
 
     starts = F.aggregate(F.sequence(F.lit(0), F.size("f") - 1), F.array(empty), extended)
-    cut = summed.withColumn("starts", starts).select(
+    cut = summed.withColumn("starts", once(starts)).select(
         "conv_id", "chunk", "f", "s", "opening", "starts", F.posexplode("starts").alias("window", "begin"))
     until = F.coalesce(F.get("starts", F.col("window") + 1), F.size("f"))
     since = F.when(F.col("begin") == 0, empty).otherwise(before(F.col("begin")))
     again = F.col("s").isNotNull() & ~(F.col("opening") & (F.col("begin") == 0))
     parts = F.concat(F.when(again, F.array(F.col("s"))).otherwise(F.slice(F.col("f"), 1, 0)),
                      F.slice(F.col("f"), since + 1, until - since))
-    shaped = cut.select("conv_id", "chunk", "window", parts.alias("p"),
+    shaped = cut.select("conv_id", "chunk", "window", once(parts).alias("p"),
                         (F.col("begin") - since + again.cast("int")).alias("repeated"))
     text = F.array_join(F.transform("p", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE + "\n"))), "")
     tail = len(CLOSE) + 1
@@ -114,7 +116,7 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 2) -> Dat
             F.when(t["target"], F.concat(acc["spans"], F.array(F.struct(
                 (acc["at"] + t["head"]).alias("start"), t["body"].alias("length"))))).otherwise(acc["spans"]).alias("spans")),
         lambda acc: acc["spans"])
-    return shaped.select("conv_id", "chunk", "window", text.alias("text"), "repeated", spans.alias("loss"))
+    return shaped.select("conv_id", "chunk", "window", once(text).alias("text"), "repeated", once(spans).alias("loss"))
 
 
 def read_turns(window_text: Column) -> Column:
@@ -129,10 +131,11 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
     """Turns and loss texts of each conversation, read back from its windows, as counts and digests."""
     new = F.slice(read_turns(F.col("text")), F.col("repeated") + 1, 1 << 30)
     lost = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("text"), s["start"] + 1, s["length"]))), "")
-    read = windows.select(
-        "conv_id", "chunk", "window", F.length("text").cast("long").alias("chars"), F.size(new).cast("long").alias("turns"),
-        F.array_join(F.transform(new, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
-        lost.alias("lost"))
+    read = windows.select("conv_id", "chunk", "window", F.length("text").cast("long").alias("chars"),
+                          once(new).alias("new"), once(lost).alias("lost")).select(
+        "conv_id", "chunk", "window", "chars", F.size("new").cast("long").alias("turns"),
+        once(F.array_join(F.transform("new", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")).alias("said"),
+        "lost")
     ordered = F.array_sort(F.collect_list(F.struct("chunk", "window", "said", "lost")))
     whole = read.groupBy("conv_id").agg(F.sum("turns").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
                                         ordered.alias("w"))
