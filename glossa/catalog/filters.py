@@ -12,19 +12,19 @@ from glossa.catalog.roles import (
 from glossa.domains import EMOTIONS, EMOTIONS_ES
 from glossa.functions.scores import top_prediction
 from glossa.operators import filters as P
-from glossa.operators.scoring import lexicon_predictions
+from glossa.operators.scoring import lexicon_predictions, with_words
 
 # Four models over all documents: label and score each.
 MODELS = {"plain": LEXICON, "weighted": WEIGHTED, "short": SHORT, "reversed": REVERSED}
 
 
 def four_models(t: Tables):
-    df = t.spread("documents").select("doc_id", "text", "lang")
+    df = with_words(t.spread("documents").select("doc_id", "text", "lang"), "text", "_w")
     for name, lexicon in MODELS.items():
-        df = lexicon_predictions(df, "text", lexicon, "_p")
+        df = lexicon_predictions(df, "text", lexicon, "_p", split="_w")
         best = top_prediction(F.col("_p"))
         df = df.withColumn(name, best["label"]).withColumn(f"{name}_score", best["score"]).drop("_p")
-    return df
+    return df.drop("_w")
 
 
 def _model_columns() -> str:

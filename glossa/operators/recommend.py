@@ -116,11 +116,16 @@ def prepare_corpus(corpus: DataFrame, key: Sequence[str], seed=0) -> tuple[DataF
 
 
 def store_index(corpus: DataFrame, key: Sequence[str], path: str, seed=0) -> tuple[DataFrame, DataFrame]:
-    """``prepare_corpus`` written to tables below ``path``, to be computed once and served often."""
+    """``prepare_corpus`` written to tables below ``path``, to be computed once and served often.
+
+    The rows lie in folders by language and emotion, so the few labels of a batch of
+    requests prune the folders that are read (dynamic partition pruning).
+    """
     parts = []
     for name, df in zip(("rows", "sizes"), prepare_corpus(corpus, key, seed)):
-        df.write.parquet(f"{path}/{name}")
-        parts.append(corpus.sparkSession.read.parquet(f"{path}/{name}"))
+        folders = ("lang", "emotion_norm") if name == "rows" else ()
+        df.hint("rebalance", *folders).write.partitionBy(*folders).parquet(f"{path}/{name}")
+        parts.append(corpus.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}").select(df.columns))
     return tuple(parts)
 
 

@@ -135,10 +135,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _NOT_LETTERS, -1), lambda w: w != "")
 
 
+def with_words(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the lower-case words of a text, split once for all lexicons that score them."""
+    return df.withColumn(out, once(F.split(F.lower(F.col(text)), _NOT_LETTERS, -1)))
+
+
 def lexicon_predictions(df: DataFrame, text: str, lexicon: Mapping[str, Mapping[str, float]],
-                        out: str = "preds") -> DataFrame:
+                        out: str = "preds", split: str | None = None) -> DataFrame:
     """Share of lexicon weight per label, as predictions in lexicon order.
 
+    ``split`` names a column that already holds the text's words (``with_words``).
+
     Works inside the row, so no text is shuffled or exploded; the lexicon is a
     small dictionary that travels with the plan. Null when no word is known.
     """
@@ -155,7 +162,8 @@ def lexicon_predictions(df: DataFrame, text: str, lexicon: Mapping[str, Mapping[
             groups.setdefault(float(value), []).append(word)
         return " + ".join(f"{value!r}D * size(filter(hits, w -> w IN ({listed(ws)})))" for value, ws in groups.items())
 
-    hits = f"filter(split(lower(`{text}`), {sql_literal(_NOT_LETTERS)}, -1), w -> w IN ({listed(known)}))"
+    found = f"`{split}`" if split else f"split(lower(`{text}`), {sql_literal(_NOT_LETTERS)}, -1)"
+    hits = f"filter({found}, w -> w IN ({listed(known)}))"
     weights = f"transform(array({hits}), hits -> array({', '.join(map(weight, lexicon.values()))}))[0]"
     shares = f"""transform(array({weights}), ws -> transform(array(aggregate(ws, 0D, (a, x) -> a + x)), total ->
         CASE WHEN total > 0 THEN zip_with(array({listed(lexicon)}), ws,

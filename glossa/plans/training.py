@@ -76,19 +76,27 @@ def predict(model: PipelineModel, df: DataFrame, domain: Sequence[str], out: str
     return scored.select(*keep, best["label"].alias(out), best["score"].alias(f"{out}_score"), f"{out}_probs")
 
 
-def cross_validate(df: DataFrame, domain: Sequence[str], fold: str = "fold", k: int = 5,
-                   features: int = 1 << 16, iterations: int = 20, regularization: float = 0.01,
-                   elastic: float = 0.0, min_docs: int = 1) -> DataFrame:
-    """Macro-F1 per fold over a training frame with a fold column, as (fold, macro_f1).
+def counted_folds(df: DataFrame, fold: str = "fold", features: int = 1 << 16) -> DataFrame:
+    """Word counts of a training frame, written once and partitioned by fold.
 
-    Folds and word counts do not depend on the model, so they are computed once
-    and written as a table partitioned by fold; every model then reads counts
-    instead of texts, and only the partitions of its folds.
+    They do not depend on the model, so every model of a cross-validation or search
+    reads counts instead of texts, and only the partitions of its folds.
     """
     path = scratch_path(df.sparkSession, "folds")
     counted = PipelineModel(_counting(features)).transform(df)
     counted.select("label", "label_id", "weight", "_tf", fold).write.partitionBy(fold).parquet(path)
-    stored = df.sparkSession.read.parquet(path).withColumn("label_id", F.col("label_id").cast("double"))
+    return df.sparkSession.read.parquet(path).withColumn("label_id", F.col("label_id").cast("double"))
+
+
+def cross_validate(df: DataFrame, domain: Sequence[str], fold: str = "fold", k: int = 5,
+                   features: int = 1 << 16, **learning) -> DataFrame:
+    """Macro-F1 per fold over a training frame with a fold column, as (fold, macro_f1)."""
+    return validate(counted_folds(df, fold, features), domain, fold, k, **learning)
+
+
+def validate(stored: DataFrame, domain: Sequence[str], fold: str = "fold", k: int = 5, iterations: int = 20,
+             regularization: float = 0.01, elastic: float = 0.0, min_docs: int = 1) -> DataFrame:
+    """M14 over ``counted_folds``."""
     tested = None
     for i in range(k):
         learner = Pipeline(stages=_learning(iterations, regularization, elastic, min_docs))
@@ -113,10 +121,14 @@ def search(df: DataFrame, domain: Sequence[str], grid: Mapping[str, Iterable], f
     each fit is a distributed job of its own.
     """
     names = list(grid)
-    scores = None
+    scores, counted = None, {}
     for values in product(*grid.values()):
         params = dict(zip(names, values))
-        mean = cross_validate(df, domain, fold, k, **params).agg(F.avg("macro_f1").alias("macro_f1"))
+        learning = {n: v for n, v in params.items() if n != "features"}
+        size = params.get("features", 1 << 16)
+        if size not in counted:
+            counted[size] = counted_folds(df, fold, size)
+        mean = validate(counted[size], domain, fold, k, **learning).agg(F.avg("macro_f1").alias("macro_f1"))
         row = mean.select(*[F.lit(v).alias(n) for n, v in params.items()], "macro_f1")
         scores = row if scores is None else scores.unionByName(row)
     return scores.orderBy(F.desc("macro_f1"), *names)

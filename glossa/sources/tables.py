@@ -22,7 +22,6 @@ from glossa.plans.skew import filter_join
 # RFC-4180 quoting.
 _CSV = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
 CORPUS_FILES = "*_emotion_theme.csv"
-_MANY_LAYOUTS = 200
 _CORRUPT = "_corrupt_record"
 
 
@@ -111,8 +110,9 @@ def read_checked(spark: SparkSession, path: str, required: Sequence[str] = tuple
                  columns: Sequence[str] = tuple(schemas.RAW.names), pattern: str = "*.csv") -> CheckedRead:
     """Read files that have the required columns, set the others aside and report them.
 
-    Columns are matched by the header of each file, in whatever order; absent
-    optional columns become null. Files are read once per distinct header.
+    Columns are matched row by row with the header of the row's file, in whatever
+    order; absent optional columns become null. Files are read once per number of
+    columns, however many different headers there are.
     """
     names = F.transform(F.split(F.coalesce("header", F.lit("")), ",", -1), lambda c: F.btrim(c, F.lit(' "')))
     need = F.array(*[F.lit(c) for c in required])
@@ -120,18 +120,17 @@ def read_checked(spark: SparkSession, path: str, required: Sequence[str] = tuple
         "missing", F.array_sort(F.array_except(need, "names"))).withColumn("ok", F.size("missing") == 0)
     files = files.drop("header")
     # file names only, which the driver holds anyway in Spark's own file index
-    layouts: dict[tuple, list[str]] = {}
-    for found in files.where("ok").select("names", "file").toLocalIterator():
-        layouts.setdefault(tuple(found["names"]), []).append(found["file"])
-        if len(layouts) > _MANY_LAYOUTS:
-            raise ValueError(f"more than {_MANY_LAYOUTS} different headers under {path}")
+    widths: dict[int, list[str]] = {}
+    for found in files.where("ok").select(F.size("names").alias("width"), "file").toLocalIterator():
+        widths.setdefault(found["width"], []).append(found["file"])
     rows = spark.createDataFrame([], StructType([StructField(c, StringType()) for c in [*columns, "file", _CORRUPT]]))
-    for header, paths in sorted(layouts.items()):
-        schema = StructType([StructField(n, StringType()) for n in [*header, _CORRUPT]])
-        part = read_csv(spark, sorted(paths), schema).select(
-            *[F.col(c) if c in header else F.lit(None).cast("string").alias(c) for c in columns],
-            F.col("_metadata.file_path").alias("file"), _CORRUPT)
-        rows = rows.unionByName(part)
+    for width, paths in sorted(widths.items()):
+        places = [f"_c{i}" for i in range(width)]
+        schema = StructType([StructField(n, StringType()) for n in [*places, _CORRUPT]])
+        part = read_csv(spark, sorted(paths), schema).withColumn("file", F.col("_metadata.file_path"))
+        named = part.join(files.select("file", "names"), "file")
+        values = [F.get(F.array(*places), (F.array_position("names", F.lit(c)) - 1).cast("int")).alias(c) for c in columns]
+        rows = rows.unionByName(named.select(*values, "file", _CORRUPT))
     malformed = rows.where(F.col(_CORRUPT).isNotNull()).select("file", F.col(_CORRUPT).alias("record"), *required)
     return CheckedRead(rows.drop(_CORRUPT), files, malformed)
 

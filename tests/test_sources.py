@@ -144,3 +144,13 @@ def test_checkpoint_dir_is_taken_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert ensure_checkpoint_dir(spark) and (configured is None or ensure_checkpoint_dir(spark) == configured)
     assert scratch_path(spark, "x").startswith(ensure_checkpoint_dir(spark))
+
+
+def test_checked_read_takes_any_number_of_headers(spark, tmp_path):
+    for i in range(230):
+        names = ["book", f"x{i}", "chapter", "verse", "text"]
+        values = ["B", "z", "1", str(i), f"t{i}"]
+        turn = i % 5
+        (tmp_path / f"f{i}.csv").write_text(",".join(names[turn:] + names[:turn]) + "\n" + ",".join(values[turn:] + values[:turn]) + "\n")
+    got = read_checked(spark, str(tmp_path)).rows
+    assert {(r["book"], r["chapter"], int(r["verse"]), r["text"]) for r in got.collect()} == {("B", "1", i, f"t{i}") for i in range(230)}
