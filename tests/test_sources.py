@@ -114,8 +114,8 @@ def test_feedback_columns_grow(spark, tmp_path):
     path = str(tmp_path / "feedback")
     first = spark.createDataFrame([("ana", "like", ["v1"])], "usuario string, feedback string, verses array<string>")
     second = spark.createDataFrame([("bo", "dislike", ["v1", "v2"])], "usuario string, feedback string, verses array<string>")
-    tables.append_feedback(tables.feedback_rows(first, most=1), path)
-    tables.append_feedback(tables.feedback_rows(second, most=2), path)
+    tables.append_feedback(tables.feedback_rows(first), path)
+    tables.append_feedback(tables.feedback_rows(second), path)
     got = {r["usuario"]: (r["versiculo_1"], r["versiculo_2"]) for r in tables.read_feedback(spark, path).collect()}
     assert got == {"ana": ("v1", ""), "bo": ("v1", "v2")}
 
@@ -152,5 +152,5 @@ def test_checked_read_takes_any_number_of_headers(spark, tmp_path):
         values = ["B", "z", "1", str(i), f"t{i}"]
         turn = i % 5
         (tmp_path / f"f{i}.csv").write_text(",".join(names[turn:] + names[:turn]) + "\n" + ",".join(values[turn:] + values[:turn]) + "\n")
-    got = read_checked(spark, str(tmp_path)).rows
+    got = tables.read_checked(spark, str(tmp_path)).rows
     assert {(r["book"], r["chapter"], int(r["verse"]), r["text"]) for r in got.collect()} == {("B", "1", i, f"t{i}") for i in range(230)}
