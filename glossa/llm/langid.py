@@ -18,6 +18,7 @@ HIDDEN = 20
 DOCS_PER_LANG = 300   # bound of the training sample: documents of each language,
 WORDS_PER_DOC = 60    # and different words of each, spread over its whole text
 PIECE = 32            # bytes of a word that the network reads at once; longer words are read in pieces
+_SHARES = 1 << 20
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -164,7 +165,11 @@ def train_model(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_d
     Only these words come to the driver.
     """
     usable = docs.where(F.col(lang).isNotNull() & has_letter(F.col(text)))
+    # A hash share of each language's rows, about 16 times as many as are wanted, is ranked: one row per language is broadcast.
+    sizes = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))
+    drawn = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(_SHARES)) * F.col("docs") < F.lit(16 * docs_per_lang * _SHARES)
     chosen = (usable.select(F.col(lang).alias("lang"), F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("h"))
+              .join(F.broadcast(sizes), "lang").where(drawn)
               .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
               .where(F.col("rank") <= docs_per_lang).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")))
     seen = F.transform(F.array_sort(F.transform(
