@@ -91,18 +91,28 @@ def osis_documents(t: Tables):
     return t.spread("documents").select("doc_id", F.concat(F.lit("<osis><div>"), body, F.lit("</div></osis>")).alias("xml"))
 
 
-@query("s05_milestones", f"""WITH lines AS (
+_VERSES_OF_LINES = f"""WITH lines AS (
   SELECT doc_id, {_CODES}[(doc_id % {len(_CODES)})::INT + 1] AS code, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 SELECT doc_id, {list(CODE_TO_BOOK.values())}[list_position({list(CODE_TO_BOOK)}, code)] AS book, doc_id::VARCHAR AS chapter,
   i::VARCHAR AS verse, trim(regexp_replace(CASE WHEN (i - 1) % 4 = 1 THEN replace(line, ']]>', '')
     ELSE replace(line, ', ', ' , ') END, '\\s+', ' ', 'g')) AS text
-FROM lines WHERE code <> 'Fake' AND (i - 1) % 7 <> 6 AND (i - 1) % 5 <> 3""")
+FROM lines WHERE code <> 'Fake' AND (i - 1) % 7 <> 6 AND (i - 1) % 5 <> 3"""
+
+
+@query("s05_milestones", _VERSES_OF_LINES)
 def s05(spark, sf_dir):
     return milestones.parse_milestones(osis_documents(Tables(spark, sf_dir))).select(
         "doc_id", "book", "chapter", "verse", "text")
 
 
+@query("s05_documents_from_files", f"SELECT book, chapter, verse, text FROM ({_VERSES_OF_LINES})")
+def s05_files(spark, sf_dir):
+    path = scratch_path(spark, "xml")
+    osis_documents(Tables(spark, sf_dir)).select("xml").write.text(path)
+    return milestones.parse_milestones(milestones.read_documents(spark, path, "part-*")).select("book", "chapter", "verse", "text")
+
+
 @query("s05_unknown_books", f"""SELECT DISTINCT 'Fake' AS code FROM documents
 WHERE {_CODES}[(doc_id % {len(_CODES)})::INT + 1] = 'Fake'""")
 def s05_unknown(spark, sf_dir):
