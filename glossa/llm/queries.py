@@ -180,7 +180,7 @@ def _shingle_sql(source: str, key: str) -> str:
 
 
 @query("op10_decontamination", f"""
-    WITH d AS ({_shingle_sql("documents", "doc_id")}), i AS ({_shingle_sql("benchmark", "item_id")}),
+    WITH d AS MATERIALIZED ({_shingle_sql("documents", "doc_id")}), i AS MATERIALIZED ({_shingle_sql("benchmark", "item_id")}),
     sizes AS (SELECT r, count(*) AS size FROM i GROUP BY r)
     SELECT doc_id, item_id, count(*) AS shared, any_value(size) AS size, count(*) / any_value(size) AS containment
     FROM d JOIN i ON d.s = i.s JOIN sizes ON sizes.r = i.r
