@@ -17,17 +17,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.where(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
+    before, size = None, _summary(now)
+    while size != before:
         now = stored(_small_star(_large_star(now)), "edges")
-        size = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if size == before:
-            break
-        before = size
+        before, size = size, _summary(now)
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
 
 
+def _summary(edges: DataFrame) -> tuple:
+    """Number and hash of a set of edges, to see that a round changed nothing."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """For each node, its larger neighbours are tied to the least of it and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -34,9 +34,6 @@ class Rule:
         """Shingles that a set of n shares at least with any set it links to."""
         return -(-self.percent * n // 100)
 
-    def may_link(self, shared: Column, n: Column, m: Column) -> Column:
-        return 100 * shared >= self.percent * (n + m - shared)
-
 
 # Sets
 
@@ -284,7 +281,9 @@ def boundary(ordered: DataFrame, rule: Rule) -> int:
 
 
 def postings(ordered: DataFrame, limit: int, rule: Rule) -> DataFrame:
-    """Keys under which sets meet: node, n, shared and key.
+    """Keys under which sets meet: node, n, key, most (the shingles that sets may share that meet here first), i and j.
+
+    i and j are the prefix places of the key's shingles; i is -1 for a single one.
 
     Light sets are filed under each subset of two prefix shingles: sets that share
     at least two shingles share two of the longer prefix. Heavy sets are in the
@@ -299,24 +298,32 @@ def postings(ordered: DataFrame, limit: int, rule: Rule) -> DataFrame:
     lists = ~light | (100 * F.col("n") >= rule.percent * limit) | (needed < 2)
     single = F.when(lists & (single_reach > 0), F.transform(
         F.sequence(F.lit(0), F.greatest(single_reach - 1, F.lit(0))),
-        lambda i: F.xxhash64(F.get(prefix, i))))
+        lambda i: F.struct(F.xxhash64(F.get(prefix, i)).alias("key"), (F.col("shared") - i).alias("most"),
+                           F.lit(-1).alias("i"), i.alias("j"))))
     pairs = F.when(light & (reach > 1), F.flatten(F.transform(
         F.sequence(F.lit(1), F.greatest(reach - 1, F.lit(1))),
         lambda j: F.transform(F.sequence(F.lit(0), j - 1),
-                              lambda i: F.xxhash64(F.get(prefix, i), F.get(prefix, j))))))
+                              lambda i: F.struct(F.xxhash64(F.get(prefix, i), F.get(prefix, j)).alias("key"),
+                                                  (F.col("shared") - j + 1).alias("most"), i.alias("i"), j.alias("j"))))))
     keys = F.concat(F.coalesce(single, _none()), F.coalesce(pairs, _none()))
-    return ordered.select("node", "n", "shared", F.explode(once(keys)).alias("key"))
+    return ordered.select("node", "n", F.explode(once(keys)).alias("k")).select("node", "n", "k.*")
 
 
 def _none() -> Column:
-    return F.lit([]).cast("array<bigint>")
+    return F.lit([]).cast("array<struct<key:bigint,most:bigint,i:int,j:int>>")
 
 
 # Pairs, and which of them link
 
 def _may(rule: Rule) -> Column:
-    """Whether two sets, a and b, share enough shingles with any set to link to each other."""
-    return rule.may_link(F.least("a.shared", "b.shared"), F.col("a.n"), F.col("b.n"))
+    """Whether two sets, a and b, can link if the key they meet under holds the first shingles they share.
+
+    A linked pair also meets under such a key, so nothing is lost elsewhere. Different
+    sets of one size share at most all but one of their shingles.
+    """
+    n, m = F.col("a.n"), F.col("b.n")
+    most = F.least("a.most", "b.most", F.when(n == m, n - 1).otherwise(F.least(n, m)))
+    return 100 * most >= rule.percent * (n + m - most)
 
 
 def _ordered_pair() -> list[Column]:
@@ -325,28 +332,34 @@ def _ordered_pair() -> list[Column]:
 
 def star_pairs(posted: DataFrame, rule: Rule) -> DataFrame:
     """Each key's sets with one of them, drawn by a hash: as many pairs as postings, however long a list is."""
-    member = F.struct("node", "n", "shared")
+    member = F.struct("node", "n", "most")
     leaders = (posted.groupBy("key").agg(F.min_by(member, F.xxhash64("key", "node")).alias("b"), F.count(F.lit(1)).alias("size"))
                .where(F.col("size") > 1).select("key", "b"))
     met = posted.select("key", member.alias("a")).join(leaders, "key")
     return met.where((F.col("a.node") != F.col("b.node")) & _may(rule)).select(*_ordered_pair()).distinct()
 
 
-def open_pairs(posted: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
+def open_pairs(posted: DataFrame, ordered: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
     """Pairs under a common key whose sets are not yet in one component.
 
     Lists within one component are done. A longer list is cut into blocks that
-    meet each other block by block, so no list is one task's.
+    meet each other block by block, so no list is one task's. A pair comes up only
+    under the key of the first shingles it shares, not under each common key.
     """
     placed = posted.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lists = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                       F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rest = placed.join(lists.where(F.col("lo") != F.col("hi")).select("key", "blocks"), "key")
-    member = F.struct("node", "n", "shared", "component")
+    i, j = F.col("i"), F.col("j")
+    before = F.when(i < 0, F.slice("prefix", F.lit(1), j)).otherwise(F.concat(
+        F.slice("prefix", F.lit(1), F.greatest(i, F.lit(0))), F.slice("prefix", i + 2, F.greatest(j - i - 1, F.lit(0)))))
+    rest = (placed.join(lists.where(F.col("lo") != F.col("hi")).select("key", "blocks"), "key")
+            .join(ordered.select("node", "prefix"), "node").withColumn("before", before))
+    member = F.struct("node", "n", "most", "component", "before")
     left = rest.select("key", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), member.alias("a"))
     right = rest.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), member.alias("b"))
     met = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"])
-                    & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _may(rule))
+                    & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _may(rule)
+                    & ~F.arrays_overlap("a.before", "b.before"))
     return met.select(*_ordered_pair()).distinct()
 
 
@@ -389,8 +402,9 @@ def set_links(docs: DataFrame, rows: DataFrame, rule: Rule, text: str = "text")
     posted = stored(postings(ordered, boundary(ordered, rule), rule), "postings")
     first = stored(verified(star_pairs(posted, rule), sets, rule), "links")
     known = components(first)
-    more = stored(verified(open_pairs(posted, known, rule), sets, rule), "links")
-    return first.unionByName(more)
+    more = stored(verified(open_pairs(posted, ordered, known, rule), sets, rule), "links")
+    stars = known.where(F.col("node") != F.col("component")).select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return stars.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
