@@ -141,13 +141,13 @@ def conf(spark):
         spark.conf.set(name, value)
 
 
-def test_lookup_join_splits_a_hot_key(spark, conf):
-    conf(autoBroadcastJoinThreshold="-1", adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
-         adaptive__advisoryPartitionSizeInBytes="10k", adaptive__skewJoin__skewedPartitionFactor="1.0")
-    left = spark.range(0, 60_000, 1, 6).withColumn("k", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")))
-    joined = lookup_join(left, spark.range(0, 60_000, 1, 2).withColumnRenamed("id", "k"), ["k"], "left")
-    sizes = joined.groupBy(F.spark_partition_id()).count().select("count").collect()
-    assert sum(r[0] for r in sizes) == 60_000 and max(r[0] for r in sizes) < 15_000  # 20,001 rows have one key
+def test_lookup_join_keeps_every_row_of_many_hot_keys(spark, conf):
+    conf(autoBroadcastJoinThreshold="-1")
+    left = spark.range(0, 120_000, 1, 6).select((F.col("id") % 1200).alias("k"))
+    right = spark.range(0, 1000, 1, 2).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    sizes = {how: lookup_join(left, right if how in ("left", "inner") else right.select("k"), ["k"], how).count()
+             for how in ("left", "inner", "left_semi", "left_anti")}
+    assert sizes == {"left": 120_000, "inner": 100_000, "left_semi": 100_000, "left_anti": 20_000}
 
 
 def test_ranked_rows_are_exchanged_once(rows, conf):
