@@ -18,6 +18,7 @@ from glossa.plans.guard import once
 
 PROBE = 4             # one in so many shingles, by hash, takes part in the first test of a set
 BUCKET_TOKENS = 1 << 21   # shingles that one exchange bucket is meant for
+PROBE_TOKENS = 1 << 20    # shingles that a scan task compares with each other at once
 SMALL_LIST = 1 << 20  # document ids (8 MB) up to which a list is broadcast
 BLOCK = 2048          # members of one key that meet each other in one block
 _MARK = np.uint32(0xFFFFFFFF)
@@ -77,24 +78,31 @@ def _set_blobs(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
 # First test: most of a set that links to another is shared with it
 
 def _probe(docs: DataFrame, rule: Rule, buckets: int, text: str) -> DataFrame:
-    """Probe shingles of each scan task's distinct sets, dealt to buckets.
+    """Probe shingles of distinct sets, dealt to buckets by each scan task, some sets at a time.
 
-    Every row has a task, a bucket, shingles (32 bits) and the sets they are of, as
-    numbers that ``nodes`` explains. A shingle of several sets of the task is sent
-    once, with a mark, and counted for them at once, so no shingle is sent more
-    often than there are tasks, however common it is.
+    Every row has such a portion (task), a bucket, shingles (32 bits) and the sets
+    they are of, as numbers that bucket -1 explains. A shingle of several sets of the
+    portion is sent once, with a mark, and counted for them at once, so a common
+    shingle is sent once for each million shingles of text.
     """
-    def run(batches):
+    def pieces(batches):
+        """Some sets at a time, so that a worker's memory does not follow the batch."""
         for batch in batches:
-            task = np.random.default_rng().integers(0, 1 << 62)
-            flats, sizes, nodes = [], [], []
+            flats, sizes, nodes, held = [], [], [], 0
             for _, flat, counts in shingle_sets(batch.column(text), rule.size, short=True):
                 flats.append(flat)
                 sizes.append(counts)
                 nodes += _signature(flat, counts)
-            if not flats:
-                continue
-            flat, counts = np.concatenate(flats), np.concatenate(sizes)
+                held += len(flat)
+                if held >= PROBE_TOKENS:
+                    yield np.concatenate(flats), np.concatenate(sizes), nodes
+                    flats, sizes, nodes, held = [], [], [], 0
+            if flats:
+                yield np.concatenate(flats), np.concatenate(sizes), nodes
+
+    def run(batches):
+        for flat, counts, nodes in pieces(batches):
+            task = np.random.default_rng().integers(0, 1 << 62)
             _, first = np.unique(np.array(nodes, dtype="S16"), return_index=True)  # one of equal sets
             alone = np.zeros(len(counts), dtype=bool)
             alone[first] = True
