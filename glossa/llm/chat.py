@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.plans.guard import once
+from glossa.plans.ranking import sequential_id
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-CHUNK_TURNS = 256  # turn numbers that are windowed together
+CHUNK_TURNS = 256  # turns whose windows have one chunk number
 
 
 def escape(text: Column) -> Column:
@@ -43,7 +44,7 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 2) -> Dat
     rows are all kept; a null conv_id is a conversation of its own. A turn is
     formatted as ``<|im_start|>role\\ntext<|im_end|>\\n`` with escaped role and text.
 
-    Prefix sums of turn tokens choose the spans: a window takes the next turns as
+    Running sums of turn tokens choose the spans: a window takes the next turns as
     long as they, the system turn (the conversation's first turn, if its role is
     ``system``) and the up to ``history`` turns before them fit ``budget``; a
     single turn that is larger alone is a window of its own and stays whole. Each
@@ -52,71 +53,65 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 2) -> Dat
     earlier window) and loss, an array of (start, length) spans of ``text`` that
     hold the texts of assistant turns that are new in it.
 
-    Turns are windowed in chunks of 256 turn numbers: no conversation, however
-    long, is gathered whole, and history does not reach into the chunk before.
+    Turns are taken by their place in the conversation, whatever their numbers
+    are. Of a conversation only the turn sizes are gathered in one row, a number
+    each; texts meet window by window. ``window`` counts through the conversation
+    and ``chunk`` is the place of the window's first new turn, divided by 256.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"),
                     F.coalesce("text", F.lit("")).alias("text"))
-    rows = turns.select("conv_id", turn.alias("t")).withColumn(
-        "chunk", F.coalesce(F.floor(F.col("t.turn") / CHUNK_TURNS), F.lit(-(1 << 62))))
-    chunks = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # The system turn of a conversation, for the chunks behind its first.
-    first = chunks.groupBy("conv_id").agg(F.min("chunk").alias("_first"),
-                                          F.min_by(F.element_at("turns", 1), "chunk").alias("_lead"))
-    first = first.withColumn("_system", F.when(F.col("_lead.role") == "system", F.col("_lead"))).drop("_lead")
-    led = chunks.withColumnRenamed("conv_id", "_conv").join(first, F.col("_conv").eqNullSafe(F.col("conv_id"))).drop("_conv")
-
-    empty = F.lit(0).cast("int")
-    formed = F.transform("turns", lambda t: F.struct(
-        F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"),
-        (t["role"] == "assistant").alias("target"), turn_tokens(t["text"]).cast("long").alias("tokens")))
-    system = F.when(F.col("_system").isNotNull(), F.struct(
-        F.concat(F.lit(OPEN), escape_role(F.col("_system.role")), F.lit("\n")).alias("head"),
-        escape(F.col("_system.text")).alias("body"), F.lit(False).alias("target"),
-        turn_tokens(F.col("_system.text")).cast("long").alias("tokens")))
-    opening = (F.col("chunk") == F.col("_first")) & F.col("_system").isNotNull()  # its first turn is the system turn
-    sized = led.select("conv_id", "chunk", once(formed).alias("f"), once(system).alias("s"), opening.alias("opening"))
-    # Prefix sums: sums[i] is the size of the first i turns.
-    sums = F.aggregate("f", F.array(F.lit(0).cast("long")), lambda acc, t: F.concat(
-        acc, F.array(F.element_at(acc, -1) + t["tokens"])))
-    summed = sized.withColumn("sums", once(sums))
-    room = F.lit(budget).cast("long") - F.coalesce("s.tokens", F.lit(0).cast("long"))
+    placed = sequential_id(turns.select("conv_id", turn.alias("t")), ["t"], ["conv_id"], "at", start=0)
+    size = F.struct(F.col("at"), turn_tokens(F.col("t.text")).cast("long").alias("tokens"))
+    sizes = placed.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(size)).alias("sizes"),
+        F.max((F.col("at") == 0) & (F.col("t.role") == "system")).cast("int").alias("lead")).select(
+        "conv_id", "lead", once(F.col("sizes.tokens")).alias("tokens"))
+    room = F.lit(budget).cast("long") - F.when(F.col("lead") == 1, F.element_at("tokens", 1)).otherwise(0)
 
     def before(i: Column) -> Column:
         """First turn that a window from turn ``i`` on repeats (0-based; the system turn is repeated anyhow)."""
-        lead = F.when(F.col("opening"), 1).otherwise(empty)
-        return F.greatest(i - history, F.least(lead, i))
-
-    def extended(acc: Column, i: Column) -> Column:
-        """Starts of windows so far, with ``i`` added when turn ``i`` does not fit the open window."""
-        begin = F.element_at(acc, -1)
-        own = F.when(begin == 0, F.when(F.col("opening"), F.lit(budget)).otherwise(room)).otherwise(room)
-        since = F.when(begin == 0, empty).otherwise(before(begin))
-        size = F.element_at(F.col("sums"), i + 2) - F.element_at(F.col("sums"), since + 1)
-        return F.when((i > begin) & (size > own), F.concat(acc, F.array(i))).otherwise(acc)
-
-    starts = F.aggregate(F.sequence(F.lit(0), F.size("f") - 1), F.array(empty), extended)
-    cut = summed.withColumn("starts", once(starts)).select(
-        "conv_id", "chunk", "f", "s", "opening", "starts", F.posexplode("starts").alias("window", "begin"))
-    until = F.coalesce(F.get("starts", F.col("window") + 1), F.size("f"))
-    since = F.when(F.col("begin") == 0, empty).otherwise(before(F.col("begin")))
-    again = F.col("s").isNotNull() & ~(F.col("opening") & (F.col("begin") == 0))
-    parts = F.concat(F.when(again, F.array(F.col("s"))).otherwise(F.slice(F.col("f"), 1, 0)),
-                     F.slice(F.col("f"), since + 1, until - since))
-    shaped = cut.select("conv_id", "chunk", "window", once(parts).alias("p"),
-                        (F.col("begin") - since + again.cast("int")).alias("repeated"))
+        return F.when(i == 0, 0).otherwise(F.greatest(i - history, F.least("lead", i)))
+
+    def added(acc: Column, i: Column) -> Column:
+        """Starts of windows so far and tokens of the open one, after turn ``i``, which opens one if it does not fit."""
+        own = F.when(F.element_at(acc["starts"], -1) == 0, F.lit(budget).cast("long")).otherwise(room)
+        own = F.when(F.col("lead") == 1, own).otherwise(F.lit(budget).cast("long"))
+        grown = acc["held"] + F.element_at("tokens", i + 1)
+        repeated = F.slice("tokens", before(i) + 1, i - before(i) + 1)
+        return F.when((i == 0) | (grown <= own), F.struct(acc["starts"].alias("starts"), grown.alias("held"))).otherwise(F.struct(
+            F.concat(acc["starts"], F.array(i)).alias("starts"),
+            F.aggregate(repeated, F.lit(0).cast("long"), lambda a, x: a + x).alias("held")))
+
+    none = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("held"))
+    starts = F.aggregate(F.sequence(F.lit(0), F.size("tokens") - 1), none, added, lambda acc: acc["starts"])
+    cut = sizes.select("conv_id", "lead", F.size("tokens").alias("n"), once(starts).alias("starts"))
+    spans = F.transform("starts", lambda b, w: F.struct(
+        w.alias("window"), b.alias("begin"), before(b).alias("since"), F.coalesce(F.get("starts", w + 1), F.col("n")).alias("until")))
+    windows = cut.select("conv_id", "lead", F.explode(once(spans)).alias("w")).select("conv_id", "lead", "w.*")
+    again = (F.col("lead") == 1) & (F.col("begin") > 0)
+    places = F.concat(F.when(again, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
+                      F.sequence(F.col("since"), F.col("until") - 1))
+    asked = windows.select(F.col("conv_id").alias("_conv"), "window", "begin", F.explode(places).alias("_at"))
+
+    formed = placed.select("conv_id", "at", F.struct(
+        F.concat(F.lit(OPEN), escape_role(F.col("t.role")), F.lit("\n")).alias("head"), escape(F.col("t.text")).alias("body"),
+        (F.col("t.role") == "assistant").alias("target")).alias("f"))
+    met = formed.join(asked, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("at") == F.col("_at")))
+    part = F.struct("at", "f.head", "f.body", (F.col("f.target") & (F.col("at") >= F.col("begin"))).alias("target"))
+    shaped = met.groupBy("conv_id", "window", "begin").agg(
+        F.array_sort(F.collect_list(part)).alias("p"), F.sum((F.col("at") < F.col("begin")).cast("int")).cast("int").alias("repeated"))
     text = F.array_join(F.transform("p", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE + "\n"))), "")
     tail = len(CLOSE) + 1
-    spans = F.aggregate(
-        F.transform("p", lambda t, i: F.struct(F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"),
-                                               (t["target"] & (i >= F.col("repeated"))).alias("target"))),
+    loss = F.aggregate(
+        F.transform("p", lambda t: F.struct(F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"), t["target"].alias("target"))),
         F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<struct<start:int,length:int>>").alias("spans")),
         lambda acc, t: F.struct(
             (acc["at"] + t["head"] + t["body"] + tail).alias("at"),
             F.when(t["target"], F.concat(acc["spans"], F.array(F.struct(
                 (acc["at"] + t["head"]).alias("start"), t["body"].alias("length"))))).otherwise(acc["spans"]).alias("spans")),
         lambda acc: acc["spans"])
-    return shaped.select("conv_id", "chunk", "window", once(text).alias("text"), "repeated", once(spans).alias("loss"))
+    return shaped.select("conv_id", F.floor(F.col("begin") / CHUNK_TURNS).alias("chunk"), "window", once(text).alias("text"),
+                         "repeated", once(loss).alias("loss"))
 
 
 def read_turns(window_text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,50 @@ def test_escape_round_trip(spark):
     df = spark.createDataFrame(texts, "t string").select("t", chat.escape(F.col("t")).alias("e"))
     for r in df.select("t", "e", chat.unescape(F.col("e")).alias("u"), chat.unescape_role(chat.escape_role(F.col("t"))).alias("r")).collect():
         assert r["u"] == r["t"] == r["r"] and "<|" not in r["e"]
+
+
+def unchunked(turns, budget, history):
+    """Windows of one conversation as (text, repeated, loss), cut as a whole in plain Python."""
+    turns = [(r or "", x or "") for _, _, r, x in sorted(turns, key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))]
+    esc = lambda s: s.replace("\\", "\\\\").replace("<|", "<\\|")
+    tokens = [len(re.findall(r"[^\W\d_]+|\d+|[^\w\s]|_", x)) + 4 for _, x in turns]
+    lead = int(turns[0][0] == "system")
+    since = lambda b: 0 if b == 0 else max(b - history, min(lead, b))
+    starts = [0]
+    for i in range(1, len(turns)):
+        b = starts[-1]
+        if sum(tokens[since(b):i + 1]) + (tokens[0] if lead and b else 0) > budget:
+            starts.append(i)
+    out = []
+    for b, until in zip(starts, [*starts[1:], len(turns)]):
+        places = [0] * (lead and b > 0) + list(range(since(b), until))
+        text, loss = "", []
+        for p in places:
+            role, said = esc(turns[p][0]).replace("\n", "\\n"), esc(turns[p][1])
+            text += f"<|im_start|>{role}\n"
+            loss += [(len(text), len(said))] * (p >= b and turns[p][0] == "assistant")
+            text += f"{said}<|im_end|>\n"
+        out.append((text, sum(p < b for p in places), loss))
+    return out
+
+
+@pytest.mark.parametrize("step", [1, 300, 1_700_000_000])
+@pytest.mark.parametrize("budget,history", [(60, 2), (2000, 5), (10, 0)])
+def test_windows_equal_unchunked(spark, step, budget, history):
+    rng = random.Random(step + budget)
+    say = lambda: " ".join(rng.choice(["word", "12", "<|im_end|>", "a\\b", "x, y!"]) for _ in range(rng.choice([0, 1, 8, 90])))
+    rows = [(conv, i * step, "system" if i == 0 and conv else ["user", "assistant", None][i % 3 if conv else i % 2], say())
+            for conv, n in [(None, 20), (0, 600), (1, 600), (2, 1), (3, 257)] for i in range(n)]
+    rows += [(4, None, "assistant", say()) for _ in range(300)]
+    windows = chat.format_windows(spark.createDataFrame([(*r, 7) for r in rows], SCHEMA), budget, history).collect()
+    for conv in {r[0] for r in rows}:
+        got = sorted((w for w in windows if w["conv_id"] == conv), key=lambda w: (w["chunk"], w["window"]))
+        assert [(w["text"], w["repeated"], [tuple(s) for s in w["loss"]]) for w in got] == unchunked(
+            [r for r in rows if r[0] == conv], budget, history)
+
+
+def test_history_reaches_over_turn_256(spark):
+    rows = [(1, i, "assistant" if i % 2 == 0 else "user", f"said {i}", 0) for i in range(258)]
+    windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA), 30, 2).where(F.col("text").contains("said 256<")).collect()
+    assert windows and all("said 255<" in w["text"] for w in windows if w["text"].index("said 256<"))
+    assert all(w["repeated"] for w in windows)
