@@ -347,14 +347,15 @@ def star_pairs(posted: DataFrame, rule: Rule) -> DataFrame:
     return met.where((F.col("a.node") != F.col("b.node")) & _may(rule)).select(*_ordered_pair()).distinct()
 
 
-def open_pairs(posted: DataFrame, ordered: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs under a common key whose sets are not yet in one component.
+def open_pairs(posted: DataFrame, ordered: DataFrame, known: DataFrame | None, rule: Rule) -> DataFrame:
+    """Pairs under a common key whose sets are not yet in one component; without ``known`` components, all pairs.
 
     Lists within one component are done. A longer list is cut into blocks that
     meet each other block by block, so no list is one task's. A pair comes up only
     under the key of the first shingles it shares, not under each common key.
     """
-    placed = posted.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    component = F.col("node") if known is None else F.coalesce("component", "node")
+    placed = (posted if known is None else posted.join(known, "node", "left")).withColumn("component", component)
     lists = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                       F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     i, j = F.col("i"), F.col("j")
@@ -392,12 +393,8 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def set_links(docs: DataFrame, rows: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
-    """Links between different sets, enough of them to connect all sets that links connect: a and b (nodes).
-
-    Any two sets under a common key are either verified or already connected by
-    verified links.
-    """
+def _filed(docs: DataFrame, rows: DataFrame, rule: Rule, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Whole sets that may link, their prefixes and the keys under which they meet."""
     total = rows.agg(F.sum("n")).first()[0] or 0
     chosen = stored(rows.join(suspects(docs, rule, total, text), "node").groupBy("node").agg(F.min("doc_id").alias("_id"))
                     .select("_id").distinct(), "suspects")
@@ -407,7 +404,22 @@ def set_links(docs: DataFrame, rows: DataFrame, rule: Rule, text: str = "text")
                   .withColumn("part", F.spark_partition_id().cast("bigint")), "sets")
     mass = sets.agg(F.sum("n")).first()[0] or 0
     ordered = stored(_ordered(sets, _frequencies(sets, mass), rule), "ordered")
-    posted = stored(postings(ordered, boundary(ordered, rule), rule), "postings")
+    return sets, ordered, stored(postings(ordered, boundary(ordered, rule), rule), "postings")
+
+
+def set_links(docs: DataFrame, rows: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
+    """All links between different sets, each once: a and b (nodes). Every pair under a common key is verified."""
+    sets, ordered, posted = _filed(docs, rows, rule, text)
+    return verified(open_pairs(posted, ordered, None, rule), sets, rule)
+
+
+def connecting_links(docs: DataFrame, rows: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
+    """Pairs of sets (a, b: nodes) that connect all sets that links connect; not the links themselves.
+
+    Any two sets under a common key are either verified or already connected by
+    verified links. Components found so far stand as stars of their least node.
+    """
+    sets, ordered, posted = _filed(docs, rows, rule, text)
     first = stored(verified(star_pairs(posted, rule), sets, rule), "links")
     known = components(first)
     more = stored(verified(open_pairs(posted, ordered, known, rule), sets, rule), "links")
@@ -415,6 +427,26 @@ def set_links(docs: DataFrame, rows: DataFrame, rule: Rule, text: str = "text")
     return stars.unionByName(more)
 
 
+def link_counts(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
+    """One row per document row: doc_id, n_shingles and n_links, the other rows that it links to.
+
+    Links are those of ``near_duplicates``, every one counted: half the sum of
+    n_links is their number. Copies are counted by the size of their node and
+    never meet in pairs; different sets do, as many pairs as there are links to find.
+    """
+    docs = docs.select("doc_id", text)
+    rows = stored(set_rows(docs, rule, text), "set-rows")
+    links = stored(set_links(docs, rows, rule, text), "links")
+    copies = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    ways = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+        links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    linked = ways.join(copies.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
+    counted = copies.join(linked, "node", "left").select(
+        "node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return rows.join(counted, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_shingles and component_id.
 
@@ -428,7 +460,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text") ->
     """
     docs = docs.select("doc_id", text)
     rows = stored(set_rows(docs, rule, text), "set-rows")
-    joined = components(set_links(docs, rows, rule, text))
+    joined = components(connecting_links(docs, rows, rule, text))
     least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(joined, "node").groupBy("component").agg(F.min("least").alias("component_id"))
     reached = joined.join(named, "component").select("node", "component_id")

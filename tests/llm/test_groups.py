@@ -151,6 +151,28 @@ def test_every_boundary_gives_the_same(spark, monkeypatch, limit):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(rows, rule)
 
 
+def brute_links(rows, rule):
+    sets = [shingles(t, rule.size) for _, t in rows]
+    links = [sum(1 for j, b in enumerate(sets) if i != j and a & b and 100 * len(a & b) >= rule.percent * len(a | b))
+             for i, a in enumerate(sets)]
+    return Counter((doc_id, len(own), n) for (doc_id, _), own, n in zip(rows, sets, links))
+
+
+@pytest.mark.parametrize("limit", [None, 0, 30, 10 ** 6])
+def test_every_link_is_counted(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(jaccard, "boundary", lambda ordered, rule: limit)
+        monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rule, rows = jaccard.Rule(3, 80), near(9, 60, 60)
+    base = [f"v{i}" for i in range(60)]
+    rows += [(1000 + i, " ".join(base[:i] + ["new"] + base[i + 1:])) for i in range(0, 60, 2)]  # a group of variants
+    rows += [(2000, " ".join(base)), (2001, " ".join(base)), (None, " ".join(base))]
+    got = jaccard.link_counts(frame(spark, rows).repartition(3), rule)
+    want = brute_links(rows, rule)
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got.collect()) == want
+    assert want[(2000, 58, 32)] == want[(2001, 58, 32)] == 1
+
+
 def test_drop_near_duplicates(spark):
     rows = [(i, t) for i, t in near(6) if i is not None]
     docs = frame(spark, rows)
