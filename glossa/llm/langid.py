@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from glossa.llm.words import Memo, hash_spans, spaced_chunks, text_blocks
 UNKNOWN = "und"
 HIDDEN = 20
 DOCS_PER_LANG = 300   # bound of the training sample: documents of each language,
-WORDS_PER_DOC = 60    # and different words of each, spread over its whole text
+WORDS_PER_DOC = 60    # and different words (pieces of long ones) of each, spread over its whole text
 PIECE = 32            # bytes of a word that the network reads at once; longer words are read in pieces
 _SHARES = 1 << 20
 _LETTER = np.zeros(256, dtype=bool)
@@ -142,8 +143,21 @@ def pad(words: list[bytes]) -> np.ndarray:
 # Words of a text. A space stands on both sides, as it does in running text.
 
 def _pieces(word: bytes) -> list[bytes]:
+    """The word in runs of at most 32 bytes, cut between characters."""
     word = b" " + word + b" "
-    return [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
+    out, i = [], 0
+    while len(word) - i > PIECE:
+        j = next((j for j in range(i + PIECE, i + PIECE - 4, -1) if word[j] & 0xC0 != 0x80), i + PIECE)
+        out.append(word[i:j])
+        i = j
+    return [*out, word[i:]]
+
+
+def _text_pieces(text: str | None) -> list[str]:
+    """Different pieces with a letter of all words of a text."""
+    words = set(re.split(rb"[\x20\x09-\x0D]+", (text or "").encode()))
+    pieces = {p.decode(errors="replace") for w in words for p in _pieces(w)}
+    return sorted(p for p in pieces if any(c.isalpha() for c in p))
 
 
 def has_letter(text: Column) -> Column:
@@ -162,7 +176,9 @@ def train_model(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_d
     ``docs`` holds the rows that may be learned from. Of every language the
     ``docs_per_lang`` documents with the least hash of their id are taken, of
     each the ``words_per_doc`` words with the least hash out of the whole text.
-    Only these words come to the driver.
+    Words longer than the network reads at once count by the pieces that
+    ``predict_language`` reads, so texts written without spaces are learned from
+    as well. Only these words and pieces come to the driver.
     """
     usable = docs.where(F.col(lang).isNotNull() & has_letter(F.col(text)))
     # A hash share of each language's rows, about 16 times as many as are wanted, is ranked: one row per language is broadcast.
@@ -172,19 +188,25 @@ def train_model(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_d
               .join(F.broadcast(sizes), "lang").where(drawn)
               .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
               .where(F.col("rank") <= docs_per_lang).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")))
-    seen = F.transform(F.array_sort(F.transform(
-        F.array_distinct(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+")),
-        lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda s: s["w"])
-    words = F.slice(F.filter(seen, lambda w: w.rlike(r"\p{L}") & (F.octet_length(w) <= PIECE - 2)), 1, words_per_doc)
-    sample = (usable.select("doc_id", text, lang).join(
-        F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col(lang) == F.col("_lang")))
-        .select(F.col(lang).alias("lang"), words.alias("words")).collect())
+    picked = usable.select("doc_id", text, lang).join(
+        F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col(lang) == F.col("_lang"))).select(
+        F.col(lang).alias("lang"), F.lower(F.col(text)).alias("text"))
+
+    def read(batches):
+        for batch in batches:
+            pieces = [_text_pieces(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(pieces, pa.list_(pa.string()))], names=["lang", "pieces"])
+
+    seen = picked.mapInArrow(read, f"lang {dict(docs.dtypes)[lang]}, pieces array<string>")
+    words = F.transform(F.slice(F.array_sort(F.transform(
+        "pieces", lambda w: F.struct(F.xxhash64(F.trim(w)).alias("h"), w.alias("w")))), 1, words_per_doc), lambda s: s["w"])
+    sample = seen.select("lang", words.alias("words")).collect()
     langs = sorted({r["lang"] for r in sample})
     rows = sorted((r["lang"], w) for r in sample for w in r["words"])
     if not rows:
         return None
     number = {name: i for i, name in enumerate(langs)}
-    return ByteNetwork(langs).train([b" " + w.encode() + b" " for _, w in rows],
+    return ByteNetwork(langs).train([w.encode() for _, w in rows],
                                     np.array([number[name] for name, _ in rows]), **training)
 
 

@@ -1,5 +1,6 @@
 """The byte network against finite differences, and its accuracy on held-out documents."""
 
+import random
 from pathlib import Path
 
 import numpy as np
@@ -78,3 +79,24 @@ def test_learns_only_from_the_rows_given(spark):
     got = {r["text"]: r["lang_pred"] for r in langid.predict_language(docs, small).collect()}
     assert got["aaa bbb"] == "x" and got["ccc ddd"] == "y"
     assert langid.train_model(docs.limit(0)) is None
+
+
+def test_pieces_end_between_characters():
+    for word in ["a" * 30, "a" * 31, "日本語" * 40, "é" * 33, "x\U0001F600" * 20, ""]:
+        pieces = langid._pieces(word.encode())
+        assert b"".join(pieces).decode() == f" {word} " and max(map(len, pieces)) <= langid.PIECE
+        assert all(p.decode() for p in pieces)
+    assert langid._pieces(b"\x80" * 70) and b"".join(langid._pieces(b"\x80" * 70)) == b" " + b"\x80" * 70 + b" "
+
+
+def test_learns_languages_without_spaces(spark):
+    rng = random.Random(3)
+    signs = {"th": "กขคงจฉชซฌญ", "km": "កខគឃងចឆជឈញ", "zh": "的一是不了人我在有他", "ja": "のにはをたがでてと人"}
+    text = lambda lang: "".join(rng.choice(signs[lang]) for _ in range(rng.choice([12, 40, 300])))
+    rows = [(i, " ".join(rng.choice(["the", "of", "and", "house"]) for _ in range(30)), "en") for i in range(40)]
+    rows += [(100 * k + i, text(lang), lang) for k, lang in enumerate(signs, 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = langid.train_model(docs.where("doc_id % 2 = 0"), 30, 20, steps=200)
+    assert learned.langs == ["en", "ja", "km", "th", "zh"]
+    got = langid.predict_language(docs.where("doc_id % 2 = 1").select("doc_id", "lang", "text"), learned).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got) and len(got) == 140
