@@ -471,7 +471,15 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text") ->
 
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
-    """The documents of least doc_id of each component; columns stay as they are."""
-    found = near_duplicates(docs, rule, text)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    """One row of each component, that of the least doc_id; columns stay as they are.
+
+    Rows are told apart by a number that is written with them, so repeated and null
+    ids do no harm; null ids come last. Rows without a shingle all stay.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), text), rule, text).where(F.col("n_shingles") > 0)
+    placed = found.join(rows.select(F.col("__row").alias("_row"), F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_row"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    best = placed.groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.row").alias("_best"))
+    dropped = found.join(best, F.col("doc_id") == F.col("_best"), "left_anti").select(F.col("doc_id").alias("_dropped"))
+    return rows.join(dropped, F.col("__row") == F.col("_dropped"), "left_anti").drop("__row")

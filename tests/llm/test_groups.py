@@ -183,6 +183,17 @@ def test_drop_near_duplicates(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_drop_near_duplicates_goes_by_row(spark):
+    base, alone = [f"v{i}" for i in range(90)], " ".join(f"u{i}" for i in range(40))
+    near_ = lambda i: " ".join([*base[:-1], f"end{i}"])
+    rows = [(1, near_(0)), (1, near_(1)), (2, near_(2)), (2, alone), (None, near_(3)), (None, "a b c d e f"), (None, "a b c d e f"),
+            (None, None), (None, None), (2, ""), (2, "")]
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.drop_near_duplicates(frame(spark, rows)).collect())
+    of_group = [k for k in kept.elements() if (k[1] or "").startswith("v0 ")]
+    assert len(of_group) == 1 and of_group[0][0] == 1
+    assert kept - Counter(of_group) == Counter([(2, alone), (None, "a b c d e f"), (None, None), (None, None), (2, ""), (2, "")])
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)] + [(5, 5)]
