@@ -63,7 +63,7 @@ def j02(spark, sf_dir):
     left = docs.where("nth <> 3").select("doc_id", "unit")
     right = docs.where("nth <> 4 AND NOT (unit % 3 = 0 AND nth = 5)").select("doc_id", "unit", "n_chars")
     left = left.withColumn("n_chars", F.col("doc_id")).select("doc_id", "unit", "n_chars")
-    moved = J.transfer_by_position(left, right, "unit", ["n_chars", "doc_id"], {"emotion": emotion_of(F.col("n_chars"))})
+    moved = J.transfer_by_position(left, right, "unit", ["n_chars", "doc_id"], {"emotion": emotion_of(F.col("n_chars"))}, ["doc_id"])
     return moved.select("doc_id", "unit", "emotion")
 
 

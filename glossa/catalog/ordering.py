@@ -29,7 +29,7 @@ def w01(spark, sf_dir):
 @query("w01_global_ids", f"WITH {CORPUS_SQL} SELECT row_number() OVER (ORDER BY book_no, chapter, verse) AS id, doc_id, text FROM corpus")
 def w01_global(spark, sf_dir):
     c = corpus(Tables(spark, sf_dir)).select("doc_id", "book_no", "chapter", "verse", "text", F.lit(7).alias("id"))
-    return sets.merge_corpus(c, ["book_no", "chapter", "verse"]).select("id", "doc_id", "text")
+    return sets.merge_corpus(c, ["book_no", "chapter", "verse"], key=["doc_id"]).select("id", "doc_id", "text")
 
 
 @query("w02_last_wins", "SELECT source, lang, max(doc_id) AS doc_id FROM documents GROUP BY ALL")

@@ -22,10 +22,13 @@ def missing_units(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return expected.join(found.select(key).distinct(), key, "left_anti")
 
 
-def merge_corpus(df: DataFrame, order_by: Sequence[str], start: int = 1) -> DataFrame:
-    """Drop per-file ids and number all rows through in corpus order, id first."""
+def merge_corpus(df: DataFrame, order_by: Sequence[str], start: int = 1, key: Sequence[str] | None = None) -> DataFrame:
+    """Drop per-file ids and number all rows through in corpus order, id first.
+
+    With a ``key`` that identifies rows, their texts are not sorted or checkpointed for it.
+    """
     plain = df.drop("id")
-    return sequential_id(plain, order_by, out="id", start=start).select("id", *plain.columns)
+    return sequential_id(plain, order_by, out="id", start=start, key=key).select("id", *plain.columns)
 
 
 def combine_rounds(rounds: Sequence[DataFrame], key: str, order_by: Sequence[str]) -> DataFrame:

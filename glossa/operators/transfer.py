@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.labels import translate_emotion, translate_themes
 from glossa.functions.text import whole_number
-from glossa.plans.ranking import first_per_group, sequential_id
+from glossa.plans.ranking import first_per_group, numbered_keys, sequential_id
 from glossa.plans.skew import filter_join, lookup_join
 
 KEY = ("book_no", "chapter", "verse")
@@ -56,15 +56,24 @@ def _whole(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def transfer_by_position(target: DataFrame, source: DataFrame, unit: str, order_by: Sequence[str],
-                         labels: dict[str, Column]) -> DataFrame:
+                         labels: dict[str, Column], key: Sequence[str] | None = None,
+                         source_key: Sequence[str] | None = None) -> DataFrame:
     """Row-by-row transfer inside units with equal row counts; other units are skipped.
 
-    ``labels`` names the output columns computed from source columns.
+    ``labels`` names the output columns computed from source columns. Where columns identify the
+    rows of both sides (``key``, and ``source_key`` if it has other names there), only keys are numbered and
+    paired by position. The pair then fetches the labels by source key and the target's columns by target
+    key, so texts are neither sorted nor checkpointed and move in one join. Equal places come in key order.
     """
     sizes = (target.groupBy(unit).agg(F.count(F.lit(1)).alias("_t"))
              .join(source.groupBy(unit).agg(F.count(F.lit(1)).alias("_s")), unit)
              .where("_t = _s").select(unit))
     plain = [c for c in target.columns if c not in labels]
+    if key is not None:
+        pairs = _paired_keys(target, source, sizes, unit, order_by, key, source_key or key)
+        carried = source.select(_row_key(source_key or key, "_from"), *[expr.alias(name) for name, expr in labels.items()])
+        moved = pairs.join(carried, "_from").drop("_from")
+        return target.select(*plain, _row_key(key, "_to")).join(moved, "_to").drop("_to")
     left = sequential_id(filter_join(target.select(*plain), sizes, [unit]),
                          order_by, [unit], "_pos")
     right = sequential_id(source, order_by, [unit], "_pos").select(
@@ -72,6 +81,20 @@ def transfer_by_position(target: DataFrame, source: DataFrame, unit: str, order_
     return left.join(right, [unit, "_pos"]).drop("_pos")
 
 
+def _row_key(key: Sequence[str], name: str) -> Column:
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)]).alias(name)
+
+
+def _paired_keys(target: DataFrame, source: DataFrame, sizes: DataFrame, unit: str, order_by: Sequence[str],
+                 key: Sequence[str], source_key: Sequence[str]) -> DataFrame:
+    """``_to`` and ``_from``: keys of the rows at the same place of a unit."""
+    sides = []
+    for rows, own, name in ((target, key, "_to"), (source, source_key, "_from")):
+        numbered = numbered_keys(filter_join(rows, sizes, [unit]), order_by, own, [unit], "_pos")
+        sides.append(numbered.select(unit, "_pos", _row_key(own, name)))
+    return sides[0].join(sides[1], [unit, "_pos"]).select("_to", "_from")
+
+
 def align(left: DataFrame, right: DataFrame, key: Sequence[str], columns: Sequence[str],
           suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
     """Two labelings of one corpus side by side; ``right`` has one row per key."""

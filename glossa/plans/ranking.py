@@ -8,6 +8,8 @@ pieces, count the pieces, and add each piece's offset to a local position.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,7 +77,8 @@ def hash_rank(df: DataFrame, key: Sequence[str], seed, by: Sequence[str] = (), o
 
 
 def sequential_id(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[str] = (),
-                  out: str = "id", start: int = 1, unique: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  out: str = "id", start: int = 1, unique: bool = False, hot_rows: int = HOT_ROWS,
+                  key: Sequence[str] | None = None) -> DataFrame:
     """Consecutive numbers in a given order, per group or over everything.
 
     One range shuffle sorts the rows by (group, order); the sorted partitions
@@ -83,8 +86,34 @@ def sequential_id(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[
     numbered by its position plus the counts of the partitions before it. Rows
     that are equal in the order are spread as well, in no particular order; the
     check for very many of them is left out when the order is ``unique``.
+
+    Columns that identify a row can be named as ``key``: then keys alone are laid out,
+    checkpointed and numbered (``numbered_keys``), equal rows of the order come in key order, and
+    the other columns meet their number by one join. ``df`` is read twice for it.
+    """
+    if key is not None:
+        same = [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(key)]
+        numbers = numbered_keys(df, order_by, key, by, out, start).select(
+            *[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], F.col(out).alias("_number"))
+        rest = df.drop(out)
+        return rest.join(numbers, reduce(and_, same)).select(*rest.columns, F.col("_number").alias(out))
+    return _numbered(_lay_out(df, order_by, by, unique, hot_rows), by, out, start)
+
+
+def numbered_keys(df: DataFrame, order_by: Sequence[str | Column], key: Sequence[str], by: Sequence[str] = (),
+                  out: str = "id", start: int = 1) -> DataFrame:
+    """Group, key and number of each row; nothing else of a row is shuffled for its order or checkpointed.
+
+    ``key`` identifies rows and breaks ties of the order. Columns that only ``order_by`` reads are shuffled
+    once and left out of the checkpoint.
     """
-    placed = _lay_out(df, order_by, by, unique, hot_rows)
+    kept = [*by, *[c for c in key if c not in by]]
+    named = [c for c in order_by if isinstance(c, str)]
+    placed = _lay_out(df, [*order_by, *[c for c in key if c not in named]], by, True, keep=kept)
+    return _numbered(placed, by, out, start).select(*kept, out)
+
+
+def _numbered(placed: DataFrame, by: Sequence[str], out: str, start: int) -> DataFrame:
     slots = placed.groupBy("_slot").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     earlier = (Window.partitionBy(F.col("_slot")["by"]).orderBy(F.col("_slot")["part"])
@@ -97,15 +126,19 @@ def sequential_id(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[
 
 
 def _lay_out(df: DataFrame, order_by: Sequence[str | Column], by: Sequence[str], unique: bool,
-             hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Range-sorted, checkpointed rows with their position ``_at`` and partition ``_slot``."""
+             hot_rows: int = HOT_ROWS, keep: Sequence[str] | None = None) -> DataFrame:
+    """Range-sorted, checkpointed rows with their position ``_at`` and partition ``_slot``.
+
+    With ``keep`` only those columns are checkpointed; Catalyst reads and shuffles just them and the order's.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     named = [*by, *[c for c in order_by if isinstance(c, str)]]
     tied = df if unique else tell_apart(df, named or df.columns, "_tie", hot_rows)
     order = [*[F.col(c).asc_nulls_first() for c in by],
              *[c if isinstance(c, Column) else F.col(c) for c in order_by]]
     order = order if unique else [*order, F.col("_tie")]
-    laid_out = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie").checkpoint()
+    laid_out = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+    laid_out = (laid_out if keep is None else laid_out.select(*keep)).checkpoint()
     return laid_out.withColumn("_at", F.monotonically_increasing_id()).withColumn("_slot", F.struct(
         _group(by).alias("by"), F.shiftright("_at", _POSITION_BITS).alias("part")))
 

@@ -201,3 +201,56 @@ def test_combine_rounds(spark):
     two = spark.createDataFrame([(7, "b", "anger"), (8, "c", "joy")], "id int, verse_id string, label string")
     got = sets.combine_rounds([one, two], "verse_id", ["verse_id"]).orderBy("id").collect()
     assert [(r["id"], r["verse_id"], r["label"]) for r in got] == [(0, "a", "joy"), (1, "b", "fear"), (2, "c", "joy")]
+
+
+@pytest.fixture
+def checkpointed(spark, monkeypatch):
+    """Columns of every checkpoint that is made."""
+    seen, frame = [], type(spark.range(0))
+    real = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **k: seen.append(self.columns) or real(self, *a, **k))
+    return seen
+
+
+def test_only_keys_are_laid_out(spark, rows, checkpointed):
+    texts = rows.withColumn("text", F.repeat(F.lit("long "), 50)).withColumn("n", F.lit("clash"))
+    got = sequential_id(texts, [F.col("v").desc()], ["g"], "n", key=["id"])
+    assert checkpointed == [["g", "id"]] and got.columns == [*texts.drop("n").columns, "n"]
+    want = {r["id"]: r["n"] for r in sequential_id(rows, [F.col("v").desc()], ["g"], "n").collect()}
+    assert {r["id"]: r["n"] for r in got.collect()} == want and got.where("text is null").isEmpty()
+
+
+def test_keys_break_ties_and_null_keys_stay(spark):
+    tied = spark.createDataFrame([(None, 1, "x"), (3, 1, "y"), (2, 1, "z"), (9, 0, "w")], "id int, v int, text string")
+    got = {r["text"]: r["n"] for r in sequential_id(tied, ["v"], out="n", key=["id"]).collect()}
+    assert got == {"w": 1, "x": 2, "z": 3, "y": 4}
+    assert sequential_id(tied.where("false"), ["v"], out="n", key=["id"]).count() == 0
+
+
+def test_only_the_order_is_shuffled_for_keys(spark, tmp_path):
+    from glossa.plans.ranking import _lay_out
+    spark.range(100).select("id", (F.col("id") % 7).alias("v"), F.lit("long").alias("text")).write.parquet(f"{tmp_path}/t")
+    read = []
+    frame = type(spark.range(0))
+    real = frame.checkpoint
+    try:
+        frame.checkpoint = lambda self, *a, **k: read.append(self._jdf.queryExecution().executedPlan().toString()) or real(self, *a, **k)
+        _lay_out(spark.read.parquet(f"{tmp_path}/t"), ["v", "id"], [], True, keep=["id"])
+    finally:
+        frame.checkpoint = real
+    assert "ReadSchema: struct<id:bigint,v:bigint>" in read[0] and "text" not in read[0]
+
+
+def test_positional_transfer_moves_texts_once(spark, checkpointed):
+    from glossa.operators.transfer import transfer_by_position
+    target = spark.createDataFrame([(u, i * 7 % 13, f"t{u}-{i}", "old") for u in range(6) for i in range(9 + u % 2)],
+                                   "unit int, id int, text string, emotion string")
+    source = spark.createDataFrame([(u, i, f"s{u}-{i}", f"e{i}") for u in range(5) for i in range(9)], "unit int, id int, text string, mood string")
+    source = source.withColumn("place", F.col("id"))
+    target = target.withColumn("place", F.col("id"))
+    labels = {"emotion": F.upper("mood")}
+    plain = transfer_by_position(target, source, "unit", ["place"], labels)
+    checkpointed.clear()
+    late = transfer_by_position(target, source, "unit", ["place"], labels, key=["unit", "id"])
+    assert checkpointed == [["unit", "id"], ["unit", "id"]] and late.columns == plain.columns
+    assert sorted(map(tuple, late.collect())) == sorted(map(tuple, plain.collect())) and late.count() == 27
