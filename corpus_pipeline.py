@@ -40,8 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to."""
-    encoded = bpe.encode_texts(docs.select("doc_id", "text"), PIECES).drop("text")
-    return bpe.decode_ids(encoded, PIECES).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    encoded = bpe.encode_texts(docs.select("doc_id", "text"), PIECES, decoded="decoded")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),

@@ -13,10 +13,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from glossa.llm.words import Memo, hash_spans, ragged, spaced_chunks, text_blocks, with_space
+from glossa.llm.words import Memo, hash_spans, ragged, spaced_chunks, text_blocks, with_space, worker_state
 
 SPACE = "▁"
 LONG_WORD = 1 << 10  # symbols from which a word is merged from a heap instead of in rounds
+DECODE_IDS = 1 << 18  # ids decoded at once
 
 
 class PieceModel:
@@ -277,43 +278,52 @@ def _strings(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(items), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
-_WORKER: dict = {}  # the model and the words of a Python worker, which serves many tasks
-
-
 def worker_model(model: bytes) -> tuple[PieceModel, Memo]:
-    key = hashlib.sha256(model).digest()
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = PieceModel(model), Memo(np.int32)
-    return _WORKER[key]
+    """The model and the words of a Python worker, which serves many tasks."""
+    return worker_state("pieces", model, lambda m: (PieceModel(m), Memo(np.int32)))
 
 
-def encode_texts(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids",
+                 decoded: str | None = None) -> DataFrame:
     """Add the SentencePiece ids of each text as an array of ints; null and empty texts have none.
 
-    Ids equal the library's, without begin and end ids. Distinct words are
-    encoded once per worker. Rows, their order and all other columns stay; an
-    input column named ``out`` is replaced. No shuffle.
+    Ids equal the library's, without begin and end ids. With ``decoded``, the text that
+    the ids stand for is added under that name in the same pass. Distinct words are
+    encoded once per worker, and a worker holds about a megabyte of text at a time
+    besides its input batch and the longest text. Rows (repeated ones too), their order
+    and all other columns stay; input columns named like the new ones are replaced; an
+    empty table stays empty. No shuffle.
     """
     model = _shipped(docs, model_path)
-    docs = docs.drop(out)
-    names, schema = docs.columns, docs.select("*").schema.add(out, T.ArrayType(T.IntegerType(), False), False)
+    new = [out] + ([decoded] if decoded else [])
+    docs = docs.drop(*[c for c in new if c != text])
+    kept = [c for c in docs.columns if c not in new]
+    schema = docs.select(*kept).schema.add(out, T.ArrayType(T.IntegerType(), False), False)
+    schema = schema.add(decoded, "string", False) if decoded else schema
 
     def run(batches):
         tables, memo = worker_model(model.value)
         for batch in batches:
-            parts = list(tables.encode_blocks(batch.column(text), memo))
-            flat = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, dtype=np.int32)
-            counts = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, out])
+            row = 0
+            for flat, counts in tables.encode_blocks(batch.column(batch.schema.get_field_index(text)), memo):
+                part = batch.slice(row, len(counts))
+                row += len(counts)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))))
+                if decoded:
+                    columns.append(_texts(*tables.decode_bytes(flat, counts)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decode_ids(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the text that a list of ids stands for, as the library decodes it; null lists give an empty text."""
+    """Add the text that a list of ids stands for, as the library decodes it; null and empty lists give an empty text.
+
+    A worker decodes about ``DECODE_IDS`` ids at a time; a longer list stays whole. Rows (repeated ones too),
+    their order and all other columns stay; an input column named ``out`` is replaced; an empty table stays empty.
+    """
     model = _shipped(docs, model_path)
     docs = docs.drop(out)
     names, schema = docs.columns, docs.select("*").schema.add(out, "string", False)
@@ -321,15 +331,23 @@ def decode_ids(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "d
     def run(batches):
         tables, _ = worker_model(model.value)
         for batch in batches:
-            flat, counts = _lists(batch.column(ids))
-            data, sizes = tables.decode_bytes(flat, counts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(data, sizes)], names=[*names, out])
+            i, ends = 0, np.cumsum(_counts(batch.column(ids)))
+            while i < batch.num_rows:
+                before = int(ends[i - 1]) if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, before + DECODE_IDS, side="right")))
+                part = batch.slice(i, j - i)
+                data, sizes = tables.decode_bytes(*_lists(part.column(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(data, sizes)], names=[*names, out])
+                i = j
 
     return docs.mapInArrow(run, schema)
 
 
 def piece_digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded again."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded again.
+
+    A null text is an empty one. One row per input row, repeated rows and null ids included; other columns are left out.
+    """
     model = _shipped(docs, model_path)
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -355,9 +373,12 @@ def _digests(data: np.ndarray, sizes: np.ndarray, tail: int) -> list[str]:
     return [hashlib.sha256(view[e - n : max(e - tail, e - n)]).hexdigest() for e, n in zip(ends, sizes.tolist())]
 
 
+def _counts(column: pa.Array) -> np.ndarray:
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), _counts(column)
 
 
 def _texts(data: np.ndarray, sizes: np.ndarray) -> pa.Array:

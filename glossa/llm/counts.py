@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -11,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from glossa.llm.bpe import SPACE, _shipped
-from glossa.llm.words import Memo, hash_spans, mix, spaced_chunks, text_blocks, with_space
+from glossa.llm.words import Memo, hash_spans, mix, spaced_chunks, text_blocks, with_space, worker_state
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 UNKNOWN_PENALTY = 10.0  # nats by which a sign outside the vocabulary costs more than the dearest piece
@@ -102,15 +101,8 @@ class UnigramTrie:
                 np.column_stack([fewest, tokens[:, :keep]]))
 
 
-_WORKER: dict = {}
-
-
 def worker_trie(model: bytes) -> tuple[UnigramTrie, Memo]:
-    key = hashlib.sha256(model).digest()
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = UnigramTrie(model), Memo(np.int64)
-    return _WORKER[key]
+    return worker_state("counts", model, lambda m: (UnigramTrie(m), Memo(np.int64)))
 
 
 def _count_column(trie: UnigramTrie, memo: Memo, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

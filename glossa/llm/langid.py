@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import re
 
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.llm.words import Memo, hash_spans, spaced_chunks, text_blocks
+from glossa.llm.words import Memo, hash_spans, spaced_chunks, text_blocks, worker_state
 
 UNKNOWN = "und"
 HIDDEN = 20
@@ -210,15 +209,8 @@ def train_model(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_d
                                     np.array([number[name] for name, _ in rows]), **training)
 
 
-_WORKER: dict = {}
-
-
 def _worker(packed: bytes) -> tuple[ByteNetwork, Memo]:
-    key = hashlib.sha256(packed).digest()
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = pickle.loads(packed), Memo(np.float32, 1 << 21)
-    return _WORKER[key]
+    return worker_state("language", packed, lambda p: (pickle.loads(p), Memo(np.float32)))
 
 
 def _word_sums(model: ByteNetwork, words: list[bytes]) -> np.ndarray:

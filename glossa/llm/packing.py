@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import uuid
@@ -16,12 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glossa.llm.words import Memo, hash_spans, ragged, spaced_chunks, text_blocks
+from glossa.llm.words import Memo, hash_spans, ragged, spaced_chunks, text_blocks, worker_state
 from glossa.session import scratch_path
 
 MAGIC = b"TOKPACK1"
 BLOCK_IDS = 1 << 16      # ids per block, a multiple of 64
 FILE_IDS = 1 << 24       # ids after which a task starts another file
+LIBRARY_TEXTS = 1 << 10  # distinct chunks that the library encodes at once
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
@@ -160,9 +160,13 @@ class Encoder:
         self.memo = Memo(np.int32)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.array([len(g) for g in got], dtype=np.int64)
-        return np.fromiter((i for g in got for i in g), dtype=np.int32, count=int(counts.sum())), counts
+        """Ids and their numbers, some texts at a time: the library's answer is many times larger than the ids."""
+        flat, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(texts), LIBRARY_TEXTS):
+            got = [e.ids for e in self.library.encode_batch_fast(texts[i : i + LIBRARY_TEXTS], add_special_tokens=False)]
+            counts.append(np.array([len(g) for g in got], dtype=np.int64))
+            flat.append(np.fromiter((i for g in got for i in g), dtype=np.int32, count=int(counts[-1].sum())))
+        return np.concatenate(flat), np.concatenate(counts)
 
     def encode_blocks(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First row, flat ids and counts of one run of rows after another."""
@@ -198,16 +202,9 @@ class Encoder:
         return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
 
 
-_WORKER: dict = {}
-
-
 def worker_encoder(tokenizer: bytes) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = hashlib.sha256(tokenizer).digest()
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Encoder(tokenizer)
-    return _WORKER[key]
+    return worker_state("bytes", tokenizer, Encoder)
 
 
 def write_packed(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, text: str = "text") -> DataFrame:

@@ -2,12 +2,13 @@
 
 The operators of this package that need Python work on whole Arrow batches: the
 texts of a batch are one byte array, words are (start, end) spans of it, and a
-word is known by a 64-bit hash of its bytes. Two of the at most four million
-distinct words that a worker keeps get the same hash with a chance below 1e-6.
+word is known by a 64-bit hash of its bytes. Two of the at most two million
+distinct words that a worker keeps at once get the same hash with a chance below 1e-6.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -106,22 +107,26 @@ def spaced_chunks(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) ->
 
 
 class Memo:
-    """Ragged values of distinct words by hash, emptied when it outgrows ``most`` words or values."""
+    """Ragged values of distinct words by hash, emptied when it outgrows ``most`` bytes."""
 
-    def __init__(self, dtype, most: int = 1 << 22) -> None:
+    def __init__(self, dtype, most: int = 1 << 26) -> None:
         self.dtype, self.most = dtype, most
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.slot = np.zeros(0, dtype=np.int64)
+        self.slot = np.zeros(0, dtype=np.int32)
         self.start = np.zeros(0, dtype=np.int64)
         self.length = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=self.dtype)
 
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.slot, self.start, self.length, self.flat))
+
     def find(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Slot of each word; ``make(rows)`` gives (flat values, lengths) for words seen first in those rows."""
-        if len(self.keys) > self.most or len(self.flat) > 8 * self.most:
+        if self.nbytes > self.most:
             self.clear()
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, distinct)
@@ -136,7 +141,7 @@ class Memo:
             self.start = np.concatenate([self.start, values + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length])
             self.flat = np.concatenate([self.flat, flat.astype(self.dtype, copy=False)])
-            slots = np.empty(len(rows), dtype=np.int64)
+            slots = np.empty(len(rows), dtype=np.int32)
             slots[order] = size + np.arange(len(rows))
             self.keys = np.insert(self.keys, at[~known], distinct[~known])
             self.slot = np.insert(self.slot, at[~known], slots)
@@ -145,3 +150,19 @@ class Memo:
 
     def values(self, slots: np.ndarray) -> np.ndarray:
         return ragged(self.flat, self.start[slots], self.length[slots])
+
+
+_STATE: dict = {}
+
+
+def worker_state(kind: str, shipped: bytes, make: Callable[[bytes], object]):
+    """What a Python worker keeps from task to task: ``make(shipped)``, until another operator's task asks.
+
+    Workers are used again by later stages. A worker keeps one operator's tables
+    and memo at a time, so its memory does not rise from stage to stage.
+    """
+    key = kind, hashlib.sha256(shipped).digest()
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make(shipped)
+    return _STATE[key]

@@ -164,3 +164,39 @@ def test_empty_tables(spark):
     assert bpe.decode_ids(bpe.encode_texts(empty, PIECES), PIECES).count() == 0
     assert counts.count_tokens(empty, PIECES).count() == 0
     assert packing.read_packed(packing.write_packed(empty, BYTES, scratch_path(spark, "packed"))).count() == 0
+
+
+def test_one_pass_encodes_and_decodes(spark, library):
+    rows = [*texts(8, 100), None]
+    both = bpe.encode_texts(frame(spark, [*rows, *rows]), PIECES, decoded="tokens")
+    assert both.columns == ["doc_id", "text", "n_tokens", "ids", "tokens"]
+    got = both.collect()
+    assert len(got) == 2 * len(rows)
+    for r in got:
+        assert r["ids"] == library.encode(r["text"] or "") and r["tokens"] == library.decode(r["ids"])
+
+
+def test_decoding_block_by_block(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "DECODE_IDS", 7)
+    lists = [library.encode(t) for t in texts(9, 60)[:60]] + [[], None, []]
+    docs = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(lists)], "doc_id int, ids array<int>, decoded string")
+    for r in bpe.decode_ids(docs, PIECES).collect():
+        assert r["decoded"] == library.decode(lists[r["doc_id"]] or [])
+
+
+def test_the_memo_stays_within_its_bytes(model):
+    tables, memo = bpe.PieceModel(model), Memo(np.int32, most=1 << 20)
+    most = 0
+    for i in range(40):
+        column = pa.array([" ".join(f"w{i}x{j}" for j in range(3000))])
+        for _ in tables.encode_blocks(column, memo):
+            most = max(most, memo.nbytes)
+    assert most < 2 << 20
+
+
+def test_a_worker_keeps_one_operators_state():
+    from glossa.llm import words
+    first = words.worker_state("a", b"x", lambda s: [s])
+    assert words.worker_state("a", b"x", lambda s: [s]) is first
+    words.worker_state("b", b"x", lambda s: [s])
+    assert words.worker_state("a", b"x", lambda s: [s]) is not first and len(words._STATE) == 1
