@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glossa.catalog.registry import Query
-from glossa.llm import bpe, chat, counts, decontam, dedup, jaccard, langid, packing, sharding, urls
-from glossa.llm.common import table
+from glossa.llm import (binpack, bpe, chat, counts, decontam, dedup, divergence, jaccard, langid, packing, sharding,
+                        structure, urls)
+from glossa.llm.common import stored, table
 from glossa.session import scratch_path
 
 QUERIES: dict[str, Query] = {"pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}
@@ -187,3 +188,111 @@ def _shingle_sql(source: str, key: str) -> str:
     GROUP BY d.r, i.r, doc_id, item_id HAVING 5 * count(*) >= 4 * any_value(size)""")
 def op10(spark, folder):
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def damaged(turns):
+    """Conversations with faults: by crc32 of ``conv_id:turn`` a turn is dropped, emptied, unended, repeated or given to the user."""
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    drawn = F.crc32(F.encode(name, "UTF-8")) % 20
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    text = F.when(drawn == 1, "").when(drawn == 2, F.translate(text, ".!?", "")).otherwise(text)
+    copies = F.sequence(F.lit(1), F.when(drawn == 3, 2).otherwise(1))
+    return turns.where(drawn != 0).select("conv_id", "turn", F.when(drawn == 4, "user").otherwise(role).alias("role"),
+                                          text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+_CRC = "xor(4294967295, list_reduce(list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT), " \
+       "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"
+
+
+@query("op11_structure_repair", rf"""
+    WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL
+        SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+    tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+    drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d FROM conversations, tab),
+    hurt AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM drawn, range(2) x(n) WHERE d <> 0 AND (n = 0 OR d = 3)),
+    placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt),
+    rows AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+        right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail FROM placed),
+    f AS MATERIALIZED (SELECT *, tail = '' AS blank, tail <> '' AND seen AS duplicate,
+        tail <> '' AND NOT seen AND tail NOT IN ('.', '!', '?') AS truncated, left(role, 1) AS x,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS w FROM rows),
+    counts AS (SELECT conv_id, count(*) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+        count(*) FILTER (truncated) AS truncated, count(*) FILTER (w IS NOT NULL AND w || x NOT IN ('su', 'ua', 'au')) AS illegal,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY 1),
+    ins(q, z, e, c, said) AS (VALUES (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''),
+        (0, 2, 'I', 2, 'user:' || chr(10)), (1, 2, 'I', 2, 'user:' || chr(10)), (2, 3, 'I', 2, 'assistant:' || chr(10)),
+        (3, 2, 'I', 2, 'user:' || chr(10)), (0, 3, 'II', 4, 'user:' || chr(10) || 'assistant:' || chr(10)),
+        (1, 3, 'II', 4, 'user:' || chr(10) || 'assistant:' || chr(10))),
+    acts(q, e, x, c, z, said) AS (VALUES (0, 'K', 's', 0, 1, NULL), (0, 'K', 'u', 0, 2, NULL), (1, 'K', 'u', 0, 2, NULL),
+        (2, 'K', 'a', 0, 3, NULL), (3, 'K', 'u', 0, 2, NULL), (0, 'R', NULL, 2, 2, 'user'), (1, 'R', NULL, 2, 2, 'user'),
+        (2, 'R', NULL, 2, 3, 'assistant'), (3, 'R', NULL, 2, 2, 'user'), (0, 'D', NULL, 3, 0, NULL), (1, 'D', NULL, 3, 1, NULL),
+        (2, 'D', NULL, 3, 2, NULL), (3, 'D', NULL, 3, 3, NULL)),
+    way(conv_id, i, q, s) AS (
+        SELECT conv_id, 0::BIGINT, 0, {{'cost': 0, 'audit': '', 'said': ''}} FROM counts
+        UNION ALL
+        SELECT way.conv_id, way.i + 1, acts.z, min({{'cost': s.cost + ins.c + acts.c + CASE WHEN truncated AND acts.e <> 'D' THEN 1 ELSE 0 END,
+            'audit': s.audit || ins.e || acts.e, 'said': s.said || ins.said ||
+            CASE WHEN acts.e = 'D' THEN '' ELSE coalesce(acts.said, role) || ':' || text || chr(10) END}})
+        FROM way JOIN f ON f.conv_id IS NOT DISTINCT FROM way.conv_id AND f.i = way.i + 1 JOIN ins ON ins.q = way.q
+        JOIN acts ON acts.q = ins.z AND (acts.x IS NULL OR acts.x = f.x) AND (acts.e = 'D' OR NOT (blank OR duplicate))
+        GROUP BY 1, 2, 3),
+    ends AS (SELECT way.conv_id, min({{'cost': s.cost + ins.c, 'audit': s.audit || ins.e, 'said': s.said || ins.said}}) AS s
+        FROM way JOIN counts ON counts.conv_id IS NOT DISTINCT FROM way.conv_id AND way.i = n JOIN ins ON ins.q = way.q AND ins.z IN (0, 3)
+        GROUP BY 1)
+    SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+        coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(s.cost, 0)::BIGINT AS cost, coalesce(s.audit, '') AS audit,
+        sha256(coalesce(left(s.said, greatest(length(s.said) - 1, 0)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM a.conv_id
+    LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM a.conv_id""")
+def op11(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hurt = damaged(turns)
+    plan = stored(structure.plan_repairs(hurt), "repairs")
+    key = F.struct("conv_id").alias("conv")
+    digests = structure.repaired_digests(structure.repaired_turns(hurt, plan)).select(key, "repaired_sha256")
+    report = structure.conversation_report(plan).withColumn("conv", key).drop("conv_id")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (turns.select("conv_id").distinct().withColumn("conv", key).join(report, "conv", "left").join(digests, "conv", "left")
+            .select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
+
+
+@query("op12_bin_packing")
+def op12(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = binpack.pack_examples(docs, BYTE_BPE, binpack.Limits(tokens=2048, segments=256, loss=2048), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_SHARE = "1 + (1000000000::HUGEINT * ({n} + 2)) // greatest({total} + 2 * {terms}, 1)"
+
+
+@query("op13_source_divergence", rf"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all({_FOLD}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+    kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+    v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+    c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+    g AS MATERIALIZED (SELECT g.lang, g.source, coalesce(sum(n), 0)::BIGINT AS total, coalesce(any_value(v), 0) AS v
+        FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN c USING (lang, source) LEFT JOIN v ON v.lang = g.lang GROUP BY 1, 2),
+    p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, {_SHARE.format(n="coalesce(n, 0)", total="total", terms="v")} AS p
+        FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, 'pair' AS part, coalesce(s.value, 0)::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+            SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) s
+        ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    whole AS (SELECT lang, term, sum(n)::BIGINT AS n FROM p GROUP BY 1, 2),
+    q AS (SELECT lang, term, {_SHARE.format(n="n", total="(sum(n) OVER (PARTITION BY lang))::BIGINT", terms="count(*) OVER (PARTITION BY lang)")} AS q FROM whole),
+    terms AS (SELECT p.lang, p.source, p.term AS item, 'term' AS part, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+        FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM (SELECT lang, source, part, item, value FROM pairs UNION ALL SELECT lang, source, part, item, value FROM terms))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""")
+def op13(spark, folder):
+    return divergence.audit_sources(table(spark, folder, "documents"))
