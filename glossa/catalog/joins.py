@@ -161,7 +161,7 @@ answers AS (SELECT request_id, lang, section, pick, verse_id FROM picks JOIN ran
 def j08(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = corpus(t).select("verse_id", "lang", "book", "emotion", "theme")
-    index, sizes = recommend.store_index(rows, ["verse_id"], scratch_path(spark, "index"))
+    index, sizes = recommend.prepare_corpus(rows, ["verse_id"])
     return recommend.answer_requests(requests(t), index, sizes, ["verse_id"])
 
 
@@ -182,8 +182,8 @@ SELECT request_id, string_agg(line, chr(10) || chr(10) ORDER BY section, pick) A
 def j08_citations(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = corpus(t).select("verse_id", "lang", "book", "emotion", "theme", "chapter", "verse", "text")
-    index, sizes = recommend.store_index(rows, ["verse_id"], scratch_path(spark, "index"))
-    answers = recommend.answer_requests(requests(t), index, sizes, ["book", "chapter", "verse", "text"])
+    index = recommend.store_index(rows, ["verse_id"], scratch_path(spark, "index"))
+    answers = recommend.answer_from_store(requests(t), index, ["book", "chapter", "verse", "text"], ["verse_id"])
     return recommend.citations(answers).select("request_id", F.array_join("verses", "\n\n").alias("verses"))
 
 

@@ -56,10 +56,10 @@ def t02(spark, sf_dir):
 @query("t03_answer_stream", f"WITH {PICKS_SQL} SELECT request_id, lang, section, pick, verse_id FROM answers")
 def t03(spark, sf_dir):
     rows = corpus(Tables(spark, sf_dir)).select("verse_id", "lang", "book", "emotion", "theme")
-    index, sizes = recommend.store_index(rows, ["verse_id"], scratch_path(spark, "index"))
+    index = recommend.store_index(rows, ["verse_id"], scratch_path(spark, "index"))
     path = scratch_path(spark, "answers")
     arriving = requests(_Arrivals(spark, sf_dir))
-    jobs.run_to_end(jobs.answer_arrivals(arriving, index, sizes, ["verse_id"], path, path + "-checkpoint"))
+    jobs.run_to_end(jobs.answer_arrivals(arriving, index, ["verse_id"], ["verse_id"], path, path + "-checkpoint"))
     return spark.read.parquet(path).drop("batch")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from glossa.operators.filters import admissible, matches
 from glossa.operators.scoring import BATCH, score_candidates, score_texts, top_theme
 from glossa.plans.ranking import hash_number, hash_rank, seeded_hash
 from glossa.plans.skew import lookup_join
+from glossa.session import scratch_path
 
 PER_SECTION = 2
 MAX_RESULTS = 5
@@ -115,18 +117,39 @@ def prepare_corpus(corpus: DataFrame, key: Sequence[str], seed=0) -> tuple[DataF
     return candidate_index(rows, key, group, seed), group_sizes(rows, group)
 
 
-def store_index(corpus: DataFrame, key: Sequence[str], path: str, seed=0) -> tuple[DataFrame, DataFrame]:
-    """``prepare_corpus`` written to tables below ``path``, to be computed once and served often.
+class StoredIndex(NamedTuple):
+    """Tables that requests are answered from: numbered slots with keys, group sizes, and the corpus rows by bucket."""
 
-    The rows lie in folders by language and emotion, so the few labels of a batch of
-    requests prune the folders that are read (dynamic partition pruning).
+    slots: DataFrame
+    sizes: DataFrame
+    rows: DataFrame
+
+
+def key_bucket(key: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def store_index(corpus: DataFrame, key: Sequence[str], path: str, seed=0, buckets: int = 16) -> StoredIndex:
+    """The index over (lang, emotion, theme, section), written to tables below ``path`` to be computed once and served often.
+
+    ``slots`` has keys only, as often as a row has themes and turns; it lies in folders by language and emotion, so
+    the few labels of a batch of requests prune the folders that are read. ``rows`` has every corpus row once,
+    whatever its themes, in ``buckets`` folders by a hash of its ``key``, sorted by key in each file: choose as many as make
+    a bucket some hundred megabytes, so that a small batch of requests reads little. ``key`` identifies rows and is never null.
     """
+    spark = corpus.sparkSession
+    labels = [c for c in ("lang", "emotion", "theme", "book") if c not in key]
+    slots, sizes = prepare_corpus(corpus.select(*key, *labels), key, seed)
+    group = ["lang", "emotion_norm", "theme_norm", "section"]
+    slots = slots.select(*group, "slot", *[c for c in key if c not in group], key_bucket(key, buckets).alias("bucket"))
+    rows = corpus.withColumn("bucket", key_bucket(key, buckets))
+    laid = {"slots": (slots.hint("rebalance", "lang", "emotion_norm"), ["lang", "emotion_norm"]), "sizes": (sizes, []),
+            "rows": (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *key), ["bucket"])}
     parts = []
-    for name, df in zip(("rows", "sizes"), prepare_corpus(corpus, key, seed)):
-        folders = ("lang", "emotion_norm") if name == "rows" else ()
-        df.hint("rebalance", *folders).write.partitionBy(*folders).parquet(f"{path}/{name}")
-        parts.append(corpus.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}").select(df.columns))
-    return tuple(parts)
+    for name, (df, folders) in laid.items():
+        df.write.partitionBy(*folders).parquet(f"{path}/{name}")
+        parts.append(spark.read.schema(df.schema).parquet(f"{path}/{name}").select(df.columns))
+    return StoredIndex(*parts)
 
 
 def answer_requests(requests: DataFrame, index: DataFrame, sizes: DataFrame, payload: Sequence[str],
@@ -139,6 +162,11 @@ def answer_requests(requests: DataFrame, index: DataFrame, sizes: DataFrame, pay
     pick: no request is ever paired with a whole group, however common its
     labels are.
     """
+    return _picked(requests, index, sizes, payload, n, seed).select("request_id", "lang", "section", "pick", *payload)
+
+
+def _picked(requests: DataFrame, index: DataFrame, sizes: DataFrame, columns: Sequence[str], n: int, seed) -> DataFrame:
+    """Picks of each request with columns of the index."""
     wanted = requests.select(
         "request_id", "lang",
         normalize(localized(F.col("emotion"), F.col("lang"), domains.EMOTIONS_ES)).alias("emotion_norm"),
@@ -151,8 +179,30 @@ def answer_requests(requests: DataFrame, index: DataFrame, sizes: DataFrame, pay
              .withColumn("slot", F.pmod(begin + F.col("pick"), F.col("slots")))
              .select("request_id", *group, "section", "pick", "slot"))
     # few picks are broadcast to the corpus rows by Spark itself, which knows their bytes
-    return index.select(*group, "section", "slot", *payload).join(picks, [*group, "section", "slot"]).select(
-        "request_id", "lang", "section", "pick", *payload)
+    columns = [c for c in columns if c not in (*group, "section", "slot")]
+    return index.select(*group, "section", "slot", *columns).join(picks, [*group, "section", "slot"])
+
+
+def answer_from_store(requests: DataFrame, index: StoredIndex, payload: Sequence[str], key: Sequence[str],
+                      n: int = PER_SECTION, seed=0) -> DataFrame:
+    """J08 from the tables of ``store_index``: the same picks, then their rows by key.
+
+    The picked keys of the batch are written first. Only the buckets that they fall into, numbers below the
+    index's count of buckets, come to the driver, so that the scan of the corpus rows is pruned to those folders.
+    """
+    spark = requests.sparkSession
+    path = scratch_path(spark, "picked")
+    own = [c for c in key if c not in ("lang", "section")]
+    picked = _picked(requests, index.slots, index.sizes, [*own, "bucket"], n, seed).select(
+        "request_id", "lang", "section", "pick", *own, "bucket")
+    picked.write.parquet(path)
+    picked = spark.read.schema(picked.schema).parquet(path)
+    if set(payload) <= {"request_id", "lang", "section", "pick", *own}:
+        return picked.select("request_id", "lang", "section", "pick", *payload)
+    buckets = sorted(r["bucket"] for r in picked.select("bucket").distinct().collect())
+    rest = [c for c in payload if c not in picked.columns]
+    rows = index.rows.where(F.col("bucket").isin(buckets)).select("bucket", *key, *[c for c in rest if c not in key])
+    return picked.join(rows, ["bucket", *key]).select("request_id", "lang", "section", "pick", *payload)
 
 
 def admitted(requests: DataFrame, text: str = "text") -> DataFrame:

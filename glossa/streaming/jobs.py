@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from glossa.operators.recommend import PER_SECTION, admitted, answer_requests
+from glossa.operators.recommend import PER_SECTION, StoredIndex, admitted, answer_from_store
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
@@ -47,15 +47,15 @@ def unique_feedback(events: DataFrame, session: str = "session_id", time: str =
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([session])
 
 
-def answer_arrivals(requests: DataFrame, index: DataFrame, sizes: DataFrame, payload: Sequence[str], path: str,
+def answer_arrivals(requests: DataFrame, index: StoredIndex, payload: Sequence[str], key: Sequence[str], path: str,
                     checkpoint: str, n: int = PER_SECTION, seed=0) -> StreamingQuery:
     """Recommendations for arriving requests, one folder ``batch=<id>`` per micro-batch.
 
-    ``index`` and ``sizes`` are the tables made by ``store_index``. A repeated
+    ``index`` is the result of ``store_index``; a micro-batch reads the corpus buckets that its picks fall into. A repeated
     batch overwrites its own folder, so every request is answered exactly once.
     """
     def answer(batch: DataFrame, batch_id: int) -> None:
-        answers = answer_requests(admitted(batch), index, sizes, payload, n, seed)
+        answers = answer_from_store(admitted(batch), index, payload, key, n, seed)
         answers.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)

@@ -1,5 +1,7 @@
 """Table operators on small fixtures."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,29 @@ def test_batch_requests_never_pair_with_a_whole_group(crowd):
     assert most == 1
 
 
+def test_stored_index_answers_alike_and_keeps_texts_once(spark, crowd, tmp_path):
+    corpus, asks = crowd
+    corpus = corpus.withColumn("text", F.concat(F.lit("text of "), "verse_id"))
+    index, sizes = recommend.prepare_corpus(corpus, ["verse_id"])
+    want = recommend.answer_requests(asks, index, sizes, ["verse_id", "book", "text"])
+    store = recommend.store_index(corpus, ["verse_id"], f"{tmp_path}/index", buckets=8)
+    got = recommend.answer_from_store(asks, store, ["verse_id", "book", "text"], ["verse_id"])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert store.rows.count() == corpus.count() and store.slots.count() > corpus.count()
+    assert not {"text", "book", "theme"} & set(store.slots.columns)
+    assert recommend.answer_from_store(asks.where("false"), store, ["text"], ["verse_id"]).count() == 0
+
+
+def test_few_requests_read_few_buckets(spark, crowd, tmp_path):
+    corpus, asks = crowd
+    store = recommend.store_index(corpus.withColumn("text", F.lit("long")), ["verse_id"], f"{tmp_path}/index", buckets=64)
+    one = recommend.answer_from_store(asks.where("request_id = '5'"), store, ["text"], ["verse_id"])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    read = re.search(r"PartitionFilters: \[bucket#\d+ IN \(([\d,]+)\)", plan).group(1).split(",")
+    rows = one.collect()
+    assert 1 <= len(read) <= len(rows) <= 6 and len(rows) == len({(r["section"], r["pick"]) for r in rows})
+
+
 def test_transfer(spark):
     source = spark.createDataFrame(
         [(1, 1, 1, 0, "love;faith", "joy"), (1, 1, 2, 1, None, "sadness"), (1, 1, 1, 2, " Hope ", " FEAR"), (2, None, 1, 3, "love", "joy")],
