@@ -15,7 +15,7 @@ from glossa.operators import evaluate as E
 from glossa.operators import recommend
 from glossa.operators import scoring as M
 from glossa.operators.sampling import stratified_folds
-from glossa.plans import labeling, training
+from glossa.plans import bayes, labeling, training
 from glossa.session import scratch_path
 
 
@@ -216,6 +216,70 @@ def m16(spark, sf_dir):
     return found.select("doc_id", "label", "pred", F.round("pred_score", 6).alias("pred_score"))
 
 
+_BAYES_DOCS = f"""d AS MATERIALIZED (SELECT doc_id, lang AS label, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}]+') AS w,
+  @fold AS fold FROM documents WHERE lang IN ({', '.join(f"'{x}'" for x in LANGS)})),
+t AS MATERIALIZED (SELECT doc_id, label, fold, word, count(*) AS n FROM (SELECT doc_id, label, fold, unnest(w) AS word FROM d)
+  WHERE word <> '' GROUP BY ALL),
+labels(id, label) AS (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(LANGS))}),
+own AS (SELECT fold, label, word, sum(n) AS c FROM t GROUP BY ALL), tot AS (SELECT label, word, sum(n) AS c FROM t GROUP BY ALL)"""
+
+
+def _bayes_sql(folds: int, alphas: list[float], weights: list[bool]) -> str:
+    """DuckDB: (doc_id, label, fold, alpha, weighted, pred, score) of the closed-form learner; fold -1 leaves nothing out."""
+    grid = ", ".join(f"({a}::DOUBLE, {w})" for a in alphas for w in weights)
+    fold = f"((row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) - 1) % {folds})::INT" if folds else "0"
+    left_out = "0" if folds else "1"  # without folds nothing is taken off
+    return f"""{_BAYES_DOCS.replace('@fold', fold)},
+f AS (SELECT DISTINCT fold FROM d), vocabulary AS (SELECT DISTINCT word FROM t),
+train AS MATERIALIZED (SELECT f.fold, l.label, v.word, coalesce(tot.c, 0) - CASE WHEN {left_out} = 1 THEN 0 ELSE coalesce(own.c, 0) END AS c
+  FROM f, labels l, vocabulary v LEFT JOIN tot ON tot.label = l.label AND tot.word = v.word
+  LEFT JOIN own ON own.fold = f.fold AND own.label = l.label AND own.word = v.word),
+known AS (SELECT fold, word FROM train GROUP BY ALL HAVING sum(c) > 0), size AS (SELECT fold, count(*) AS v FROM known GROUP BY ALL),
+mass AS (SELECT fold, label, sum(c) AS t FROM train GROUP BY ALL),
+grid(alpha, weighted) AS (VALUES {grid}),
+cls AS (SELECT f.fold, l.label, l.id, g.alpha, g.weighted, CASE WHEN weighted THEN 1.0::DOUBLE / greatest(count(d.doc_id), 1) ELSE 1.0::DOUBLE END AS w,
+  count(d.doc_id) FILTER (d.fold <> f.fold OR {left_out} = 1) AS docs
+  FROM f, grid g, labels l LEFT JOIN d ON d.label = l.label GROUP BY f.fold, l.label, l.id, alpha, weighted),
+prior AS (SELECT *, ln(w * docs) - ln(sum(w * docs) OVER (PARTITION BY fold, alpha, weighted)) AS p FROM cls),
+likely AS (SELECT t.doc_id, p.label, p.alpha, p.weighted, sum(t.n * ln((p.w * train.c + p.alpha) / (p.w * mass.t + p.alpha * size.v))) AS s
+  FROM t JOIN known ON known.fold = t.fold AND known.word = t.word JOIN train ON train.fold = t.fold AND train.word = t.word
+  JOIN prior p ON p.fold = t.fold AND p.label = train.label JOIN mass ON mass.fold = t.fold AND mass.label = train.label
+  JOIN size ON size.fold = t.fold GROUP BY ALL),
+logit AS (SELECT d.doc_id, d.label, d.fold, p.alpha, p.weighted, p.id, p.label AS guess, p.p + coalesce(s, 0) AS z
+  FROM d JOIN prior p ON p.fold = d.fold LEFT JOIN likely l ON l.doc_id = d.doc_id AND l.label = p.label AND l.alpha = p.alpha AND l.weighted = p.weighted),
+top AS (SELECT *, max(z) OVER (PARTITION BY doc_id, alpha, weighted) AS peak FROM logit),
+judged AS MATERIALIZED (SELECT doc_id, label, fold, alpha, weighted, arg_min(guess, id) FILTER (z = peak) AS pred, 1 / sum(exp(z - peak)) AS score
+  FROM top GROUP BY ALL),
+folds AS (SELECT alpha, weighted, fold, l.label, 2.0::DOUBLE * count(*) FILTER (j.label = l.label AND pred = l.label)
+    / greatest(count(*) FILTER (j.label = l.label) + count(*) FILTER (pred = l.label), 1) AS f1
+  FROM judged j, labels l GROUP BY ALL),
+macro AS (SELECT alpha, weighted, fold, sum(f1) / {len(LANGS)} AS macro_f1 FROM folds GROUP BY ALL)"""
+
+
+def _folded(spark, sf_dir, k: int):
+    docs = Tables(spark, sf_dir).spread("documents").select("doc_id", "text", "lang")
+    return stratified_folds(training.training_frame(docs, "text", "lang", LANGS, weighted=False, keep=["doc_id"]), "label", ["doc_id"], k, 42)
+
+
+@query("m14_bayes_folds", f"WITH {_bayes_sql(3, [1.0], [True])} SELECT fold, round(macro_f1, 6) AS macro_f1 FROM macro")
+def m14_bayes(spark, sf_dir):
+    return bayes.bayes_search(_folded(spark, sf_dir, 3), LANGS, ["doc_id"], 3).select("fold", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("m15_bayes_search", f"""WITH {_bayes_sql(2, [0.01, 1.0, 300.0], [True, False])}
+SELECT alpha, weighted, round(avg(macro_f1), 6) AS macro_f1 FROM macro GROUP BY ALL""")
+def m15_bayes(spark, sf_dir):
+    found = bayes.bayes_search(_folded(spark, sf_dir, 2), LANGS, ["doc_id"], 2, [0.01, 1.0, 300.0], [True, False])
+    return bayes.best_parameters(found).select("alpha", "weighted", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("m16_bayes_posteriors", f"WITH {_bayes_sql(0, [0.5], [True])} SELECT doc_id, label, pred, round(score, 6) AS score FROM judged")
+def m16_bayes(spark, sf_dir):
+    docs = Tables(spark, sf_dir).spread("documents").select("doc_id", "text", "lang")
+    frame = training.training_frame(docs, "text", "lang", LANGS, weighted=False, keep=["doc_id"]).select("doc_id", "text", "label")
+    return bayes.posteriors(frame, frame, LANGS, ["doc_id"], 0.5).select("doc_id", "label", "pred", F.round("pred_score", 6).alias("score"))
+
+
 _SHARES = ", ".join(f"round(w{i} / (w0 + w1 + w2 + w3), 6) AS {x}" for i, x in enumerate(LANGS))
 
 
