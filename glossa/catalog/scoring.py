@@ -19,10 +19,10 @@ from glossa.plans import bayes, labeling, training
 from glossa.session import scratch_path
 
 
-def vowel_scorer(fail_on: str | None = None, short_by: int = 0):
+def vowel_scorer(fail_on: str | None = None, short_by: int = 0, short_on: str = ""):
     """Factory of a checkable emotion scorer: vowel counts per character.
 
-    It can fail on texts that contain a mark, or answer with too few rows.
+    It can fail on texts that contain a mark, or answer with too few rows, if a text holds ``short_on``.
     """
     def factory():
         def classify(texts):
@@ -30,7 +30,7 @@ def vowel_scorer(fail_on: str | None = None, short_by: int = 0):
                 raise RuntimeError("cannot score")
             found = [[{"label": label, "score": t.count(vowel) / max(len(t), 1)}
                       for label, vowel in (("joy", "e"), ("fear", "i"), ("anger", "o"))] for t in texts]
-            return found[:len(found) - short_by]
+            return found[:len(found) - short_by] if any(short_on in t for t in texts) else found
 
         return classify
 
@@ -156,6 +156,15 @@ def m07(spark, sf_dir):
     return M.without_failed_units(scored, "source", "preds_error").select("doc_id")
 
 
+@query("m07_short_answers", "SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE contains(text, 'Les '))")
+def m07_short(spark, sf_dir):
+    scorer = vowel_scorer(short_by=1, short_on="Les ")
+    scored = M.score_texts(Tables(spark, sf_dir).spread("documents"), "text", scorer, batch=1)
+    path = scratch_path(spark, "scored")
+    scored.select("doc_id", "source", "preds_error").write.parquet(path)
+    return M.without_failed_units(spark.read.parquet(path), "source", "preds_error").select("doc_id")
+
+
 _THEME_OF = ", ".join(f"CASE WHEN 10 * {_count(x)} / greatest(length(text), 1) >= 0.5 THEN '{label}' END"
                       for label, x in (("love", "l"), ("faith", "f"), ("hope", "h"), ("forgiveness", "f"), ("fear", "f")))
 
@@ -174,9 +183,9 @@ _WIDE = ", ".join(f"{m} AS {m}_label, round({m}_score, 6) AS {m}_score" for m in
 
 @query("m09_compare_models", f"WITH {MODELS_SQL} SELECT doc_id, {_WIDE} FROM models")
 def m09(spark, sf_dir):
-    df = Tables(spark, sf_dir).spread("documents").select("doc_id", "text")
+    df = M.with_words(Tables(spark, sf_dir).spread("documents").select("doc_id", "text"), "text", "split")
     for name, lexicon in MODELS.items():
-        df = M.lexicon_predictions(df, "text", lexicon, name)
+        df = M.lexicon_predictions(df, "text", lexicon, name, split="split")
     wide = M.compare_models(df, {m: False for m in MODELS}, {x: x for x in LANGS})
     return wide.select("doc_id", *[c for m in MODELS for c in (f"{m}_label", F.round(f"{m}_score", 6).alias(f"{m}_score"))])
 
@@ -286,3 +295,20 @@ _SHARES = ", ".join(f"round(w{i} / (w0 + w1 + w2 + w3), 6) AS {x}" for i, x in e
 @query("m17_lexicon_scores", f"WITH {lexicon_cte('hits', LEXICON)} SELECT doc_id, {_SHARES} FROM documents LEFT JOIN hits USING (doc_id)")
 def m17(spark, sf_dir):
     return predicted(Tables(spark, sf_dir)).select("doc_id", *[F.round(F.get("preds", F.lit(i))["score"], 6).alias(x) for i, x in enumerate(LANGS)])
+
+
+_TABLE_SHARES = ", ".join(f"round(sum(n * weight) FILTER (label = '{x}') / sum(n * weight), 6) AS {x}" for x in LANGS)
+
+
+@query("m17_table_lexicon", f"""WITH w AS (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM documents),
+n AS (SELECT doc_id, lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
+lexicon AS (SELECT lang AS label, word, 1 + count(*) % 4 AS weight FROM n GROUP BY lang, word),
+s AS (SELECT doc_id, {_TABLE_SHARES} FROM n JOIN lexicon USING (word) GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"CASE WHEN s.doc_id IS NOT NULL THEN coalesce({x}, 0) END AS {x}" for x in LANGS)} FROM documents LEFT JOIN s USING (doc_id)""")
+def m17_table(spark, sf_dir):
+    """Every word of the corpus is in the lexicon, weighted by the documents of a language that hold it."""
+    docs = Tables(spark, sf_dir).spread("documents").select("doc_id", "lang", "text")
+    held = docs.select(F.col("lang").alias("label"), F.explode(F.array_distinct(M.words(F.col("text")))).alias("word"))
+    lexicon = held.groupBy("label", "word").agg((1.0 + F.count(F.lit(1)) % 4).alias("weight"))
+    found = M.lexicon_table_predictions(docs, "text", lexicon, LANGS, key=["doc_id"])
+    return found.select("doc_id", *[F.round(F.get("preds", F.lit(i))["score"], 6).alias(x) for i, x in enumerate(LANGS)])

@@ -12,7 +12,7 @@ from glossa.functions.text import clean_text
 from glossa.operators import recommend
 from glossa.operators.scoring import lexicon_predictions
 from glossa.session import scratch_path
-from glossa.streaming import jobs
+from glossa.streaming import jobs, sessions
 
 
 class _Arrivals(Tables):
@@ -53,6 +53,24 @@ def t02(spark, sf_dir):
     return _run(unique.select("user_id", "event_type"), spark, "feedback")
 
 
+_GAP, _DELAY = 2 * 86_400, 86_400  # seconds
+
+
+@query("t02_feedback_sessions", f"""WITH e AS (SELECT user_id || '-' || event_type AS session_id, event_id::VARCHAR AS event_id, epoch_us(ts) AS us FROM events),
+  l AS (SELECT *, us - lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS since FROM e),
+  s AS (SELECT *, count(*) FILTER (since IS NULL OR since > {_GAP}000000) OVER (PARTITION BY session_id ORDER BY us, event_id) AS nth FROM l),
+  done AS (SELECT session_id, arg_min(event_id, (us, event_id)) AS event_id, min(us) AS start_us, max(us) AS end_us, count(*) AS feedbacks,
+    count(*) - 1 AS repeated FROM s GROUP BY session_id, nth)
+SELECT * FROM done WHERE ceil((end_us + {_GAP}000000) / 1000) <= (SELECT floor(max(us) / 1000) FROM e) - {_DELAY}000""")
+def t02_sessions(spark, sf_dir):
+    events = _Arrivals(spark, sf_dir).events.withColumn("session_id", F.concat_ws("-", "user_id", "event_type"))
+    found = sessions.feedback_sessions(events.withColumn("ts", F.col("ts").cast("timestamp")), _GAP, f"{_DELAY} seconds")
+    with sessions.timed_state(spark):
+        done = _run(found, spark, "sessions")
+    return done.select("session_id", "event_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"),
+                       "feedbacks", "repeated")
+
+
 @query("t03_answer_stream", f"WITH {PICKS_SQL} SELECT request_id, lang, section, pick, verse_id FROM answers")
 def t03(spark, sf_dir):
     rows = corpus(Tables(spark, sf_dir)).select("verse_id", "lang", "book", "emotion", "theme")

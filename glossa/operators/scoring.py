@@ -19,8 +19,10 @@ from glossa.functions.labels import join_labels, lookup, sql_literal
 from glossa.functions.scores import labels_above, override_neutral, top_prediction, zip_predictions
 from glossa.plans.guard import once
 from glossa.plans.skew import filter_join
+from glossa.session import scratch_path
 
 BATCH = 32
+LITERAL_WORDS = 5_000  # words of a lexicon that is written into the plan
 _NOT_LETTERS = r"[^\p{L}]+"
 _RESULT = "labels array<string>, scores array<double>, error string"
 
@@ -147,11 +149,14 @@ def lexicon_predictions(df: DataFrame, text: str, lexicon: Mapping[str, Mapping[
     ``split`` names a column that already holds the text's words (``with_words``).
 
     Works inside the row, so no text is shuffled or exploded; the lexicon is a
-    small dictionary that travels with the plan. Null when no word is known.
+    small dictionary that travels with the plan. One of more than ``LITERAL_WORDS`` words becomes a
+    table instead (``lexicon_table_predictions``), with the same result. Null when no word is known.
     """
     known = sorted({w for entries in lexicon.values() for w in entries})
-    if len(known) > 5_000:
-        raise ValueError("lexicon too large for a literal: use a scorer factory instead")
+    if len(known) > LITERAL_WORDS:
+        entries = pd.DataFrame([(label, w, float(x)) for label, ws in lexicon.items() for w, x in ws.items()], columns=["label", "word", "weight"])
+        table = df.sparkSession.createDataFrame(entries, "label string, word string, weight double")
+        return lexicon_table_predictions(df, text, table, list(lexicon), out, split=split)
 
     def listed(some) -> str:
         return ", ".join(sql_literal(w) for w in some)
@@ -171,6 +176,34 @@ def lexicon_predictions(df: DataFrame, text: str, lexicon: Mapping[str, Mapping[
     return df.withColumn(out, once(F.expr(shares)))
 
 
+def lexicon_table_predictions(df: DataFrame, text: str, lexicon: DataFrame, labels: Sequence[str], out: str = "preds",
+                              key: Sequence[str] | None = None, split: str | None = None) -> DataFrame:
+    """M17 for a lexicon of any size: a table of (label, word, weight), several rows of a word and label added up.
+
+    Each row's words are counted, meet the weights of the words that are in the lexicon by an equi-join, and come
+    together as one partial sum per row and label, in the order of ``labels``. Only ``key`` and words are shuffled; the
+    sums meet the rows by ``key``, which identifies them and is never null. Without a key the rows are written first and
+    told apart by their place. Adaptive execution splits the partitions of very frequent words.
+    """
+    spark = df.sparkSession
+    df = df.drop(out) if out != text else df
+    if key is None:
+        path, key = scratch_path(spark, "scored"), ["_row"]
+        df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+        df = spark.read.parquet(path)
+    weights = F.array(*[F.coalesce(F.sum(F.when(F.col("label") == x, F.col("weight"))), F.lit(0.0)) for x in labels])
+    known = lexicon.where(F.col("label").isin(*labels)).groupBy("word").agg(weights.alias("_w"))
+    found = F.col(split) if split else words(F.col(text))
+    counted = (df.select(*key, F.explode(found).alias("word")).where("word != ''")
+               .groupBy(*key, "word").agg(F.count(F.lit(1)).alias("_n")))
+    parts = counted.join(known, "word").groupBy(*key).agg(
+        F.array(*[F.sum(F.col("_n") * F.get(F.col("_w"), F.lit(i))) for i in range(len(labels))]).alias("_sums"))
+    total = F.aggregate("_sums", F.lit(0.0), lambda a, x: a + x)
+    shares = parts.select(*key, total.alias("_total"), "_sums").where("_total > 0").select(
+        *key, zip_predictions(F.array(*[F.lit(x) for x in labels]), F.transform("_sums", lambda x: x / F.col("_total"))).alias(out))
+    return df.join(shares, list(key), "left").select(*[c for c in df.columns if c != "_row"], out)
+
+
 def compare_models(df: DataFrame, models: Mapping[str, bool], mapping: Mapping[str, str] | None = None,
                    threshold: float = 0.35) -> DataFrame:
     """Per model ``<m>_label``, ``<m>_mapped``, ``<m>_score`` from its predictions column ``<m>``.

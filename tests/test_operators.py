@@ -1,5 +1,6 @@
 """Table operators on small fixtures."""
 
+import random
 import re
 
 import pytest
@@ -277,3 +278,28 @@ def test_label_tables_resume(spark):
     rows = spark.read.parquet(folder + "/emotion_theme").collect()
     assert {(r["book_no"], r["emotion"], r["theme"]) for r in rows} == {
         (1, "joy", "love"), (2, "fear", "faith;forgiveness;fear"), (3, "anger", "")}
+
+
+def test_lexicon_of_any_size(spark, monkeypatch):
+    rng = random.Random(1)
+    lexicon = {x: {f"w{rng.randrange(10 ** 6):06d}".translate(str.maketrans("0123456789", "abcdefghij")): rng.choice([0.5, 1.0, 2.0])
+                   for _ in range(70_000)} for x in ("en", "fr", "de")}
+    known = sorted({w for ws in lexicon.values() for w in ws})
+    texts = [" ".join(rng.choice(known).title() for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "zzz 12", "same " * 500 + known[0]]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts + texts[:5])], "id int, text string, preds string")
+
+    def want(text):
+        sums = {x: sum(ws.get(w, 0) for w in (text or "").lower().split()) for x, ws in lexicon.items()}
+        return {x: v / sum(sums.values()) for x, v in sums.items()} if any(sums.values()) else None
+
+    assert sum(map(len, lexicon.values())) > 200_000
+    table = scoring.lexicon_predictions(df, "text", lexicon)
+    assert table.columns == ["id", "text", "preds"]
+    for r in table.collect():
+        got = r["preds"] and {p["label"]: p["score"] for p in r["preds"]}
+        assert got == (want(r["text"]) and pytest.approx(want(r["text"])))
+    small = {x: dict(list(ws.items())[:300]) for x, ws in lexicon.items()}
+    literal = {r["id"]: r["preds"] for r in scoring.lexicon_predictions(df, "text", small).collect()}
+    monkeypatch.setattr(scoring, "LITERAL_WORDS", 10)
+    joined = {r["id"]: r["preds"] for r in scoring.lexicon_predictions(df, "text", small).collect()}
+    assert joined == literal and any(literal.values())

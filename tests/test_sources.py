@@ -10,7 +10,7 @@ from glossa.operators.filters import valid_row
 from glossa.plans.labeling import label_emotions
 from glossa.session import ensure_checkpoint_dir, scratch_path
 from glossa.sources import tables
-from glossa.streaming import jobs
+from glossa.streaming import jobs, sessions
 
 
 @pytest.fixture()
@@ -166,3 +166,24 @@ def test_feedback_sessions_expire(spark, tmp_path):
     jobs.run_to_end(jobs.write_stream(jobs.unique_feedback(stream, delay="1 hour"), str(tmp_path / "out"), str(tmp_path / "check")))
     got = sorted(r["feedback"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == ["a0", "a3", "b1"]
+
+
+def test_keyed_sessions_end_by_their_timer(spark, tmp_path):
+    days = [[("a", "01 10:00"), ("a", "01 10:50"), ("b", "01 11:00"), (None, "01 11:00"), ("c", None)],
+            [("a", "01 10:20"), ("b", "01 12:30"), ("a", "01 12:00")],                   # a1 comes late, b1 and a2 begin anew
+            [("a", "03 09:00"), ("b", "01 11:20")],                                     # ends the first day's sessions; b1 lies behind
+            [("b", "01 12:40"), ("a", "03 09:10"), ("a", "05 00:00")],                  # in the batch that ends its session
+            [("b", "01 12:50"), ("a", "05 00:10")]]                                     # b lies behind the watermark and is dropped
+    for i, rows in enumerate(days):
+        frame = spark.createDataFrame([(s, t and f"2024-01-{t}:00", f"{s}{i}{n}") for n, (s, t) in enumerate(rows)],
+                                      "session_id string, ts string, event_id string")
+        frame.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.stream_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=1)
+    with sessions.timed_state(spark):
+        found = sessions.feedback_sessions(stream, 3600, "2 hours")
+        jobs.run_to_end(jobs.write_stream(found, str(tmp_path / "out"), str(tmp_path / "check")))
+    got = {r["event_id"]: (r["session_id"], f"{r['end']:%d %H:%M}", r["feedbacks"], r["repeated"], r["late"])
+           for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a00": ("a", "01 10:50", 3, 2, 1), "b02": ("b", "01 11:20", 2, 1, 0), "b11": ("b", "01 12:40", 2, 1, 0),
+                   "a12": ("a", "01 12:00", 1, 0, 0), "a20": ("a", "03 09:10", 2, 1, 0)}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
