@@ -104,37 +104,34 @@ _ESCAPED = "replace(replace({0}, '\\', '\\\\'), '<|', '<\\|')"
     WITH RECURSIVE said AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL VALUES (-1, 0, 'user', '{FORGED}'), (-1, 1, 'assistant', '{FORGED}')),
-    t AS MATERIALIZED (SELECT *, floor(turn / 256) AS chunk,
-        row_number() OVER (PARTITION BY conv_id, floor(turn / 256) ORDER BY turn, role, text) - 1 AS i,
-        min(floor(turn / 256)) OVER (PARTITION BY conv_id) AS first,
+    t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
         len(regexp_extract_all(text, '\\p{{L}}+|\\p{{N}}+|[^\\s\\p{{L}}\\p{{N}}]')) + 4 AS tokens,
         length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + 24 AS chars FROM said),
-    sys AS (SELECT conv_id, tokens AS sys_tokens, chars AS sys_chars FROM t WHERE chunk = first AND i = 0 AND role = 'system'),
+    sys AS (SELECT conv_id, tokens AS sys_tokens, chars AS sys_chars FROM t WHERE i = 0 AND role = 'system'),
     u AS MATERIALIZED (SELECT t.*, coalesce(sys_tokens, 0) AS sys_tokens, coalesce(sys_chars, 0) AS sys_chars,
-        chunk = first AND sys_tokens IS NOT NULL AS opening,
-        sum(tokens) OVER run AS total, sum(chars) OVER run AS written, count(*) OVER (PARTITION BY conv_id, chunk) AS size
-        FROM t LEFT JOIN sys USING (conv_id) WINDOW run AS (PARTITION BY conv_id, chunk ORDER BY i)),
-    b AS MATERIALIZED (SELECT conv_id, chunk, i, opening, sys_tokens, sys_chars, size,
-        CASE WHEN i = 0 THEN 0 ELSE greatest(i - 2, CASE WHEN opening THEN 1 ELSE 0 END) END AS since,
+        sys_tokens IS NOT NULL AS opening,
+        sum(tokens) OVER run AS total, sum(chars) OVER run AS written, count(*) OVER (PARTITION BY t.conv_id) AS size
+        FROM t LEFT JOIN sys ON sys.conv_id IS NOT DISTINCT FROM t.conv_id WINDOW run AS (PARTITION BY t.conv_id ORDER BY i)),
+    b AS MATERIALIZED (SELECT conv_id, i, opening, sys_chars, size,
+        CASE WHEN i = 0 THEN 0 ELSE greatest(i - 2, CASE WHEN opening THEN least(1, i) ELSE 0 END) END AS since,
         512 - CASE WHEN opening AND i = 0 THEN 0 ELSE sys_tokens END AS room FROM u),
-    upto AS MATERIALIZED (SELECT conv_id, chunk, b.i, since, opening, sys_chars, size,
-        (SELECT total - tokens FROM u x WHERE x.conv_id = b.conv_id AND x.chunk = b.chunk AND x.i = b.since) AS spent,
-        (SELECT written - chars FROM u x WHERE x.conv_id = b.conv_id AND x.chunk = b.chunk AND x.i = b.since) AS before, room FROM b),
-    nexts AS MATERIALIZED (SELECT p.conv_id, p.chunk, p.i, any_value(since) AS since, any_value(p.opening) AS opening,
+    upto AS MATERIALIZED (SELECT b.*, x.total - x.tokens AS spent, x.written - x.chars AS before
+        FROM b JOIN u x ON x.conv_id IS NOT DISTINCT FROM b.conv_id AND x.i = b.since),
+    nexts AS MATERIALIZED (SELECT p.conv_id, p.i, any_value(since) AS since, any_value(p.opening) AS opening,
         any_value(p.sys_chars) AS sys_chars, any_value(before) AS before,
-        coalesce(min(u.i) FILTER (WHERE u.i > p.i AND total - spent > room), any_value(p.size)) AS until, any_value(p.size) AS size
-        FROM upto p JOIN u ON u.conv_id = p.conv_id AND u.chunk = p.chunk GROUP BY p.conv_id, p.chunk, p.i),
-    w AS (SELECT conv_id, chunk, i, until FROM nexts WHERE i = 0
-          UNION ALL SELECT n.conv_id, n.chunk, n.i, n.until FROM w JOIN nexts n ON n.conv_id = w.conv_id AND n.chunk = w.chunk AND n.i = w.until),
+        coalesce(min(u.i) FILTER (WHERE u.i > p.i AND total - spent > room), any_value(p.size)) AS until
+        FROM upto p JOIN u ON u.conv_id IS NOT DISTINCT FROM p.conv_id GROUP BY p.conv_id, p.i),
+    w AS (SELECT conv_id, i, until FROM nexts WHERE i = 0
+          UNION ALL SELECT n.conv_id, n.i, n.until FROM w JOIN nexts n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.i = w.until),
     sized AS (SELECT n.conv_id, sum(u.written - n.before + CASE WHEN n.opening AND n.i = 0 THEN 0 ELSE n.sys_chars END) AS formatted_chars
-        FROM w JOIN nexts n ON n.conv_id = w.conv_id AND n.chunk = w.chunk AND n.i = w.i
-        JOIN u ON u.conv_id = n.conv_id AND u.chunk = n.chunk AND u.i = n.until - 1 GROUP BY 1),
+        FROM w JOIN nexts n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.i = w.i
+        JOIN u ON u.conv_id IS NOT DISTINCT FROM n.conv_id AND u.i = n.until - 1 GROUP BY 1),
     whole AS (SELECT conv_id, count(*) AS n_turns,
-        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY chunk, i)) AS turns_sha256,
-        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-        sha256(coalesce(string_agg(text, '' ORDER BY chunk, i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256 FROM t GROUP BY 1)
-    SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars::BIGINT AS formatted_chars
-    FROM whole JOIN sized USING (conv_id)""")
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM t GROUP BY 1)
+    SELECT whole.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars::BIGINT AS formatted_chars
+    FROM whole JOIN sized ON sized.conv_id IS NOT DISTINCT FROM whole.conv_id""")
 def op6(spark, folder):
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),

@@ -125,3 +125,21 @@ def test_history_reaches_over_turn_256(spark):
     windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA), 30, 2).where(F.col("text").contains("said 256<")).collect()
     assert windows and all("said 255<" in w["text"] for w in windows if w["text"].index("said 256<"))
     assert all(w["repeated"] for w in windows)
+
+
+def test_sql_states_long_and_sparse_conversations(spark, tmp_path):
+    import duckdb
+    from glossa.llm.queries import QUERIES
+    rng = random.Random(9)
+    say = lambda: " ".join(rng.choice(["word", "12", "<|im_end|>", "a\\b", "x, y!"]) for _ in range(rng.choice([0, 1, 8, 90])))
+    rows = [(conv, i * step, "system" if i == 0 and conv % 2 else ["user", "assistant", None][i % 3], say())
+            for conv, n, step in [(0, 600, 1), (1, 600, 7), (2, 3, 100_000), (3, 1, 1), (4, 300, 256)] for i in range(n)]
+    rows += [(5, None, "assistant", f"null {i}") for i in range(300)] + [(None, 1, "user", "null conversation"), (None, 2, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con, query = duckdb.connect(), QUERIES["op6_chat_windows"]
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = query.run(spark, str(tmp_path))
+    cursor = con.execute(query.sql)
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(str, cursor.fetchall())) == sorted(str(tuple(r)) for r in got.select(names).collect())
