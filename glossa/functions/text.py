@@ -82,29 +82,72 @@ def verse_key(book: Column, chapter: Column, verse: Column) -> Column:
 
 
 def _plain_letters() -> tuple[str, str]:
-    """Accented letter -> ASCII letter, from Unicode decompositions; marks last (deleted)."""
-    accented, plain = [], []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = unicodedata.normalize("NFD", chr(code))
-        if base[0].isascii() and all(unicodedata.combining(m) for m in base[1:]) and len(base) > 1:
-            accented.append(chr(code))
-            plain.append(base[0])
-    marks = [chr(code) for code in range(0x300, 0x370)]
-    return "".join(accented + marks), "".join(plain)
+    """Letters with marks or in special forms -> the plain letter, by Unicode's decompositions; lone marks last (deleted).
+
+    Covers every script; syllables and ideographs, which are no letter with a mark, are left out.
+    """
+    special, plain, marks = [], [], []
+    for code in [*range(0xA0, 0x3400), *range(0xA640, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
+        if 0x3040 <= code < 0x3100:  # a mark in kana makes another syllable
+            continue
+        if unicodedata.combining(chr(code)):
+            marks.append(chr(code))
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code) and not base.isspace():
+            special.append(chr(code))
+            plain.append(base)
+    return "".join(special + marks), "".join(plain)
 
 
 _ACCENTED, _PLAIN = _plain_letters()
 # Letters without a decomposition, and typographic quotes and dashes.
 _SINGLES = ("øđðłıħ’‘“”–—", "oddlih''\"\"--")
 _LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+# Latin letters for Greek and Cyrillic ones.
+_GREEK = ("αβγδεζηικλμνξοπρςστυω", "abgdezeiklmnxoprsstuo")
+_CYRILLIC = ("абвгдезийклмнопрстуфыэіј", "abvgdeziiklmnoprstufyeij")
+_PAIRS = {"θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": '"',
+          "ь": "'", "ю": "iu", "я": "ia", "ђ": "dj", "є": "ie", "љ": "lj", "њ": "nj", "џ": "dzh", **_LIGATURES}
+# Latin spellings of the first, middle and last sound of a Korean syllable, in Unicode's order.
+_FIRST = "g gg n d dd r m b bb s ss  j jj c k t p h".split(" ")
+_MIDDLE = "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i".split(" ")
+_LAST = " g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split(" ")
+
+
+def _syllables(c: Column) -> Column:
+    """Korean syllables spelled out: each is numbered by its sounds."""
+    def sound(names: list[str], place: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(n) for n in names]), place.cast("int") + 1)
+
+    def spelled(x: Column) -> Column:
+        n = F.conv(F.hex(F.encode(x, "UTF-16BE")), 16, 10).cast("bigint") - 0xAC00
+        return F.when(x.between("\uac00", "\ud7a3"), F.concat(
+            sound(_FIRST, F.floor(n / 588)), sound(_MIDDLE, F.floor(F.pmod(n, F.lit(588)) / 28)),
+            sound(_LAST, F.pmod(n, F.lit(28))))).otherwise(x)
+
+    return F.array_join(F.transform(F.split(c, ""), spelled), "")
 
 
 def normalize(c: Column) -> Column:
-    """comparison form: stripped, lower case, accents removed."""
-    out = F.translate(F.lower(strip(c)), _SINGLES[0] + _ACCENTED, _SINGLES[1] + _PLAIN)
-    for letter, pair in _LIGATURES.items():
-        out = F.replace(out, F.lit(letter), F.lit(pair))
-    return out
+    """comparison form: stripped, lower case, accents removed, letters of other scripts in Latin ones.
+
+    Marks and special forms go by Unicode's decompositions, in any script; Greek, Cyrillic and Korean are written in
+    Latin letters. Characters of other scripts stay as they are. Texts of Latin letters pass one search for the others.
+    """
+    old = _SINGLES[0] + _GREEK[0] + _CYRILLIC[0]
+    lowered = F.replace(F.lower(strip(c)), F.lit("ё"), F.lit("ио"))  # not the letter е with a mark
+    out = F.translate(lowered, old + _ACCENTED, _SINGLES[1] + _GREEK[1] + _CYRILLIC[1] + _roman(_PLAIN))
+    wide = out
+    for letter, pair in _PAIRS.items():
+        wide = F.replace(wide, F.lit(letter), F.lit(pair))
+    out = F.when(out.rlike("[" + "".join(_PAIRS) + "]"), wide).otherwise(out)
+    return F.when(out.rlike("[\uac00-\ud7a3]"), _syllables(out)).otherwise(out)
+
+
+def _roman(letters: str) -> str:
+    """Greek and Cyrillic letters that come out of a decomposition, in Latin ones."""
+    return letters.translate(str.maketrans(_GREEK[0] + _CYRILLIC[0], _GREEK[1] + _CYRILLIC[1]))
 
 
 def clean_verse(c: Column) -> Column:

@@ -186,3 +186,21 @@ def test_random_texts_follow_the_same_rules(spark):
                                           ("-3.5 ", -3.5), ("0x1", None), ("abc", None)])
 def test_to_number(spark, value, number):
     assert one(spark, text.to_number(F.col("t")), t=s(value)) == number
+
+
+@pytest.mark.parametrize("value, expected", [
+    ("Ἀγάπη", "agape"), (" ΘΕΟΣ ", "theos"), ("ψυχή", "psukhe"), ("Χριστός", "khristos"), ("φῶς ϑ", "phos th"),
+    ("Любовь", "liubov'"), ("Вера, Надежда", "vera, nadezhda"), ("щи Ёж й", "shchi iozh i"), ("їжак", "izhak"), ("ѓ Ћ љ", "g ћ lj"),
+    ("사랑", "sarang"), ("한국 말", "hangug mal"), ("각", "gag"), ("ＦＵＬＬ ｗｉｄｔｈ", "full width"), ("𝐁𝐨𝐥𝐝", "bold"), ("ª º ²", "a o 2"),
+    ("Ǻngström ḗ", "angstrom e"), ("שָׁלוֹם", "שלום"), ("愛 日本 が", "愛 日本 が"), ("Straße Œuvre þorn", "strasse oeuvre thorn"), ("e\u0301", "e")])
+def test_normalize_scripts(spark, value, expected):
+    assert one(spark, text.normalize(F.col("t")), t=s(value)) == expected
+
+
+def test_every_korean_syllable_is_spelled(spark):
+    rows = spark.range(0xAC00, 0xD7A4).select(F.decode(F.unhex(F.hex("id")), "UTF-16BE").alias("c"))
+    got = rows.select("c", text.normalize(F.col("c")).alias("n")).collect()
+    assert len(got) == 11172 and all(r["n"].isascii() and r["n"] for r in got)
+    for r in got[::97]:
+        n = ord(r["c"]) - 0xAC00
+        assert r["n"] == text._FIRST[n // 588] + text._MIDDLE[n % 588 // 28] + text._LAST[n % 28]
