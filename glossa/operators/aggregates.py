@@ -15,6 +15,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from glossa.functions.labels import split_labels
 from glossa.plans.ranking import running_total
+from glossa.session import scratch_path
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
@@ -96,11 +97,62 @@ def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> D
     return hits.groupBy("fraction").agg((low + (high - low) * part).alias("value"))
 
 
+def refined_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float],
+                      bins: int = 256) -> dict[tuple[str, float], float | None]:
+    """Linear-interpolated quantiles of several numeric columns, exact at any size, by (column, fraction).
+
+    One pass finds every column's extremes. Each further pass counts, for all columns together, the values by ``bins`` equal
+    parts of the stretch that holds a wanted rank, and narrows the stretch to the extremes of the part that
+    has it, until that is a single value: about one pass for each factor of ``bins`` in the number of different values. Tasks
+    hand on counts only, so the shuffle does not grow with the rows. Null and NaN are left out, as missing;
+    a column without values has None. ``df`` is read once per pass: write a frame first that is dear to compute.
+    """
+    values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    first = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(values.values())
+                     for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    sizes = {c: first[f"n{i}"] for i, c in enumerate(columns)}
+    ranks = {(c, r) for c in columns for f in fractions if sizes[c] for r in (floor(f * (sizes[c] - 1)), ceil(f * (sizes[c] - 1)))}
+    stretch = {(c, r): (first[f"lo{i}"], first[f"hi{i}"], 0) for i, c in enumerate(columns) for k, r in ranks if k == c}
+    while wide := sorted({(c, lo, hi, before) for (c, _), (lo, hi, before) in stretch.items() if lo < hi}):
+        parts = F.array(*[F.when(values[c].between(lo, hi), F.struct(F.lit(i).alias("i"), _part(values[c], lo, hi, bins).alias("part"),
+                                                                     values[c].alias("v"))) for i, (c, lo, hi, _) in enumerate(wide)])
+        counted = df.select(F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("x")).groupBy("x.i", "x.part").agg(
+            F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")).collect()
+        found: dict[int, list] = {}
+        for row in sorted(counted, key=lambda x: (x["i"], x["part"])):
+            found.setdefault(row["i"], []).append(row)
+        for (c, r), (lo, hi, before) in list(stretch.items()):
+            if lo < hi:
+                for row in found[wide.index((c, lo, hi, before))]:
+                    if r < before + row["n"]:
+                        stretch[c, r] = (row["lo"], row["hi"], before)
+                        break
+                    before += row["n"]
+    out = {}
+    for c in columns:
+        for f in fractions:
+            at = f * (sizes[c] - 1)
+            low, high = (stretch[c, r][0] if sizes[c] else None for r in (floor(at), ceil(at)))
+            out[c, f] = low if low == high else low + (high - low) * (at - floor(at))
+    return out
+
+
+def _part(value: Column, low: float, high: float, bins: int) -> Column:
+    """Number of the equal part of [low, high] that a value is in; never falls as the value grows."""
+    most = 1.7976931348623157e308
+    low, high = max(low, -most), min(high, most)
+    width = high / 2 - low / 2
+    if not width > 0 or bins / width == float("inf"):  # too close for arithmetic: the least value and the others
+        return (value > low).cast("int")
+    held = F.greatest(F.least(value, F.lit(most)), F.lit(-most))
+    return F.least(F.floor((held / 2 - F.lit(low / 2)) / F.lit(width) * bins), F.lit(bins - 1)).cast("int")
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, unique, top, freq, mean, std and exact quartiles, one row per column.
 
-    One pass covers the moments of all numeric columns; quartiles take one
-    distributed sort per numeric column, text columns one count of their values.
+    One pass covers the moments of all numeric columns, a few more their exact quartiles, all columns at once
+    (``refined_quantiles``); text columns take one count of their values.
     """
     columns = list(columns or df.columns)
     numeric = [c for c in columns if isinstance(df.schema[c].dataType, NumericType)]
@@ -110,12 +162,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                           F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
                           F.max(c).cast("double").alias("max")) for c in numeric]
         out = df.agg(F.array(*stats).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
-        quartiles = None
-        for c in numeric:
-            one = exact_quantiles(df, c, (0.25, 0.5, 0.75)).agg(
-                *[F.max(F.when(F.col("fraction") == f, F.col("value"))).alias(name)
-                  for f, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]).withColumn("column", F.lit(c))
-            quartiles = one if quartiles is None else quartiles.unionByName(one)
+        found = refined_quantiles(df, numeric, (0.25, 0.5, 0.75))
+        quartiles = df.sparkSession.createDataFrame([(c, *[found[c, f] for f in (0.25, 0.5, 0.75)]) for c in numeric],
+                                                    "column string, q25 double, q50 double, q75 double")
         out = out.join(quartiles, "column", "left")
     for c in columns:
         if c not in numeric:
@@ -141,20 +190,29 @@ def crosstab_wide(df: DataFrame, rows: str, cols: str, domain: Sequence[str]) ->
 
 
 def score_histogram(df: DataFrame, models: Sequence[str], bins: int = 20) -> DataFrame:
-    """Equal-width bins of each model's score between that model's own extremes."""
-    # Counted first: extremes and bins both start from this one shuffle. The
-    # extremes look at the count too, or Spark would plan a shuffle of its own
-    # for them and score all texts again.
-    long = (unpivot_labels(df, models, ("model", "score")).where(F.col("score").isNotNull())
-            .groupBy("model", "score").agg(F.count(F.lit(1)).alias("n")))
-    seen = F.when(F.col("n") > 0, F.col("score"))
-    span = long.groupBy("model").agg(F.min(seen).alias("low"), F.max(seen).alias("high"))
-    width = (F.col("high") - F.col("low")) / bins
-    number = F.floor((F.col("score") - F.col("low")) / width) + 1
-    binned = F.when(F.col("high") > F.col("low"), F.least(number, F.lit(bins))).otherwise(F.lit(1))
-    # one row per model column named in the call, so the broadcast side has a fixed size
-    return (long.join(F.broadcast(span), "model").groupBy("model", binned.alias("bin"))
-            .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
+    """Equal-width bins of each model's score between that model's own extremes.
+
+    The scores are written once, as they may be dear to compute. One pass over them finds all extremes, another counts
+    bins; tasks hand on a count per model and bin. Columns model, bin (from 1), n, low and high.
+    """
+    path = scratch_path(df.sparkSession, "scores")
+    df.select(*[F.col(m).cast("double").alias(m) for m in models]).write.parquet(path)
+    scores = df.sparkSession.read.parquet(path)
+    span = scores.agg(*[f(m).alias(f"{n}_{m}") for m in models for n, f in (("low", F.min), ("high", F.max))]).first()
+    found = []
+    for m in models:
+        low, high = span[f"low_{m}"], span[f"high_{m}"]
+        if low is None:
+            continue
+        number = F.lit(1).cast("bigint")
+        if high > low:
+            number = F.least(F.floor((F.col(m) - F.lit(low)) / F.lit((high - low) / bins)) + 1, F.lit(bins).cast("bigint"))
+        found.append(F.when(F.col(m).isNotNull(), F.struct(F.lit(m).alias("model"), number.alias("bin"), F.lit(low).alias("low"),
+                                                           F.lit(high).alias("high"))))
+    if not found:
+        return df.sparkSession.createDataFrame([], "model string, bin bigint, n bigint, low double, high double")
+    cells = scores.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    return cells.groupBy("model", "bin", "low", "high").agg(F.count(F.lit(1)).alias("n")).select("model", "bin", "n", "low", "high")
 
 
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:

@@ -303,3 +303,38 @@ def test_lexicon_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(scoring, "LITERAL_WORDS", 10)
     joined = {r["id"]: r["preds"] for r in scoring.lexicon_predictions(df, "text", small).collect()}
     assert joined == literal and any(literal.values())
+
+
+def test_quantiles_by_refinement(spark):
+    rng = random.Random(4)
+    inf = float("inf")
+    columns = {
+        "even": [rng.random() for _ in range(4000)], "ties": [float(rng.choice([1, 1, 1, 2, 7])) for _ in range(4000)],
+        "skewed": [10.0 ** rng.randint(-300, 300) for _ in range(4000)], "one": [5.0] + [None] * 3999, "none": [None] * 4000,
+        "ends": [rng.choice([-inf, inf, 1.7e308, -1.7e308, 5e-324, 0.0, -0.0, 1.0]) for _ in range(4000)],
+        "nan": [rng.choice([float("nan"), 3.0, 4.0]) for _ in range(4000)], "whole": [rng.randint(-10 ** 15, 10 ** 15) for _ in range(4000)]}
+    types = ", ".join(f"{c} {'bigint' if c == 'whole' else 'double'}" for c in columns)
+    df = spark.createDataFrame(list(zip(*columns.values())), types).repartition(4)
+    got = aggregates.refined_quantiles(df, list(columns), (0.0, 0.25, 0.5, 0.9, 1.0), bins=16)
+    for c, values in columns.items():
+        kept = sorted(float(v) for v in values if v is not None and v == v)
+        for f in (0.0, 0.25, 0.5, 0.9, 1.0):
+            at = f * (len(kept) - 1)
+            low, high = (kept[int(at)], kept[min(-int(-at // 1), len(kept) - 1)]) if kept else (None, None)
+            want = low if low == high else low + (high - low) * (at - int(at))
+            assert got[c, f] == want, (c, f)
+    assert aggregates.refined_quantiles(df.where("false"), ["even"], (0.5,)) == {("even", 0.5): None}
+
+
+def test_quantiles_shuffle_counts_only(spark):
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    got = aggregates.refined_quantiles(df, ["v"], (0.5,))
+    values = sorted(i * 7919 % 200_003 for i in range(200_000))
+    assert got["v", 0.5] == (values[99_999] + values[100_000]) / 2
+
+
+def test_histogram_edges(spark):
+    df = spark.createDataFrame([(0.0, 5.0, None), (1.0, 5.0, None), (0.5, None, None), (0.05, 5.0, None)], "a double, b double, c double")
+    got = {(r["model"], r["bin"]): (r["n"], r["low"], r["high"]) for r in aggregates.score_histogram(df, ["a", "b", "c"]).collect()}
+    assert got == {("a", 1): (1, 0.0, 1.0), ("a", 2): (1, 0.0, 1.0), ("a", 11): (1, 0.0, 1.0), ("a", 20): (1, 0.0, 1.0), ("b", 1): (3, 5.0, 5.0)}
+    assert aggregates.score_histogram(df.where("false"), ["a"]).count() == 0
