@@ -202,6 +202,20 @@ def s07(spark, sf_dir):
     return pages.parse_options(Tables(spark, sf_dir).pages.select("page_id", "html"), _LINKS)
 
 
+@query("s07_book_list", """WITH nav AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="[^"]*">[^<]*') AS items FROM pages),
+items AS (SELECT page_id, unnest(items) AS item, generate_subscripts(items, 1) AS i FROM nav)
+SELECT page_id, i::INT AS index, regexp_extract(item, 'href="/([^"]*)"', 1) AS id, trim(regexp_replace(item, '<[^>]*>', '', 'g')) AS name
+FROM items WHERE regexp_extract(item, 'href="/([^"]*)"', 1) <> '0'""")
+def s07_books(spark, sf_dir):
+    """The pages' links as the book list of a search form: another list before it, and a first option of value 0."""
+    links = F.regexp_extract("html", "<nav>(.*?)</nav>", 1)
+    for old, new in (('<a href="/', '<OPTION class="b" value="'), ("</a>", " </OPTION>")):
+        links = F.replace(links, F.lit(old), F.lit(new))
+    form = F.concat(F.lit('<form><select name="cap"><option value="7">no</option></select>\n<select id="x" name="libro">'
+                          '<option value="0">Elige un libro</option>'), links, F.lit("</select></form>"))
+    return pages.parse_options(Tables(spark, sf_dir).pages.select("page_id", form.alias("html")))
+
+
 @query("s08_quoted_csv", f"""WITH {CORPUS_SQL}
 SELECT '"' || doc_id || '","' || book || '","' || coalesce(theme, '') || '","say ' || repeat('"', 2) || lang || repeat('"', 3)
   AS line FROM corpus""")
