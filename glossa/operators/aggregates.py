@@ -31,14 +31,17 @@ def unpivot_labels(df: DataFrame, columns: Sequence[str], names: tuple[str, str]
 
 
 def label_shares(df: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Relative label frequency per model, one column per model, absent -> 0."""
-    counts = (unpivot_labels(df, models, ("model", "label")).where(F.col("label").isNotNull())
-              .groupBy("model", "label").agg(F.count(F.lit(1)).alias("n")))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("model"))
-    shares = counts.withColumn("share", share)
-    columns = [F.coalesce(F.max(F.when(F.col("model") == m, F.col("share"))), F.lit(0.0)).alias(m)
-               for m in models]
-    return shares.groupBy("label").agg(*columns)
+    """Relative label frequency per model, one column per model, absent -> 0.
+
+    Counts of every label are written, one row per label; each model's total is then one more small sum, so no task
+    holds all labels of a model.
+    """
+    cells = unpivot_labels(df, models, ("_model", "label")).where(F.col("label").isNotNull())
+    path = scratch_path(df.sparkSession, "labels")
+    cells.groupBy("label").agg(*[F.count_if(F.col("_model") == m).alias(m) for m in models]).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
+    totals = counts.agg(*[F.sum(m).alias(m) for m in models]).first()
+    return counts.select("label", *[(F.col(m) / F.lit(totals[m]) if totals[m] else F.lit(0.0)).alias(m) for m in models])
 
 
 def multi_label_counts(df: DataFrame, packed: str, include_empty: bool = False) -> DataFrame:
