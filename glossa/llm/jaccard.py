@@ -19,7 +19,7 @@ from glossa.plans.guard import once
 PROBE = 4             # one in so many shingles, by hash, takes part in the first test of a set
 BUCKET_TOKENS = 1 << 21   # shingles that one exchange bucket is meant for
 PROBE_TOKENS = 1 << 20    # shingles that a scan task compares with each other at once
-SMALL_LIST = 1 << 20  # document ids (8 MB) up to which a list is broadcast
+SMALL_LIST = 1 << 24  # bytes of document ids up to which a list is broadcast
 BLOCK = 2048          # members of one key that meet each other in one block
 _MARK = np.uint32(0xFFFFFFFF)
 
@@ -273,14 +273,15 @@ _PREFIX = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("shared", pa.int
 def boundary(ordered: DataFrame, rule: Rule) -> int:
     """Size up to which sets count as light: where subset keys and list scans together cost least.
 
-    A light set costs its subsets of two prefix shingles, a heavy one the lengths
-    of the inverted lists of its prefix. Summed by powers of two of the size; at
-    most 64 rows come to the driver.
+    Costs are rows that are written, sorted and exchanged. A light set has one for
+    each subset of two prefix shingles. A heavy one has one for each prefix shingle, and
+    one for each block of that shingle's inverted list, which it meets there. Summed by
+    powers of two of the size; at most 64 rows come to the driver.
     """
     reach = F.size("prefix")
     step = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     subsets = reach * (reach - 1) / 2
-    scans = F.aggregate("times", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    scans = F.aggregate("times", F.lit(0).cast("bigint"), lambda a, x: a + 1 + F.ceil(x / BLOCK))
     rows = sorted(ordered.groupBy(step.alias("step")).agg(F.sum(subsets).alias("light"), F.sum(scans).alias("heavy")).collect(),
                   key=lambda r: r["step"])
     costs = [(sum(r["light"] for r in rows[:i]) + sum(r["heavy"] for r in rows[i:]), -i) for i in range(len(rows) + 1)]
@@ -398,7 +399,7 @@ def _filed(docs: DataFrame, rows: DataFrame, rule: Rule, text: str) -> tuple[Dat
     total = rows.agg(F.sum("n")).first()[0] or 0
     chosen = stored(rows.join(suspects(docs, rule, total, text), "node").groupBy("node").agg(F.min("doc_id").alias("_id"))
                     .select("_id").distinct(), "suspects")
-    small = chosen.count() <= SMALL_LIST
+    small = (chosen.agg(F.sum(16 + F.octet_length(F.col("_id").cast("string")))).first()[0] or 0) <= SMALL_LIST
     picked = docs.join(F.broadcast(chosen) if small else chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = stored(_set_blobs(picked, rule, text).dropDuplicates(["node"])
                   .withColumn("part", F.spark_partition_id().cast("bigint")), "sets")
