@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.common import stored
@@ -20,6 +20,7 @@ PROBE = 4             # one in so many shingles, by hash, takes part in the firs
 BUCKET_TOKENS = 1 << 21   # shingles that one exchange bucket is meant for
 PROBE_TOKENS = 1 << 20    # shingles that a scan task compares with each other at once
 SMALL_LIST = 1 << 24  # bytes of document ids up to which a list is broadcast
+LEADERS = 32          # sets of a key that all its other sets meet, before the pairs that are still open
 BLOCK = 2048          # members of one key that meet each other in one block
 _MARK = np.uint32(0xFFFFFFFF)
 
@@ -348,6 +349,30 @@ def star_pairs(posted: DataFrame, rule: Rule) -> DataFrame:
     return met.where((F.col("a.node") != F.col("b.node")) & _may(rule)).select(*_ordered_pair()).distinct()
 
 
+def _unsettled(posted: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Postings with their set's component, and the keys that more than one component has, with their number of blocks."""
+    component = F.col("node") if known is None else F.coalesce("component", "node")
+    placed = (posted if known is None else posted.join(known, "node", "left")).withColumn("component", component)
+    lists = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                      F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    return placed, lists.where(F.col("lo") != F.col("hi")).select("key", "blocks")
+
+
+def spread_pairs(posted: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
+    """Under each key with several components: its sets with ``LEADERS`` of them, drawn by a hash, of other components.
+
+    As many rows as postings times leaders at most. In a large group of variants, each linked to some of the others,
+    nearly all find one they link to among these, so that few pairs stay open.
+    """
+    placed, lists = _unsettled(posted, known)
+    rest = placed.join(lists, "key")
+    member = F.struct("node", "n", "most", "component")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node"))
+    leaders = rest.withColumn("_rank", rank).where(F.col("_rank") <= LEADERS).select("key", member.alias("b"))
+    met = rest.select("key", member.alias("a")).join(leaders, "key")
+    return met.where((F.col("a.component") != F.col("b.component")) & _may(rule)).select(*_ordered_pair()).distinct()
+
+
 def open_pairs(posted: DataFrame, ordered: DataFrame, known: DataFrame | None, rule: Rule) -> DataFrame:
     """Pairs under a common key whose sets are not yet in one component; without ``known`` components, all pairs.
 
@@ -355,14 +380,11 @@ def open_pairs(posted: DataFrame, ordered: DataFrame, known: DataFrame | None, r
     meet each other block by block, so no list is one task's. A pair comes up only
     under the key of the first shingles it shares, not under each common key.
     """
-    component = F.col("node") if known is None else F.coalesce("component", "node")
-    placed = (posted if known is None else posted.join(known, "node", "left")).withColumn("component", component)
-    lists = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                      F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed, lists = _unsettled(posted, known)
     i, j = F.col("i"), F.col("j")
     before = F.when(i < 0, F.slice("prefix", F.lit(1), j)).otherwise(F.concat(
         F.slice("prefix", F.lit(1), F.greatest(i, F.lit(0))), F.slice("prefix", i + 2, F.greatest(j - i - 1, F.lit(0)))))
-    rest = (placed.join(lists.where(F.col("lo") != F.col("hi")).select("key", "blocks"), "key")
+    rest = (placed.join(lists, "key")
             .join(ordered.select("node", "prefix"), "node").withColumn("before", before))
     member = F.struct("node", "n", "most", "component", "before")
     left = rest.select("key", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), member.alias("a"))
@@ -423,9 +445,15 @@ def connecting_links(docs: DataFrame, rows: DataFrame, rule: Rule, text: str = "
     sets, ordered, posted = _filed(docs, rows, rule, text)
     first = stored(verified(star_pairs(posted, rule), sets, rule), "links")
     known = components(first)
+    more = stored(verified(spread_pairs(posted, known, rule), sets, rule), "links")
+    known = components(_stars(known).unionByName(more))
     more = stored(verified(open_pairs(posted, ordered, known, rule), sets, rule), "links")
-    stars = known.where(F.col("node") != F.col("component")).select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return stars.unionByName(more)
+    return _stars(known).unionByName(more)
+
+
+def _stars(known: DataFrame) -> DataFrame:
+    """Components as edges from their least node."""
+    return known.where(F.col("node") != F.col("component")).select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
 def link_counts(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
