@@ -15,11 +15,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below the shared checkpoint folder and read again: a cut that survives lost executors."""
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """``df`` written below the shared checkpoint folder and read again: a cut that survives lost executors.
+
+    ``codec`` names another compression than the session's, for tables of whole texts.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

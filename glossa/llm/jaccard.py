@@ -505,7 +505,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text
     Rows are told apart by a number that is written with them, so repeated and null
     ids do no harm; null ids come last. Rows without a shingle all stay.
     """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", "zstd")
     found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), text), rule, text).where(F.col("n_shingles") > 0)
     placed = found.join(rows.select(F.col("__row").alias("_row"), F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_row"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
