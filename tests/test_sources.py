@@ -1,7 +1,9 @@
 """File sources and sinks, audits and streams on small files."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from glossa import schemas
 from glossa.catalog.scoring import vowel_scorer
@@ -187,3 +189,63 @@ def test_keyed_sessions_end_by_their_timer(spark, tmp_path):
     assert got == {"a00": ("a", "01 10:50", 3, 2, 1), "b02": ("b", "01 11:20", 2, 1, 0), "b11": ("b", "01 12:40", 2, 1, 0),
                    "a12": ("a", "01 12:00", 1, 0, 0), "a20": ("a", "03 09:10", 2, 1, 0)}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
+
+
+@pytest.mark.parametrize("more", [{}, {"buckets": 1}])
+def test_sessions_that_end_at_the_watermark(spark, tmp_path, more):
+    days = [[("a", "10:00"), ("b", "12:00"), ("a", "14:30"), ("c", "12:01")], [("z", "15:00")]]  # the watermark gets to 13:00
+    for i, rows in enumerate(days):
+        frame = spark.createDataFrame([(s, f"2024-01-01 {t}:00", f"{s}{t}") for s, t in rows], "session_id string, ts string, event_id string")
+        frame.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.stream_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    with sessions.timed_state(spark):
+        jobs.run_to_end(jobs.write_stream(sessions.feedback_sessions(stream, 3600, "2 hours", **more), str(tmp_path / "out"), str(tmp_path / "check")))
+    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a10:00", "b12:00"]
+
+
+def test_sessions_share_state_calls():
+    """A batch costs the state store a read, a write and a timer, however many keys and sessions a bucket has."""
+    calls, timers = [], set()
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return value
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            timers.remove(at)
+
+    class Times:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    value = Value()
+    state = sessions._Sessions(1_000, StringType())
+    state.init(Handle())
+    rows = [Row(session_id=f"k{i % 7}", us=i // 7 * 5_000, event=f"e{i}") for i in range(350)]
+    assert not list(state.handleInputRows((0,), iter(rows), Times(0)))
+    assert calls == ["update", "timer"] and timers == {1}
+    done = list(state.handleExpiredTimer((0,), Times(200), Times(1)))
+    assert len(done) == 280 and timers == {1, 201}  # the timer that fired is Spark's to delete
+    assert len(list(state.handleExpiredTimer((0,), Times(10_000), Times(201)))) == 70 and value.held is None
