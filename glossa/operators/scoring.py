@@ -137,6 +137,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _NOT_LETTERS, -1), lambda w: w != "")
 
 
+def counted_words(df: DataFrame, keep: Sequence[str], found: Column) -> DataFrame:
+    """``keep`` columns, word and n: how often each word of the array ``found`` occurs in a row.
+
+    Every row is counted by itself, as runs of its sorted words, so nothing is shuffled and no task holds the words of other rows.
+    """
+    listed = df.select(*keep, once(F.sort_array(F.filter(found, lambda w: w != ""))).alias("_words")).where("size(_words) > 0")
+    begun = listed.withColumn("_from", once(F.expr("filter(sequence(1, size(_words)), i -> i = 1 OR _words[i - 1] != _words[i - 2])")))
+    runs = "transform(_from, (a, j) -> struct(_words[a - 1] AS word, bigint(coalesce(get(_from, j + 1), size(_words) + 1) - a) AS n))"
+    return begun.select(*keep, once(F.expr(runs)).alias("_runs")).select(*keep, F.inline("_runs"))
+
+
 def with_words(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the lower-case words of a text, split once for all lexicons that score them."""
     return df.withColumn(out, once(F.split(F.lower(F.col(text)), _NOT_LETTERS, -1)))
