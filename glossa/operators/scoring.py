@@ -132,25 +132,30 @@ def without_failed_units(df: DataFrame, unit: str, error: str) -> DataFrame:
     return filter_join(df, df.where(F.col(error).isNotNull()), [unit], "left_anti")
 
 
+def split_words(text: Column) -> Column:
+    """Lower-case words of a text, with empty ones at its ends."""
+    return F.split(F.lower(text), _NOT_LETTERS, -1)
+
+
 def words(text: Column) -> Column:
     """Lower-case words of a text."""
-    return F.filter(F.split(F.lower(text), _NOT_LETTERS, -1), lambda w: w != "")
+    return F.filter(split_words(text), lambda w: w != "")
 
 
 def counted_words(df: DataFrame, keep: Sequence[str], found: Column) -> DataFrame:
-    """``keep`` columns, word and n: how often each word of the array ``found`` occurs in a row.
+    """``keep`` columns, word and n: how often each word of the array ``found`` occurs in a row; empty ones are left out.
 
     Every row is counted by itself, as runs of its sorted words, so nothing is shuffled and no task holds the words of other rows.
     """
-    listed = df.select(*keep, once(F.sort_array(F.filter(found, lambda w: w != ""))).alias("_words")).where("size(_words) > 0")
+    listed = df.select(*keep, once(F.sort_array(found)).alias("_words")).where("size(_words) > 0")
     begun = listed.withColumn("_from", once(F.expr("filter(sequence(1, size(_words)), i -> i = 1 OR _words[i - 1] != _words[i - 2])")))
     runs = "transform(_from, (a, j) -> struct(_words[a - 1] AS word, bigint(coalesce(get(_from, j + 1), size(_words) + 1) - a) AS n))"
-    return begun.select(*keep, once(F.expr(runs)).alias("_runs")).select(*keep, F.inline("_runs"))
+    return begun.select(*keep, once(F.expr(runs)).alias("_runs")).select(*keep, F.inline("_runs")).where("word != ''")
 
 
 def with_words(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the lower-case words of a text, split once for all lexicons that score them."""
-    return df.withColumn(out, once(F.split(F.lower(F.col(text)), _NOT_LETTERS, -1)))
+    return df.withColumn(out, once(split_words(F.col(text))))
 
 
 def lexicon_predictions(df: DataFrame, text: str, lexicon: Mapping[str, Mapping[str, float]],
@@ -191,7 +196,7 @@ def lexicon_table_predictions(df: DataFrame, text: str, lexicon: DataFrame, labe
                               key: Sequence[str] | None = None, split: str | None = None) -> DataFrame:
     """M17 for a lexicon of any size: a table of (label, word, weight), several rows of a word and label added up.
 
-    Each row's words are counted, meet the weights of the words that are in the lexicon by an equi-join, and come
+    Each row's words are counted where it is read, meet the weights of the words that are in the lexicon by an equi-join, and come
     together as one partial sum per row and label, in the order of ``labels``. Only ``key`` and words are shuffled; the
     sums meet the rows by ``key``, which identifies them and is never null. Without a key the rows are written first and
     told apart by their place. Adaptive execution splits the partitions of very frequent words.
@@ -204,11 +209,9 @@ def lexicon_table_predictions(df: DataFrame, text: str, lexicon: DataFrame, labe
         df = spark.read.parquet(path)
     weights = F.array(*[F.coalesce(F.sum(F.when(F.col("label") == x, F.col("weight"))), F.lit(0.0)) for x in labels])
     known = lexicon.where(F.col("label").isin(*labels)).groupBy("word").agg(weights.alias("_w"))
-    found = F.col(split) if split else words(F.col(text))
-    counted = (df.select(*key, F.explode(found).alias("word")).where("word != ''")
-               .groupBy(*key, "word").agg(F.count(F.lit(1)).alias("_n")))
-    parts = counted.join(known, "word").groupBy(*key).agg(
-        F.array(*[F.sum(F.col("_n") * F.get(F.col("_w"), F.lit(i))) for i in range(len(labels))]).alias("_sums"))
+    found = F.col(split) if split else split_words(F.col(text))
+    parts = counted_words(df, key, found).join(known, "word").groupBy(*key).agg(
+        F.array(*[F.sum(F.col("n") * F.get(F.col("_w"), F.lit(i))) for i in range(len(labels))]).alias("_sums"))
     total = F.aggregate("_sums", F.lit(0.0), lambda a, x: a + x)
     shares = parts.select(*key, total.alias("_total"), "_sums").where("_total > 0").select(
         *key, zip_predictions(F.array(*[F.lit(x) for x in labels]), F.transform("_sums", lambda x: x / F.col("_total"))).alias(out))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.scores import softmax, top_prediction, zip_predictions
 from glossa.operators.evaluate import macro_f1
-from glossa.operators.scoring import counted_words, words
+from glossa.operators.scoring import counted_words, split_words
 from glossa.session import scratch_path
 
 FREQUENT = 1 << 20  # rows of a model that may be broadcast
@@ -43,7 +43,7 @@ def word_counts(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataF
 
     ``keep`` identifies rows. Rows without words, null texts among them, have none.
     """
-    return counted_words(df, keep, words(F.col(text)))
+    return counted_words(df, keep, split_words(F.col(text)))
 
 
 def _by_class(domain: Sequence[str], value: Column) -> Column:
