@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from glossa.llm.common import stored
 from glossa.llm.words import Memo, hash_spans, ragged, spaced_chunks, text_blocks, worker_state
-from glossa.session import scratch_path
 
 MAGIC = b"TOKPACK1"
 BLOCK_IDS = 1 << 16      # ids per block, a multiple of 64
 FILE_IDS = 1 << 24       # ids after which a task starts another file
+READ_IDS = 1 << 22       # ids that a task reads back, or one file
 LIBRARY_TEXTS = 1 << 10  # distinct chunks that the library encodes at once
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -215,7 +216,8 @@ def write_packed(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     table writes nothing. Each task streams its range into one or more files of
     up to about ``FILE_IDS`` ids under ``folder``, a URI that all executors share.
     File names follow from the range, so a repeated task writes the same files.
-    Manifest: part, piece, path, docs, ids and start, the ids in all files before.
+    Manifest: part, piece, path, docs, ids and start, the ids in all files before. Its rows, one for each file,
+    come together for their order, and only then are they written: one table file, not one for each task.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as f:
@@ -249,18 +251,20 @@ def write_packed(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         if writer:
             yield done(writer, piece)
 
-    manifest_path = scratch_path(spark, "manifest")
-    ranged.mapInArrow(run, "part int, piece int, path string, docs bigint, ids bigint").write.parquet(manifest_path)
-    files = spark.read.parquet(manifest_path)  # one row per file
+    files = ranged.mapInArrow(run, "part int, piece int, path string, docs bigint, ids bigint")  # one row per file
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    return stored(files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))), "manifest")
 
 
 _MANIFEST = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 
 
 def read_packed(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files of a manifest."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files of a manifest.
+
+    Files are dealt evenly to as many tasks as they hold ``READ_IDS`` ids, one task to a file at most. The number is
+    given, as Spark would join partitions by the size of the manifest's rows, which says nothing of the files.
+    """
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
@@ -281,5 +285,6 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                     i = j
                 reader.close()
 
-    files = manifest.select("path", "start").repartition("path")
+    n, ids = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("ids"), F.lit(0))).first()
+    files = manifest.select("path", "start").repartition(max(1, min(n, -(-ids // READ_IDS))))
     return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -9,6 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from glossa.llm import bpe, counts, packing
@@ -158,6 +159,24 @@ def test_a_range_may_fill_several_files(spark, monkeypatch):
     assert packing.read_packed(files).count() == 20
 
 
+def test_the_manifest_is_one_file_and_its_files_many_tasks(spark, monkeypatch):
+    """op5: no table file for each range, and files are read by as many tasks as they hold ids for, whatever their manifest's size."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    docs = spark.createDataFrame([(i, "some words here") for i in range(100)], "doc_id bigint, text string")
+    spark.conf.set(name, "false")
+    try:
+        files = packing.write_packed(docs, BYTES, scratch_path(spark, "packed"))
+    finally:
+        spark.conf.unset(name)
+    assert files.count() > 4 and len(files.inputFiles()) == 1
+    whole = packing.read_packed(files)
+    monkeypatch.setattr(packing, "READ_IDS", 10)
+    dealt = packing.read_packed(files)
+    tasks = [df.select(F.spark_partition_id().alias("task")).distinct().count() for df in (whole, dealt)]
+    assert tasks == [1, files.count()]
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, dealt.collect()))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert bpe.piece_digests(empty, PIECES).count() == 0
