@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.llm import decontam, dedup, fuse, jaccard, sharding
+from glossa.llm import common, decontam, dedup, fuse, jaccard, sharding
 from glossa.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, digest string, n string, hits int, shard string"
@@ -211,6 +211,39 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_small_tables_of_near_duplicates_are_few_files(spark, monkeypatch):
+    """pipeline, op4: no file of edges or suspects for each shuffle partition, and more files if there are rows for them."""
+    files = []
+
+    def noted(df, name, *args, **kwargs):
+        out = common.stored(df, name, *args, **kwargs)
+        if name in ("edges", "suspects"):
+            files.append(len(out.inputFiles()))
+        return out
+
+    for module in ("components", "jaccard"):
+        monkeypatch.setattr(f"glossa.llm.{module}.stored", noted)
+    same = [f"text {i // 4} " + " ".join(f"w{i // 4}x{k}" for k in range(30)) + f" end{i}" for i in range(160)]
+    docs = spark.createDataFrame(list(enumerate(same)), "doc_id bigint, text string")
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in names}
+    cores, got, most = spark.sparkContext.defaultParallelism, [], []
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        for rows in (common.FILE_ROWS, 10):
+            monkeypatch.setattr(common, "FILE_ROWS", rows)
+            files.clear()
+            found = jaccard.near_duplicates(docs, jaccard.Rule(5, 80)).collect()
+            got.append(sorted((r["doc_id"], r["component_id"]) for r in found))
+            most.append(max(files))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got[0] == got[1] == [(i, i - i % 4) for i in range(160)]
+    assert most[0] <= cores < most[1]
+
+
 # Contamination
 
 def test_contamination(spark, monkeypatch):
