@@ -219,3 +219,36 @@ def test_a_worker_keeps_one_operators_state():
     assert words.worker_state("a", b"x", lambda s: [s]) is first
     words.worker_state("b", b"x", lambda s: [s])
     assert words.worker_state("a", b"x", lambda s: [s]) is not first and len(words._STATE) == 1
+
+
+def test_tasks_leave_a_worker_small(spark, monkeypatch):
+    """After a task of near copies or of benchmark items nothing of another operator's is kept, and free memory is returned."""
+    from glossa.llm import decontam, jaccard, words
+    docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id bigint, text string")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three four five six"]})
+    taken, returned = [], []
+    send = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: taken.append(f) or send(self, f, schema))
+    jaccard.set_rows(docs, jaccard.Rule())
+    decontam.item_sets(docs.withColumnRenamed("doc_id", "item_id"))
+    bpe.piece_digests(docs, PIECES)
+    monkeypatch.setattr(words, "give_back", lambda: returned.append(dict(words._STATE)))
+    sets, items, pieces = taken
+    words.worker_state("other", b"x", lambda s: [s])
+    assert [b.num_rows for b in sets(iter([batch]))] == [1] and returned == [{}]
+    words.worker_state("other", b"x", lambda s: [s])
+    assert [b.num_rows for b in items(iter([batch.rename_columns(["item_id", "text"])]))] == [1] and returned == [{}, {}]
+    assert [b.num_rows for b in pieces(iter([batch]))] == [1] and len(returned[2]) == 1
+    kept = dict(words._STATE)
+    assert [b.num_rows for b in pieces(iter([batch]))] == [1] and words._STATE == kept
+
+
+def test_a_group_gives_back_also_when_it_fails(monkeypatch):
+    from glossa.llm import words
+    returned = []
+    monkeypatch.setattr(words, "give_back", lambda: returned.append(1))
+    words.worker_state("other", b"x", lambda s: [s])
+    assert words.lean_group(lambda key, table: (key, table))(1, 2) == (1, 2) and not words._STATE
+    with pytest.raises(ZeroDivisionError):
+        words.lean_group(lambda key, table: 1 // 0)(1, 2)
+    assert returned == [1, 1]
